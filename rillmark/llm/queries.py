@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, tokens
 
 
 def queries() -> dict:
-    return {"op10_chat_formatting": chat.op10_chat_formatting}
+    return {
+        "op5_token_counts": tokens.op5_token_counts,
+        "op10_chat_formatting": chat.op10_chat_formatting,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
