@@ -43,16 +43,15 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
     done_seq: list[np.ndarray] = []
     done_sym: list[np.ndarray] = []
     sym, seq, last = symbols.astype(np.int64), np.repeat(np.arange(n), lengths), np.full(n, -1, np.int64)
+    rank, at = table.find(sym[:-1], sym[1:])
+    rank[seq[:-1] != seq[1:]] = NONE
+    rank, at = np.append(rank, NONE), np.append(at, 0)
     while len(sym):
-        rank, at = table.find(sym[:-1], sym[1:])
-        rank[seq[:-1] != seq[1:]] = NONE
-        rank = np.append(rank, NONE)
         starts = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
         best = np.minimum.reduceat(rank, starts)
         ids = seq[starts]
         sizes = np.diff(np.append(starts, len(seq)))
         over = best == NONE
-        counts[ids[over]] = sizes[over]
         odd[ids] |= best < last[ids]
         last[ids] = best
         hit = np.flatnonzero((rank == np.repeat(best, sizes)) & (rank < NONE))
@@ -61,12 +60,24 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
             place = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
             hit = hit[place % 2 == 0]
             sym[hit] = table.symbol[at[hit]]
-        gone = np.repeat(over, sizes)
-        done_sym.append(sym[gone])
-        done_seq.append(seq[gone])
-        keep = ~gone
+        keep = np.ones(len(sym), bool)
+        if over.any():
+            gone = np.repeat(over, sizes)
+            counts[ids[over]] = sizes[over]
+            done_sym.append(sym[gone])
+            done_seq.append(seq[gone])
+            keep = ~gone
         keep[hit + 1] = False
-        sym, seq = sym[keep], seq[keep]
+        fresh = np.zeros(len(sym), bool)
+        fresh[hit] = True
+        sym, seq, rank, at, fresh = sym[keep], seq[keep], rank[keep], at[keep], fresh[keep]
+        # only pairs that touch a merged symbol have a new rank
+        new = np.flatnonzero(fresh)
+        new = np.concatenate([new, new[(new > 0)] - 1])
+        inner = new[new < len(sym) - 1]
+        rank[new] = NONE
+        inner = inner[seq[inner] == seq[inner + 1]]
+        rank[inner], at[inner] = table.find(sym[inner], sym[inner + 1])
     flat_seq, flat = np.concatenate([*done_seq, np.empty(0, np.int64)]), np.concatenate([*done_sym, np.empty(0, np.int64)])
     return flat[np.argsort(flat_seq, kind="stable")], counts, odd
 

@@ -25,7 +25,9 @@ from .ragged import PairTable, merge_all, merge_one
 MEMO = 1_000_000
 #: Texts of more code points are cut lazily, so that their pre-tokens are never all held.
 LONG = 1 << 20
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 18
+#: Pre-tokens that may wait to be merged together.
+MISSED = 200_000
 #: The vocabulary's pre-token pattern, as its format defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose class is the same in every Unicode version since 9.0. Texts with others are
@@ -75,6 +77,7 @@ class Counter(dict):
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
+        owners: list[tuple[int, int]] = []  # text, and how many missed pre-tokens there are up to it
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -83,14 +86,19 @@ class Counter(dict):
             for part in parts:
                 for tokens in self._pieces(part):
                     total += sum(map(self.__getitem__, tokens))
-                    if self.missed:
-                        total += self._learn()
-            out[i] = total
+            out[i] += total
+            if len(self.missed) > (owners[-1][1] if owners else 0):
+                owners.append((i, len(self.missed)))
+            if len(self.missed) > MISSED:
+                self._learn(out, owners)
+        self._learn(out, owners)
         return out
 
-    def _learn(self) -> int:
-        """Counts what was missed, and keeps it; the total over all occurrences."""
+    def _learn(self, out: np.ndarray, owners: list[tuple[int, int]]) -> None:
+        """Counts what was missed, keeps it, and adds it to the totals of the texts it is from."""
         missed, self.missed = self.missed, []
+        if not missed:
+            return
         if len(self) > MEMO:
             self.clear()
         fresh = list({t for t in missed if t not in self})
@@ -104,7 +112,10 @@ class Counter(dict):
                 took += 1
             self.update(zip(fresh[at:took], self.merged(words).tolist(), strict=True))
             at = took
-        return sum(map(self.__getitem__, missed))
+        sums = np.append(0, np.cumsum(np.fromiter(map(self.__getitem__, missed), np.int64, len(missed))))
+        texts, ends = np.array(owners, np.int64).T
+        np.add.at(out, texts, sums[ends] - sums[np.append(0, ends[:-1])])
+        owners.clear()
 
     def merged(self, words: list[bytes]) -> np.ndarray:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
