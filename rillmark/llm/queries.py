@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, tokens
+from . import chat, pieces, tokens
 
 
 def queries() -> dict:
     return {
         "op5_token_counts": tokens.op5_token_counts,
+        "op6_sentencepiece": pieces.op6_sentencepiece,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
 
