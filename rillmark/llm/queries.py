@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, pieces, tokens
+from . import chat, pieces, quality, tokens
 
 
 def queries() -> dict:
     return {
         "op5_token_counts": tokens.op5_token_counts,
         "op6_sentencepiece": pieces.op6_sentencepiece,
+        "op9_quality_rules": quality.op9_quality_rules,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
 
