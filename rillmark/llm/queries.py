@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, pieces, quality, tokens
+from . import chat, decontaminate, pieces, quality, tokens
 
 
 def queries() -> dict:
     return {
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op5_token_counts": tokens.op5_token_counts,
         "op6_sentencepiece": pieces.op6_sentencepiece,
         "op9_quality_rules": quality.op9_quality_rules,
