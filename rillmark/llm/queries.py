@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, pieces, quality, tokens
+from . import chat, decontaminate, pieces, quality, sharding, tokens, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op5_token_counts": tokens.op5_token_counts,
         "op6_sentencepiece": pieces.op6_sentencepiece,
+        "op7_url_filters": urls.op7_url_filters,
+        "op8_sharding": sharding.op8_sharding,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_chat_formatting": chat.op10_chat_formatting,
     }
