@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, pieces, quality, sharding, tokens, urls
+from . import chat, decontaminate, html_extract, pieces, quality, sharding, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op3_decontamination": decontaminate.op3_decontamination,
+        "op4_html_extraction": html_extract.op4_html_extraction,
         "op5_token_counts": tokens.op5_token_counts,
         "op6_sentencepiece": pieces.op6_sentencepiece,
         "op7_url_filters": urls.op7_url_filters,
