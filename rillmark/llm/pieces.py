@@ -128,7 +128,7 @@ class Normalizer:
 
 
 class Encoder(dict):
-    """Chunk of normalised text -> (number of ids, ids as text, ids, bytes of each piece)."""
+    """Chunk of normalised text -> (ids, ids as text, bytes of each piece)."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -168,53 +168,56 @@ class Encoder(dict):
                 if a is not None and b is not None:
                     pairs[a, b] = (ranks[pieces[i].score], i)
         self.table = PairTable(pairs)
+        self.sizes = np.array([*(len(t.encode()) for t in self.text), 0], np.int32)
+        self.number = [*map(str, range(len(pieces))), ""]
+        self.symbol_of = np.full(0x110000, -1, np.int64)
+        for c, i in self.chars.items():
+            if i < self.outside:
+                self.symbol_of[ord(c)] = i
         crossing = any(SPACE in p.lstrip(SPACE) for p in usable)
         self.cut = None if crossing else regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.piece_bytes = [b"" if k == CONTROL else bytes([int(t[3:5], 16)]) if k == BYTE else self.unknown_text.encode() if k == UNKNOWN else t.replace(SPACE, " ").encode() for k, t in zip(self.kind, self.text, strict=True)]
         self.missed: list[str] = []
 
-    def _symbols(self, chunk: str) -> tuple[list[int], dict[int, str]]:
-        """Symbols of the characters; those of characters that no piece holds stand alone."""
-        get, top = self.chars.get, self.outside + len(self.extra)
-        out, strange = [], {}
+    def _slow(self, chunk: str) -> tuple:
+        """The entry of a chunk merged one pair at a time; characters in no piece stand alone."""
+        top, strange, symbols = self.outside + len(self.extra), {}, []
         for c in chunk:
-            s = get(c)
+            s = self.chars.get(c)
             if s is None:
                 s = top + len(strange)
                 strange[s] = c
-            out.append(s)
-        return out, strange
-
-    def _entry(self, symbols: list[int], strange: dict[int, str]) -> tuple:
+            symbols.append(s)
         ids, sizes = [], []
-        for s in symbols:
+        for s in merge_one(symbols, self.table):
             if s < self.outside:
                 ids.append(s)
-                sizes.append(len(self.text[s].encode()))
+                sizes.append(int(self.sizes[s]))
                 continue
-            c = strange.get(s) or self.extra[s - self.outside]
-            data = c.encode()
-            if self.fallback:
-                ids.extend(self.byte_ids[b] for b in data)
-                sizes.extend([1] * len(data))
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(data))
-        return len(ids), " ".join(map(str, ids)), tuple(ids), np.array(sizes, np.int32).tobytes()
+            data = (strange.get(s) or self.extra[s - self.outside]).encode()
+            ids.extend([self.byte_ids[b] for b in data] if self.fallback else [self.unknown])
+            sizes.extend([1] * len(data) if self.fallback else [len(data)])
+        return tuple(ids), " ".join(map(str, ids)), np.array(sizes, np.int32).tobytes()
 
     def learn(self, chunks: list[str]) -> None:
+        """Entries of chunks: those whose characters are all pieces, and that don't begin with
+        two marks (runs of marks have pieces of equal score), are merged together."""
         for at in range(0, len(chunks), CHUNKS):
             part = chunks[at : at + CHUNKS]
-            given = [self._symbols(c) for c in part]
-            # a chunk with several marks or very long may hold equal ranks: one pair at a time
-            alone = [i for i, c in enumerate(part) if c.startswith(SPACE * 2)]
-            sizes = np.fromiter((len(s) for s, _ in given), np.int64, len(given))
-            flat, counts, odd = merge_all(np.fromiter(chain.from_iterable(s for s, _ in given), np.int64, int(sizes.sum())), sizes, self.table)
-            odd[alone] = True
-            flat, ends = flat.tolist(), np.cumsum(counts).tolist()
-            for i, c in enumerate(part):
-                symbols = merge_one(given[i][0], self.table) if odd[i] else flat[ends[i] - int(counts[i]) : ends[i]]
-                self[c] = self._entry(symbols, given[i][1])
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            symbols = self.symbol_of[np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)]
+            starts = np.cumsum(sizes) - sizes
+            slow = np.minimum.reduceat(symbols, starts) < 0
+            flat, counts, odd = merge_all(np.where(symbols < 0, self.outside, symbols), sizes, self.table)
+            slow |= odd
+            lengths = self.sizes[flat].tobytes()
+            ids, words = flat.tolist(), list(map(self.number.__getitem__, flat.tolist()))
+            begin = 0
+            double = SPACE * 2
+            for c, n, bad in zip(part, counts.tolist(), slow.tolist(), strict=True):
+                end = begin + n
+                self[c] = self._slow(c) if bad or c.startswith(double) else (tuple(ids[begin:end]), " ".join(words[begin:end]), lengths[4 * begin : 4 * end])
+                begin = end
 
     def encode(self, texts: list[str | None]) -> list[list[tuple]]:
         """The entries of every text's chunks, in order."""
@@ -227,7 +230,7 @@ class Encoder(dict):
 
     def spans(self, text: str, entries: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """Start and end, in bytes of the original text, of every piece."""
-        ends = np.cumsum(np.frombuffer(b"".join([e[3] for e in entries]), np.int32).astype(np.int64))
+        ends = np.cumsum(np.frombuffer(b"".join([e[2] for e in entries]), np.int32).astype(np.int64))
         source = self.normalizer(text)[1]
         if source is None:
             source = self._identity_source(text)
@@ -321,7 +324,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             at = 0
             for texts in _some(batch.column(1).to_pylist()):
                 coded = enc.encode(texts)
-                ids = [[*chain.from_iterable(e[2] for e in entries), enc.end] for entries in coded]
+                ids = [[*chain.from_iterable(e[0] for e in entries), enc.end] for entries in coded]
                 cols = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())]
                 if spans:
                     both = [enc.spans(t or "", e) if e else (np.zeros(0, np.int64),) * 2 for t, e in zip(texts, coded, strict=True)]
@@ -346,7 +349,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for texts in _some(batch.column(1).to_pylist()):
                 counts, coded_as, decoded_as, covered = [], [], [], []
                 for text, entries in zip(texts, enc.encode(texts), strict=True):
-                    ids = list(chain.from_iterable([e[2] for e in entries]))
+                    ids = list(chain.from_iterable([e[0] for e in entries]))
                     ids.append(enc.end)
                     said = " ".join([e[1] for e in entries] + [str(enc.end)])
                     counts.append(len(ids))
