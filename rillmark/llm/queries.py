@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_extract, pieces, quality, sharding, tokens, urls
+from . import chat, decontaminate, html_extract, ngram_join, pieces, quality, sharding, tokens, urls
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_html_extraction": html_extract.op4_html_extraction,
         "op5_token_counts": tokens.op5_token_counts,
