@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_extract, ngram_join, pieces, quality, sharding, tokens, urls
+from . import chat, decontaminate, html_extract, ngram_join, pieces, quality, sharding, suffix_dedup, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_html_extraction": html_extract.op4_html_extraction,
         "op5_token_counts": tokens.op5_token_counts,
