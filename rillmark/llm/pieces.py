@@ -313,10 +313,12 @@ def _some(texts: list, most: int = 1 << 20) -> Iterator[list]:
         yield part
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """id_col, ids (with the end id) and decoded of every row; with spans also starts and ends,
-    the original bytes of every piece (the end id covers none)."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, spans: bool = False) -> DataFrame:
+    """id_col, ids (with the end id) and round_trip (whether they decode to the text) of every
+    row; if asked for, decoded, and starts and ends, the original bytes of every piece (the end
+    id covers none)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "ids", "round_trip", *["decoded"] * decoded, *["starts", "ends"] * spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -325,15 +327,19 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             for texts in _some(batch.column(1).to_pylist()):
                 coded = enc.encode(texts)
                 ids = [[*chain.from_iterable(e[0] for e in entries), enc.end] for entries in coded]
-                cols = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(x) for x in ids], pa.string())]
+                back = [enc.decode(x) for x in ids]
+                same = [x == (t or "") for x, t in zip(back, texts, strict=True)]
+                cols = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                if decoded:
+                    cols.append(pa.array(back, pa.string()))
                 if spans:
                     both = [enc.spans(t or "", e) if e else (np.zeros(0, np.int64),) * 2 for t, e in zip(texts, coded, strict=True)]
                     tail = [len((t or "").encode()) for t in texts]
                     cols += [pa.array([[*x[k].tolist(), n] for x, n in zip(both, tail, strict=True)], pa.list_(pa.int64())) for k in (0, 1)]
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "ids", "decoded", "starts", "ends"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = f"id {kind}, ids array<int>, decoded string" + (", starts array<long>, ends array<long>" if spans else "")
+    schema = f"id {kind}, ids array<int>, round_trip boolean" + ", decoded string" * decoded + (", starts array<long>, ends array<long>" if spans else "")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -123,8 +123,8 @@ def base_counts(texts: list[str | None], scores: list[Scores]) -> dict[str, np.n
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """id_col, the language's hash, the base counts and nll of every row."""
+def score_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, columns of ``keep``, the language's hash, the base counts and nll of every row."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(kn.Model.collected(*kn.model_rows(kn.count_ngrams(docs, text_col, lang_col))))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -133,18 +133,16 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
         memo: dict[int, Scores] = {}
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            for lang in set(langs) - memo.keys():
-                if len(memo) > 64:
-                    memo.clear()
-                memo[lang] = Scores(model.value, lang)
+            if len(memo) > 64:
+                memo.clear()
             for lang in set(langs) - memo.keys():
                 memo[lang] = Scores(model.value, lang)
             got = base_counts(batch.column(2).to_pylist(), [memo[x] for x in langs])
-            cols = [batch.column(0), batch.column(1), *(pa.array(got[c]) for c in (*COUNTS, "nll"))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "lang_id", *COUNTS, "nll"])
+            cols = [*(batch.column(c) for c in ("id", "lang_id", *keep)), *(pa.array(got[c]) for c in (*COUNTS, "nll"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "lang_id", *keep, *COUNTS, "nll"])
 
-    rows = docs.select(F.col(id_col).alias("id"), kn.lang_id(F.col(lang_col)).alias("lang_id"), F.col(text_col).alias("t"))
-    schema = f"id {kind}, lang_id int, " + ", ".join(f"{c} long" for c in COUNTS) + ", nll double"
+    rows = docs.select(F.col(id_col).alias("id"), kn.lang_id(F.col(lang_col)).alias("lang_id"), F.col(text_col).alias("t"), *keep)
+    schema = f"id {kind}, lang_id int, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + ", ".join(f"{c} long" for c in COUNTS) + ", nll double"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -159,9 +157,9 @@ def bands(scored: DataFrame, width: float) -> DataFrame:
     return upto.groupBy("lang_id").agg(*cut).select("lang_id", (F.col("q50") - spread).alias("low"), (F.col("q50") + spread).alias("high"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, short: float = 7.0) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, short: float = 7.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """The base counts, log_perplexity (null without words), its band, base_failed and kept."""
-    scored = written(score_documents(docs, id_col, text_col, lang_col), "quality-scored")
+    scored = written(score_documents(docs, id_col, text_col, lang_col, keep), "quality-scored")
     with_bands = scored.join(F.broadcast(bands(scored, width)), "lang_id", "left")
     rate = F.when(F.col("n_words") > 0, F.col("nll") / F.col("n_words"))
     room = short / F.sqrt(F.greatest("n_words", F.lit(1)))
