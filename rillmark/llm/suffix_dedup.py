@@ -7,9 +7,10 @@ anchor. Neighbouring starts of one anchor and the bytes that their windows cover
 
 * Regions are counted by anchor and content, over all documents. A region whose content occurs
   twice is repeated as a whole; an anchor with one content that holds the anchor once has nothing
-  repeated. Two bit filters of fixed size tell the second pass which regions to hand over.
-* Only anchors with several contents, or with one that holds the anchor twice, need their bytes
-  compared: each different content goes once into a shard. Shards are sorted as suffix arrays
+  repeated. Two contents can only share a window if they agree in the ``BESIDE`` bytes before or
+  behind the anchor. Two bit filters of fixed size tell the second pass which regions to hand over.
+* Only contents that agree so with another one of their anchor, and all of an anchor that stands
+  in a content twice, need their bytes compared: each of them goes once into a shard. Shards are sorted as suffix arrays
   (``induced``), and starts whose permuted common prefix, with the suffix before or the one
   behind, has ``LENGTH`` bytes are repeated.
 * Anchors with more than ``HOT`` contents are not put into one task: their windows are counted by
@@ -35,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import row_key, table, written
 from .induced import permuted_common_prefixes, suffix_array
 
-LENGTH, GRAM = 200, 16
+LENGTH, GRAM = 200, 48
+#: A window has so many bytes at least before its anchor, or behind it.
+BESIDE = (LENGTH - GRAM) // 2
+#: Tells the two bit filters' values apart.
+OTHER = 0x5851F42D4C957F2D
 SHARD = 1 << 20
 HOT = 2000
 FILTER_BITS = 1 << 26
@@ -55,26 +60,28 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
 def gram_hashes(data: bytes) -> np.ndarray:
     """Hash of the GRAM bytes from every place on (garbage where fewer are left)."""
     padded = np.frombuffer(data + bytes(GRAM + 8), np.uint8)
-    words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + 8,), (1,)).copy()
-    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
-    h += words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
+    words = np.lib.stride_tricks.as_strided(padded[:8].view(np.uint64), (len(data) + GRAM,), (1,)).copy()
+    h = np.full(len(data), np.uint64(GRAM))
+    for at in range(0, GRAM, 8):
+        h ^= words[at : at + len(data)]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h ^= h >> np.uint64(29)
     return h
 
 
 def regions(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """doc, start, end (of the starts), anchor, content hash, and whether the anchor is in the
-    region more than once, of all regions of the texts; the texts' bytes in a row, and offsets."""
+    """doc, start, end (of the starts), anchor, content hash, whether the anchor is in the region
+    more than once, and hashes of the bytes before and behind it (0: fewer than ``BESIDE`` in the
+    region), of all regions of the texts; the texts' bytes in a row, and offsets."""
     data = b"".join(texts)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.cumsum(sizes) - sizes
     width = LENGTH - GRAM + 1
     if len(data) < LENGTH:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), data, offsets
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool), none, none, data, offsets
     h = gram_hashes(data)[: len(data) - GRAM + 1]
     least = _slide(h, width, np.minimum)  # of the windows, by their start
     doc = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
@@ -91,10 +98,18 @@ def regions(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     names, rank = np.unique(h[chosen], return_inverse=True)
     key = np.sort(rank * np.int64(len(h)) + chosen)
     own = np.searchsorted(names, anchor) * np.int64(len(h))
-    twice = np.searchsorted(key, own + last + width - 1, side="right") - np.searchsorted(key, own + first) > 1
+    lowest = np.searchsorted(key, own + first)
+    twice = np.searchsorted(key, own + last + width - 1, side="right") - lowest > 1
+    place = key[lowest] - own
     view, digest = memoryview(data), xxhash.xxh3_64_intdigest
     content = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)), np.uint64, len(first))
-    return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], anchor, content, twice, data, offsets
+    sides = []
+    for begin, fits in ((place - BESIDE, place - BESIDE >= first), (place + GRAM, place + GRAM + BESIDE <= last + LENGTH)):
+        some = np.flatnonzero(fits)
+        side = np.zeros(len(first), np.int64)
+        side[some] = np.fromiter((digest(view[x : x + BESIDE]) >> 1 for x in begin[some].tolist()), np.int64, len(some))
+        sides.append(side)
+    return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], anchor, content, twice, *sides, data, offsets
 
 
 def _batches(column: list, most: int = BATCH) -> Iterator[tuple[int, list[bytes]]]:
@@ -110,16 +125,26 @@ def _batches(column: list, most: int = BATCH) -> Iterator[tuple[int, list[bytes]
 
 
 def counted_regions(docs: DataFrame, text_col: str) -> DataFrame:
-    """a (anchor), d (content), n (how often), twice of every different region."""
+    """a (anchor), d (content), n (how often), twice, before and behind of every different region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _batches(batch.column(0).to_pylist()):
-                _, _, _, a, d, twice, _, _ = regions(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), pa.array(twice)], names=["a", "d", "twice"])
+                _, _, _, a, d, twice, before, behind, _, _ = regions(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), pa.array(twice), pa.array(before), pa.array(behind)], names=["a", "d", "twice", "before", "behind"])
+
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "a long, d long, twice boolean, before long, behind long")
+    return rows.groupBy("a", "d").agg(F.count("*").alias("n"), *(F.max(x).alias(x) for x in ("twice", "before", "behind")))
+
 
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "a long, d long, twice boolean")
-    return rows.groupBy("a", "d").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
+def to_compare(counted: DataFrame) -> DataFrame:
+    """a, d of the contents that may share a window with another one, or within themselves."""
+    several = counted.groupBy("a").agg(F.count("*").alias("contents"), F.max("twice").alias("any")).where("contents > 1 or any").select("a", "any")
+    asked = written(counted.join(several, "a").select("a", "d", "any", "before", "behind"), "several")
+    for side in ("before", "behind"):
+        alike = asked.where(F.col(side) != 0).groupBy("a", side).agg(F.count("*").alias("m")).where("m > 1").select("a", side, F.lit(True).alias(f"by_{side}"))
+        asked = asked.join(alike, ["a", side], "left")
+    return written(asked.where("any or by_before or by_behind").select("a", "d"), "compared")
 
 
 def bit_filter(rows: DataFrame, column) -> np.ndarray:
@@ -206,9 +231,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     counted = written(counted_regions(docs, text_col), "regions")
-    several = written(counted.groupBy("a").agg(F.count("*").alias("contents"), F.max("twice").alias("twice")).where("contents > 1 or twice"), "anchors")
+    compared = to_compare(counted)
     full = counted.where("n > 1").select("a", "d")
-    needs = spark.sparkContext.broadcast(bit_filter(several, F.col("a")).tobytes())
+    needs = spark.sparkContext.broadcast(bit_filter(compared, F.col("a").bitwiseXOR(F.col("d")).bitwiseXOR(F.lit(OTHER))).tobytes())
     whole = spark.sparkContext.broadcast(bit_filter(full, F.col("a").bitwiseXOR(F.col("d"))).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,9 +241,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         sent: set[tuple[int, int]] = set()
         for batch in batches:
             for at, texts in _batches(batch.column(2).to_pylist()):
-                doc, first, last, a, d, _, data, offsets = regions(texts)
+                doc, first, last, a, d, _, _, _, data, offsets = regions(texts)
                 a, d = a.view(np.int64), d.view(np.int64)
-                need = passes(need_bits, a)
+                need = passes(need_bits, a ^ d ^ np.int64(OTHER))
                 hit = np.flatnonzero(need | passes(whole_bits, a ^ d))
                 parts = []
                 for i, wanted in zip(hit.tolist(), need[hit].tolist(), strict=True):
@@ -237,7 +262,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
     found = written(rows.mapInArrow(run, f"id {kind}, key long, first int, last int, a long, d long, bytes binary"), "occurrences")
 
-    contents = found.where("bytes is not null").join(several.select("a", "contents"), "a").groupBy("a", "d").agg(F.first("bytes").alias("bytes"), F.first("contents").alias("contents"))
+    counts = compared.groupBy("a").agg(F.count("*").alias("contents"))
+    contents = found.where("bytes is not null").join(compared, ["a", "d"]).groupBy("a", "d").agg(F.first("bytes").alias("bytes")).join(counts, "a")
     contents = written(contents, "contents")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = contents.where(F.col("contents") <= HOT).select("a", "d", "bytes").repartition(parts, "a").sortWithinPartitions("a")
