@@ -86,31 +86,35 @@ def _induce_many(text: np.ndarray, kind: np.ndarray, lms: np.ndarray, size: int)
     n = len(text)
     counts = np.bincount(text, minlength=size)
     ends = np.cumsum(counts)
-    t, s = text.tolist(), kind.tolist()
+    # symbol of the suffix before each one, if that is of type L (S), else -1; as for no suffix
+    behind = np.append(text[:-1], -1)
+    no = np.array([-1])
+    of_l = np.concatenate([no, np.where(kind[:-1], -1, behind[:-1]), no]).tolist()
+    of_s = np.concatenate([no, np.where(kind[:-1], behind[:-1], -1), no]).tolist()
     sa = [-1] * n
     tails = (ends - 1).tolist()
-    for p in reversed(lms.tolist()):
-        c = t[p]
-        sa[tails[c]] = p
-        tails[c] -= 1
+    for p, c in zip(lms[::-1].tolist(), text[lms[::-1]].tolist(), strict=True):
+        at = tails[c]
+        tails[c] = at - 1
+        sa[at] = p
     heads = (ends - counts).tolist()
-    c = t[n - 1]
+    c = int(text[n - 1])
     # the end induces the last suffix before anything else
-    sa_last, heads[c] = heads[c], heads[c] + 1
-    sa[sa_last] = n - 1
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not s[p]:
-            c = t[p]
-            sa[heads[c]] = p
-            heads[c] += 1
+    sa[heads[c]] = n - 1
+    heads[c] += 1
+    for v in sa:  # sees what is placed behind the current place
+        c = of_l[v]
+        if c >= 0:
+            at = heads[c]
+            heads[c] = at + 1
+            sa[at] = v - 1
     tails = (ends - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and s[p]:
-            c = t[p]
-            sa[tails[c]] = p
-            tails[c] -= 1
+    for v in reversed(sa):
+        c = of_s[v]
+        if c >= 0:
+            at = tails[c]
+            tails[c] = at - 1
+            sa[at] = v - 1
     return np.array(sa, np.int64)
 
 

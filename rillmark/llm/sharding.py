@@ -4,9 +4,9 @@ Linked documents hang on common hubs (for equal texts: the text), so that a grou
 has n links and not n**2. Every round counts each hub's documents by shard, and documents ask
 for the shard where most of their hubs' documents are. What is granted between two shards is at
 most what goes the other way plus the room that is left under the quota; who of the askers moves
-is drawn by a hash. After the rounds documents are put in the order of shard, hub and node and
-dealt out in equal shares of that order, which moves only those above the quota and makes the
-counts differ by one at most.
+is drawn by a hash. After the rounds the last askers follow, documents are put in the order of
+shard, hub and node and dealt out in equal shares of that order, which moves only those above the
+quota and makes the counts differ by one at most.
 
 Sums by hub and shard are combined before the shuffle; joins on hubs are skew joins that Spark
 may split. The driver reads the matrix of requests (shards**2 numbers) and the row count of each
@@ -42,15 +42,20 @@ def granted(asked: np.ndarray, rows: np.ndarray, quota: float) -> np.ndarray:
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = 0.02) -> DataFrame:
     """node, shard: ``nodes`` has a column node, ``links`` columns node and hub."""
     state = written(nodes.select("node", F.pmod(F.xxhash64("node", F.lit(0)), F.lit(shards)).cast("int").alias("shard")), "shards")
-    for turn in range(rounds):
+
+    def asking(state: DataFrame) -> DataFrame:
+        """Adds to, the shard that most of a node's hubs' nodes are in."""
         votes = links.join(state, "node").groupBy("hub", "shard").agg(F.count("*").alias("n"))
         best = votes.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("b"))
         pulls = links.join(best.select("hub", "b.shard", "b.n"), "hub").groupBy("node", "shard").agg(F.sum("n").alias("n"))
         target = pulls.groupBy("node").agg(F.max(F.struct("n", "shard")).alias("b")).select("node", F.col("b.shard").alias("to"))
-        asking = written(state.join(target, "node", "left"), "asking")
+        return written(state.join(target, "node", "left"), "asking")
+
+    for turn in range(rounds):
+        asks = asking(state)
         rows = np.zeros(shards)
         asked = np.zeros((shards, shards))
-        for r in asking.groupBy("shard", F.coalesce("to", "shard").alias("to")).agg(F.count("*").alias("n")).collect():
+        for r in asks.groupBy("shard", F.coalesce("to", "shard").alias("to")).agg(F.count("*").alias("n")).collect():
             rows[r.shard] += r.n
             if r.to != r.shard:
                 asked[r.shard, r.to] = r.n
@@ -61,8 +66,9 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         table_of = F.array(*(F.lit(float(x)) for x in chance.ravel()))
         drawn = F.pmod(F.xxhash64("node", F.lit(turn + 1)), F.lit(1 << 30)) / (1 << 30)
         goes = F.col("to").isNotNull() & (drawn < F.get(table_of, F.col("shard") * shards + F.coalesce("to", F.lit(0))))
-        state = written(asking.select("node", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shards")
-    return state
+        state = written(asks.select("node", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shards")
+    # who still asks gets what it asked for: dealing out the order takes back what is over the quota
+    return asking(state).select("node", F.coalesce("to", "shard").alias("shard"))
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
