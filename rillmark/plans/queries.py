@@ -504,6 +504,14 @@ def generated_events(spark, d):
     return generator.events(spark, 5000, seed=42)
 
 
+@query()
+def generated_system_stats(spark, d):
+    """A run over generated events: priorities, suspicious users, payments and plays."""
+    made = generator.events(spark, 50_000, seed=7, users=200, items=500)
+    told = made.select(F.col("id").alias("event_id"), F.col("timestamp").alias("ts"), "user_id", "event_type", F.col("video_id").alias("item"), F.col("ip").alias("address"), "is_premium")
+    return system.statistics(system.dispatch(priority.classified(told), 4))
+
+
 @query()
 def zipf_sample(spark, d):
     return generator.zipf(spark, 100, 20_000, 1.2, seed=42)

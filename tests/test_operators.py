@@ -87,6 +87,13 @@ def test_bloom_has_no_false_negatives(spark):
     assert judged.where("not maybe").count() == 0
 
 
+def test_native_filter_agrees(spark):
+    known = frame(spark, [(i,) for i in range(0, 400, 2)], "user_id long")
+    native = bloom.native_filter(known, "user_id", 200, 0.01)
+    assert all(native.mightContainLong(i) for i in range(0, 400, 2))
+    assert sum(native.mightContainLong(i) for i in range(1, 400, 2)) < 20
+
+
 def test_sketch_never_underestimates(spark):
     e = frame(spark, [(f"i{i % 37}",) for i in range(900)], "item string")
     table = frequency.sketch(e, "item", 11, 3)
