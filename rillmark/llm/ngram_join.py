@@ -5,15 +5,20 @@ words between ASCII white space). Documents of equal sets are one class, and onl
 
 * Order: a sketch of ``BUCKETS`` counters over all documents ranks shingles from rare to common.
   Any one order is right; this one keeps common passages out of what follows.
-* Tiles: of n shingles the first n - ceil(3n/4) + 1 in that order are a class's tokens. Two
-  classes with a similarity of 3/4 share a token. A tile is the classes of a token; tokens that the
-  sketch counts often are dealt over several parts, so that no task gets a tile of any size.
-* First links: in each part every class is paired with the part's first class and its
-  neighbour; of these pairs each class verifies the one it meets most often.
-* All other links: tiles whose classes are in one component already have nothing to add. The
-  others are compared in size order, within the band of sizes that can reach 3/4, by bitmaps of
-  ``BITS`` bits: the bits in which two bitmaps differ bound the difference of the sets from
-  below, so the overlap from above. Tiles too large for one task are compared block by block.
+* Tiles: of n shingles the first n - ceil(3n/4) + 1 in that order are a class's tokens, the first
+  n - ceil(6n/7) + 1 of these its leading ones. Two classes with a similarity of 3/4 share a token
+  that leads in the smaller one. A tile is the classes of a token, in the order of their sizes;
+  a class without another one in the band of sizes that can reach 3/4 leaves the tile. Tokens
+  that the sketch counts often are dealt over several parts, so that no task gets a tile of
+  any size.
+* Forest: tiles are compared within the band by coarse parity bitmaps (about a bit a shingle; of
+  two widths the wider one is folded). The bits in which two bitmaps differ bound the difference
+  of the sets from below, so the overlap from above. A tile hands over the pairs that connect its
+  classes, fewer than it has classes, and the classes between which it held others back, by the
+  group that they were connected to. The pairs are verified.
+* The rest: such groups, and tiles that came in parts, whose classes are of several components
+  still, are compared once more, by fine bitmaps (eight bits a shingle and more), block by block
+  if they are large, and hand over all pairs of different components.
 * Verification: what the bitmaps leave is intersected exactly as sorted arrays.
 
 Nothing is dropped for its frequency: the components equal those of all links. Two different
@@ -41,10 +46,12 @@ from .components import components
 
 SHINGLE = 5
 BUCKETS, CHUNK = 1 << 20, 1 << 14
-BITS = 512
+NARROWEST, WIDEST = 256, 1 << 20
+#: Eighths of a bit for a shingle, at least, in coarse and in fine bitmaps.
+COARSE, FINE = 6, 64
 MEMO = 1_000_000
 #: Classes that a part of a tile, or a block of a tile, is meant to hold at most.
-PART, BLOCK = 1000, 1000
+PART, BLOCK = 20_000, 1000
 FILTER_BITS = 1 << 24
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _weights = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
@@ -123,8 +130,18 @@ def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, parts.astype(np.int32)
 
 
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def prefix(n: int, top: int, of: int) -> int:
+    """How many of n shingles are tokens, if at least top/of of them have to be shared."""
+    return n - -(-top * n // of) + 1 if n else 0
+
+
 def set_rows(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray) -> DataFrame:
-    """id, key, n, c (64-bit hash of the set), bitmap, and tokens with their parts, of every row."""
+    """id, key, n, d (64-bit hash of the set), coarse bitmap, and tokens, the parts they are dealt
+    to (-1: one part) and how many of them lead, of every row."""
     rank, parts = levels(counts)
     shared = docs.sparkSession.sparkContext.broadcast((np.packbits(np.unpackbits(rank[:, None], axis=1)[:, 4:], axis=None), np.flatnonzero(parts > 1), parts[parts > 1]))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -139,63 +156,90 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, c, maps, tokens, deals = [], [], [], [], []
+                n, d, maps, lead, tokens, deals = [], [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingles(text, memo)
                     n.append(len(s))
                     name = xxhash.xxh3_64_intdigest(s.tobytes())
-                    c.append(name - (1 << 64) if name >= 1 << 63 else name)
-                    maps.append(np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes())
+                    d.append(signed(name))
+                    maps.append(bitmap(s, COARSE))
+                    lead.append(prefix(len(s), 6, 7))
                     b = bucket(s)
-                    order = np.argsort((rank[b] << np.uint64(60)) | (s >> np.uint64(4)), kind="stable")[: len(s) - -(-3 * len(s) // 4) + 1 if len(s) else 0]
+                    order = np.argsort((rank[b] << np.uint64(60)) | (s >> np.uint64(4)), kind="stable")[: prefix(len(s), 3, 4)]
                     tokens.append(s[order].view(np.int64))
                     k = parts[b[order]]
-                    deals.append(np.where(k > 1, name % k if name < 1 << 63 else (name >> 1) % k, -1).astype(np.int32))
+                    deals.append(np.where(k > 1, (name >> 1) % k, -1).astype(np.int32))
                 ends = pa.array(np.append(0, np.cumsum([len(x) for x in tokens])), pa.int32())
-                cols = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(maps, pa.binary())]
+                cols = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(maps, pa.binary()), pa.array(lead, pa.int32())]
                 cols += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (tokens, deals)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n", "c", "bitmap", "tokens", "parts"])
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n", "d", "bitmap", "lead", "tokens", "parts"])
 
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, key long, n long, c long, bitmap binary, tokens array<long>, parts array<int>")
-
-
-def could_link(n_a, n_b, differing):
-    """7 * overlap >= 3 * (n_a + n_b) with the greatest overlap that the bitmaps allow."""
-    return (n_a + n_b >= 7 * differing) & (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b))
-
-
-def differing_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-
-
-def bitmaps_of(column: pa.Array) -> np.ndarray:
-    if not len(column):
-        return np.zeros((0, BITS // 64), np.uint64)
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-
-
-def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps leave."""
-    side = classes.select("c", "n", "bitmap")
-    both = pairs.join(side.toDF("a", "n_a", "map_a"), "a").join(side.toDF("b", "n_b", "map_b"), "b")
-    names = pairs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            fits = could_link(n_a, n_b, differing_bits(bitmaps_of(batch.column("map_a")), bitmaps_of(batch.column("map_b"))))
-            yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(fits)) for x in names], names=names)
-
-    return both.mapInArrow(run, pairs.schema)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 3/4 or more."""
-    pairs = written(pairs.select("a", "b"), "pairs")
-    named = written(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct().join(classes.select("c", "key"), "c"), "named")
+    return rows.mapInArrow(run, f"id {kind}, key long, n long, d long, bitmap binary, lead int, tokens array<long>, parts array<int>")
+
+
+def bitmap(s: np.ndarray, eighths: int) -> bytes:
+    """Parity of the number of shingles at each bit; a map of half the width is the two halves'
+    exclusive or."""
+    width = NARROWEST
+    while width < min(eighths * len(s) // 8, WIDEST):
+        width *= 2
+    at = (s & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(bool), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several widths, and in how many bits pairs of them differ."""
+
+    def __init__(self, column: pa.Array):
+        data = column.to_pylist()
+        self.words = np.fromiter((len(d) // 8 for d in data), np.int64, len(data))
+        self.place: dict[int, np.ndarray] = {}
+        self.maps: dict[int, np.ndarray] = {}
+        for width in np.unique(self.words).tolist():
+            own, wider = np.flatnonzero(self.words == width), np.flatnonzero(self.words == 2 * width)
+            maps = np.frombuffer(b"".join([data[i] for i in own]), np.uint64).reshape(-1, width)
+            if len(wider):
+                both = np.frombuffer(b"".join([data[i] for i in wider]), np.uint64).reshape(-1, 2, width)
+                maps = np.concatenate([maps, both[:, 0] ^ both[:, 1]])
+            self.maps[width] = maps
+            self.place[width] = np.zeros(len(data), np.int64)
+            self.place[width][np.append(own, wider)] = np.arange(len(maps))
+
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of sets whose sizes are within a band the widths are equal or one is twice the other;
+        for all others the answer is so large that they can't link."""
+        low, high = np.minimum(self.words[a], self.words[b]), np.maximum(self.words[a], self.words[b])
+        out = np.full(len(a), 1 << 50)
+        for width in np.unique(low).tolist():
+            at = np.flatnonzero((low == width) & (high <= 2 * width))
+            place, maps = self.place[width], self.maps[width]
+            for i in range(0, len(at), 4096):
+                k = at[i : i + 4096]
+                out[k] = np.bitwise_count(maps[place[a[k]]] ^ maps[place[b[k]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def in_band(n_a, n_b):
+    return 4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b)
+
+
+def could_link(n_a: np.ndarray, n_b: np.ndarray, maps: Bitmaps, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether 7 * overlap >= 3 * (n_a + n_b) with the greatest overlap that the bitmaps allow."""
+    fits = in_band(n_a, n_b)
+    some = np.flatnonzero(fits)
+    fits[some] = n_a[some] + n_b[some] >= 7 * maps.differing(a[some], b[some])
+    return fits
+
+
+def class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """d and s (the sorted shingles) of the classes, given with the key of one row of each.
+
+    A bit filter of fixed size tells which rows are read again. It lets through some rows of other
+    classes, and equal rows twice; who joins by d doesn't mind.
+    """
     at = F.pmod("key", F.lit(FILTER_BITS))
-    words = named.groupBy(F.shiftright(at, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 63 as int))")).alias("w")).toArrow()
+    words = classes.groupBy(F.shiftright(at, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {FILTER_BITS}) & 63 as int))")).alias("w")).toArrow()
     bit_filter = np.zeros(FILTER_BITS // 64, np.int64)
     bit_filter[words.column("at").to_numpy()] = words.column("w").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter.tobytes())
@@ -205,15 +249,19 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
         memo = WordHashes()
         for batch in batches:
             bit = batch.column(0).to_numpy() % FILTER_BITS
-            some = batch.take(pa.array(np.flatnonzero((wanted[bit >> 6] >> (bit & 63)) & 1)))
-            for at in range(0, some.num_rows, 500):
-                part = some.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, memo).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["key", "s"])
+            texts = batch.column(1).take(pa.array(np.flatnonzero((wanted[bit >> 6] >> (bit & 63)) & 1)))
+            for at in range(0, len(texts), 500):
+                found = [shingles(t, memo).tobytes() for t in texts.slice(at, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([signed(xxhash.xxh3_64_intdigest(s)) for s in found], pa.int64()), pa.array(found, pa.binary())], names=["d", "s"])
 
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
-    held = texts.mapInArrow(sets, "key long, s binary").join(named, "key").groupBy("c").agg(F.first("s").alias("s"))
-    held = written(held, "sets")
-    both = pairs.join(held.toDF("b", "s_b"), "b").join(held.toDF("a", "s_a"), "a")
+    return written(texts.mapInArrow(sets, "d long, s binary"), "sets")
+
+
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of 3/4 or more."""
+    named = pairs.join(classes.select(F.col("c").alias("a"), F.col("d").alias("d_a")), "a").join(classes.select(F.col("c").alias("b"), F.col("d").alias("d_b")), "b")
+    both = named.join(sets.toDF("d_b", "s_b"), "d_b").join(sets.toDF("d_a", "s_a"), "d_a")
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,68 +277,113 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_col: str,
     return written(both.select("a", "b", "s_a", "s_b").mapInArrow(intersect, "a long, b long"), "links")
 
 
-def tile_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of classes of different components that share a tile and may link: rows have token
-    and block (``x``, ``y``; together the tile), c, root, n and bitmap, sorted by tile."""
-
-    def compare(c, root, n, maps) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(n, kind="stable")
-        c, root, n, maps = c[order], root[order], n[order], maps[order]
-        out_a, out_b = [], []
-        last = np.searchsorted(3 * n, 4 * n, side="right")  # the band: up to 4/3 of the size
-        for i in range(len(c) - 1):
-            j = slice(i + 1, last[i])
-            if j.start < j.stop:
-                near = np.flatnonzero((root[j] != root[i]) & could_link(n[j], n[i], differing_bits(maps[j], maps[i])))
-                if len(near):
-                    out_a.append(np.full(len(near), c[i]))
-                    out_b.append(c[j][near])
-        if not out_a:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(out_a), np.concatenate(out_b)
-
-    def pairs_of(batch: pa.RecordBatch | pa.Table) -> tuple[list, list]:
-        t = np.stack([batch.column(x).to_numpy() for x in ("t", "x", "y")], axis=1)
+TILE = ("t", "x", "y")
+
+
+def tile_pairs(rows: DataFrame, everything: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a tile and may link.
+
+    ``rows`` have t, x, y (the tile), c, root, n, lead (the token leads) and bitmap, sorted by
+    tile and size. Unless ``everything`` is asked for, a tile hands over a forest, and rows without
+    b: classes a (with t, n, lead) of a group g of the tile in which pairs were held back.
+    """
+
+    def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = np.stack([batch.column(x).to_numpy() for x in TILE], axis=1)
         c, root, n = (batch.column(x).to_numpy() for x in ("c", "root", "n"))
-        maps = bitmaps_of(batch.column("bitmap"))
+        lead = batch.column("lead").to_numpy(zero_copy_only=False)
+        maps = Bitmaps(batch.column("bitmap"))
         cut = np.flatnonzero(np.append(True, (t[1:] != t[:-1]).any(axis=1)))
-        ends = np.append(cut[1:], len(t))
-        a, b = [], []
-        two = ends - cut == 2  # most tiles
-        i = cut[two]
-        fits = (root[i] != root[i + 1]) & could_link(n[i], n[i + 1], differing_bits(maps[i], maps[i + 1]))
-        a.append(c[i][fits])
-        b.append(c[i + 1][fits])
-        for lo, hi in zip(cut[ends - cut > 2].tolist(), ends[ends - cut > 2].tolist(), strict=True):
-            x, y = compare(c[lo:hi], root[lo:hi], n[lo:hi], maps[lo:hi])
-            a.append(x)
-            b.append(y)
-        return np.concatenate(a), np.concatenate(b)
+        size = np.diff(np.append(cut, len(t)))
+        tile = np.repeat(np.arange(len(cut)), size)
+        end = np.repeat(cut + size, size)
+        # rows are in size order: of each row the partners follow it, up to 4/3 of its size
+        stride = np.int64(4 * n.max() + 1)
+        last = np.minimum(np.searchsorted(tile * stride + 3 * n, tile * stride + np.minimum(4 * n, stride - 1), side="right"), end)
+        many = np.maximum(last - np.arange(len(n)) - 1, 0)
+        name, pairs = root.copy(), []
+        held: list[tuple[int, int]] = []  # row, group
+
+        def find(owner: dict, r: int) -> int:
+            while r in owner:
+                r = owner[r]
+            return r
+
+        owner: dict[int, int] = {}
+        between: set[int] = set()
+        of_tile = -1
+
+        def settle() -> None:
+            held.extend((r, find(owner, int(root[r]))) for r in sorted(between))
+            between.clear()
+
+        step = 0
+        while step < len(n):
+            # so many rows that they have a bounded number of partners
+            upto = max(step + 1, int(np.searchsorted(np.cumsum(many[step : step + 4096]), 200_000)) + step)
+            k = many[step:upto]
+            a = np.repeat(np.arange(step, step + len(k)), k)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            step += len(k)
+            some = (root[a] != root[b]) & (lead[a] | (lead[b] & (n[a] == n[b])))
+            a, b = a[some], b[some]
+            some = could_link(n[a], n[b], maps, a, b)
+            a, b = a[some], b[some]
+            if everything:
+                pairs.append((c[a], c[b]))
+                continue
+            # what is connected since an earlier step; only one tile can go on from there
+            met = name[a] == name[b]
+            if met.any():
+                between.update(np.unique(np.append(a[met], b[met])).tolist())
+                a, b = a[~met], b[~met]
+            kept = []
+            for i, (x, y, where) in enumerate(zip(root[a].tolist(), root[b].tolist(), tile[a].tolist(), strict=True)):
+                if where != of_tile:
+                    settle()
+                    owner.clear()
+                    of_tile = where
+                x, y = find(owner, x), find(owner, y)
+                if x == y:
+                    between.update((int(a[i]), int(b[i])))
+                else:
+                    owner[max(x, y)] = min(x, y)
+                    kept.append(i)
+            pairs.append((c[a[kept]], c[b[kept]]))
+            if step < len(n) and tile[step] == of_tile:
+                rest = slice(step, int(end[step]))
+                name[rest] = [find(owner, x) for x in root[rest].tolist()]
+        settle()
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        r = np.array([x for x, _ in held], np.int64)
+        none = [None] * len(found)
+        cols = [found[:, 0].tolist() + c[r].tolist(), found[:, 1].tolist() + [None] * len(r), none + t[r, 0].tolist(), none + [g for _, g in held], none + n[r].tolist()]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in cols), pa.array(none + lead[r].tolist(), pa.bool_())], names=["a", "b", "t", "g", "n", "lead"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-
-        def out(table: pa.Table) -> pa.RecordBatch:
-            a, b = pairs_of(table.combine_chunks().to_batches()[0])
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = np.stack([batch.column(x).to_numpy() for x in ("t", "x", "y")], axis=1)
+            t = np.stack([batch.column(x).to_numpy() for x in TILE], axis=1)
             change = np.flatnonzero((t[1:] != t[:-1]).any(axis=1))
             cut = int(change[-1]) + 1 if len(change) else 0  # the last tile may go on
-            if not cut and rest and all(rest[0].column(x)[0] == batch.column(x)[0] for x in ("t", "x", "y")):
+            if not cut and rest and all(rest[0].column(x)[0] == batch.column(x)[0] for x in TILE):
                 rest.append(batch)
                 continue
             if rest or cut:
-                yield out(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+                yield out(pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0])
             rest = [batch.slice(cut)]
         if rest:
-            yield out(pa.Table.from_batches(rest))
+            yield out(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, t long, g long, n long, lead boolean")
+
+
+def in_tiles(rows: DataFrame) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*TILE, "c", "root", "n", "lead", "bitmap").repartition(parts, *TILE).sortWithinPartitions(*TILE, "n")
 
 
 def rooted(df: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -300,49 +393,72 @@ def rooted(df: DataFrame, found: DataFrame | None) -> DataFrame:
     return df.join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
+def classes_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct().join(classes, "c")
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, key, n_shingles, class_id (equal for equal sets), component_id of every row."""
-    spark = docs.sparkSession
-    sets = written(set_rows(docs, id_col, text_col, sketch(docs, text_col)), "shingle-sets")
-    first = F.struct(F.col("id"), F.col("key"))
-    full = sets.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min(first).alias("rep"), F.first("tokens").alias("tokens"), F.first("parts").alias("parts"))
-    full = written(full.select("c", "n", "bitmap", F.col("rep.id").alias("id"), F.col("rep.key").alias("key"), "tokens", "parts"), "classes")
-    classes = full.select("c", "n", "bitmap", "id", "key")
-
-    # tiles: tokens that more than one class has
-    rows = full.select("c", F.explode(F.arrays_zip("tokens", "parts")).alias("x")).select(F.col("x.tokens").alias("t"), F.col("x.parts").alias("p"), "c")
-    part = Window.partitionBy("t", "p").orderBy("c")
-    seen = rows.withColumn("before", F.lag("c").over(part)).withColumn("after", F.lead("c").over(part)).withColumn("head", F.first("c").over(part))
-    tiles = written(seen.where("before is not null or after is not null or p >= 0"), "tiles")
-
-    star = tiles.where("before is not null").select(F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("c").alias("b")), F.struct(F.col("before").alias("a"), F.col("c").alias("b")))).alias("x"))
-    met = star.select("x.a", "x.b").groupBy("a", "b").agg(F.count("*").alias("times"))
-    met = written(bounded(met, classes), "met")
-    best = met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = verified(best, docs, classes, id_col, text_col)
+    """id_col, key, n_shingles, class_id (equal for equal sets), group_id (equal within
+    a component) and component_id of every row."""
+    sets = set_rows(docs, id_col, text_col, sketch(docs, text_col)).withColumn("r", F.monotonically_increasing_id())
+    sets = written(sets, "shingle-sets")
+    filled = sets.where("n > 0")
+    # a class is named by its least row number, which takes less room in a shuffle than a hash
+    classes = filled.groupBy("d").agg(F.min("r").alias("c"), *(F.first(x).alias(x) for x in ("n", "bitmap")), *(F.min(x).alias(x) for x in ("id", "key")))
+    classes = written(classes, "classes")
+
+    # tiles: the classes of a token that have company of their size; ``o`` is the token, for parts
+    tokens = filled.groupBy("d").agg(F.min("r").alias("c"), *(F.first(x).alias(x) for x in ("n", "lead", "tokens", "parts")))
+    rows = tokens.select("c", "n", F.col("lead").alias("l"), F.posexplode(F.arrays_zip("tokens", "parts")).alias("i", "x"))
+    parted = F.col("x.parts") >= 0
+    rows = rows.select(
+        F.when(parted, F.xxhash64("x.tokens", "x.parts")).otherwise(F.col("x.tokens")).alias("t"), "c",
+        (F.col("n") * 2 + (F.col("i") < F.col("l")).cast("long")).alias("m"), F.when(parted, F.col("x.tokens")).alias("o"),
+    )
+    part = Window.partitionBy("t").orderBy("m")
+    near = rows.withColumn("_b", F.shiftright(F.lag("m").over(part), 1)).withColumn("_a", F.shiftright(F.lead("m").over(part), 1))
+    near = near.withColumn("n", F.shiftright("m", 1)).withColumn("lead", F.col("m") % 2 == 1)
+    tiles = written(near.where("4 * _b >= 3 * n or 3 * _a <= 4 * n or o is not null").select("t", "c", "n", "lead", "o"), "tiles")
+
+    first = tiles.join(classes.select("c", "bitmap"), "c").withColumn("x", F.lit(0).cast("long")).withColumn("y", F.col("x"))
+    handed = written(tile_pairs(in_tiles(first.withColumn("root", F.col("c"))), False), "handed")
+    pairs = written(handed.where("b is not null").select("a", "b").distinct(), "pairs")
+    links = verified(pairs, classes, class_sets(docs, classes_of(pairs, classes), id_col, text_col))
     found = written(components(links), "components") if links.take(1) else None
 
-    # what is left: tiles with more than one component
-    left = rooted(tiles.select("t", "c"), found).select("t", "c", "root")
-    left = written(left, "left")
+    # what is left: groups between which pairs were held back, and tiles in parts, of several components
+    parted = tiles.where("o is not null").select(F.col("o").alias("t"), F.lit(0).cast("long").alias("g"), "c", "n", "lead")
+    held = handed.where("b is null").select("t", "g", F.col("a").alias("c"), "n", "lead").unionByName(parted)
+    left = written(rooted(held.select(F.xxhash64("t", "g").alias("t"), "c", "n", "lead"), found), "left")
     mixed = left.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("t", "rows")
-    mine = left.join(mixed, "t").join(classes.select("c", "n", "bitmap"), "c")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
-    own = F.pmod("c", "blocks")
-    mine = mine.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    mine = mine.select("t", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "c", "root", "n", "bitmap")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = written(tile_pairs(mine.repartition(parts, "t", "x", "y").sortWithinPartitions("t", "x", "y")).distinct(), "rest")
-    if rest.take(1):
-        links = links.unionByName(verified(rest, docs, classes, id_col, text_col))
+    mine = written(left.join(mixed, "t"), "mixed")
+    if mine.take(1):
+        own = mine.select("c").distinct().join(classes, "c")
+        own_sets = class_sets(docs, own, id_col, text_col)
+
+        def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                maps = [bitmap(np.frombuffer(s.as_buffer(), np.uint64), FINE) for s in batch.column("s")]
+                yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(maps, pa.binary())], names=["d", "bitmap"])
+
+        blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
+        maps = own_sets.mapInArrow(fine, "d long, bitmap binary").join(own.select("d", "c"), "d").groupBy("c").agg(F.first("bitmap").alias("bitmap"))
+        mine = mine.join(maps, "c").withColumn("blocks", blocks).withColumn("own", F.pmod("c", "blocks"))
+        mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        mine = mine.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
+        rest = tile_pairs(in_tiles(mine), True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        links = links.unionByName(verified(written(rest, "rest"), classes, own_sets))
         found = written(components(links), "components") if links.take(1) else None
 
-    least = rooted(classes.select("c", "id"), found)
+    least = rooted(classes.select("c", "d", "id"), found)
     label = least.groupBy("root").agg(F.min("id").alias("label"))
-    of_class = least.join(label, "root").select("c", "label")
-    out = sets.select("id", "key", "n", "c").join(of_class, "c", "left")
+    of_class = least.join(label, "root").select("d", "root", "label")
+    out = sets.select("id", "key", "n", "d", "r").join(of_class, "d", "left")
     component = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), component.alias("component_id"))
+    return out.select(
+        F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.col("d").alias("class_id"),
+        F.coalesce("root", "r").alias("group_id"), component.alias("component_id"),
+    )
 
 
 def op1_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
