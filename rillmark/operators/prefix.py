@@ -57,9 +57,14 @@ def suggested_before(searches: DataFrame, catalog: DataFrame, k: int = 5) -> Dat
     asked = searches.select("search_id", normalise(F.col("query")).alias("query")).where("query <> ''")
     index = prefixes(catalog).select(F.col("prefix").alias("query"), "term", "freq")
     from_catalog = asked.join(index, "query").select("search_id", "query", "term", F.col("freq").alias("n"))
-    words = prefixes(asked.select(F.col("search_id").alias("at"), F.col("query").alias("term")))
-    earlier = asked.join(words.withColumnRenamed("prefix", "query"), "query").where("at < search_id")
-    from_searches = earlier.groupBy("search_id", "query", "term").agg(F.count("*").alias("n"))
+    # of every asked prefix and searched term a running count, so that searches never meet in pairs
+    words = asked.select(F.col("query").alias("term")).distinct()
+    known = prefixes(words).withColumnRenamed("prefix", "query").join(asked.select("query").distinct(), "query")
+    probes = asked.join(known, "query").select("search_id", "query", "term", F.lit(0).cast("long").alias("u"))
+    updates = asked.withColumnRenamed("query", "term").join(known, "term").select("search_id", "query", "term", F.lit(1).cast("long").alias("u"))
+    upto = Window.partitionBy("query", "term").orderBy("search_id", "u").rowsBetween(Window.unboundedPreceding, 0)
+    counted = probes.unionByName(updates).withColumn("n", F.sum("u").over(upto))
+    from_searches = counted.where("u = 0 and n > 0").select("search_id", "query", "term", "n")
     total = from_catalog.unionByName(from_searches).groupBy("search_id", "query", "term").agg(F.sum("n").alias("freq"))
     top = Window.partitionBy("search_id").orderBy(F.desc("freq"), "term")
     return total.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
