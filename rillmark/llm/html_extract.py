@@ -57,6 +57,7 @@ NOT_CONTENT_NAMES = {
     "newsletter", "subscribe", "subscription", "signup", "login", "form", "search", "share", "sharing", "social",
     "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "hidden",
 }
+NOT_ARTICLE_NAMES = {"comment", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "recommended", "teaser"}
 SEP, DEEP = "\x1f", 200
 
 
@@ -220,27 +221,50 @@ def match_trees(one: list[tuple[int, str]], two: list[tuple[int, str]]) -> dict[
     return found
 
 
-def declared(label: str, inside_main: bool) -> str:
-    """"no" for a part that says it is no content, "main" for one that says it is, else ""."""
+def declared(label: str, inside_main: bool, around_main: bool) -> str:
+    """"no" for a part that says it is no content, "main" for one that says it is, else "".
+
+    Against an article, and what lies around one, only the names of comments, adverts and teasers
+    count; against a page "with" or that "has" something none do.
+    """
     name, _, role = label.partition("@")
     tag, *names = name.split(".")
-    if tag in NOT_CONTENT or role in NOT_CONTENT_ROLES or not NOT_CONTENT_NAMES.isdisjoint(names) and tag not in ("html", "body"):
+    if tag in NOT_CONTENT or role in NOT_CONTENT_ROLES or tag == "header" and not inside_main:
         return "no"
-    if tag == "header" and not inside_main:
+    main = tag in ("article", "main") or role in ("main", "article")
+    if around_main and {"has", "with", "page", "site"}.isdisjoint(names):
+        against = NOT_ARTICLE_NAMES | {"comments"}
+    else:
+        against = set() if around_main else NOT_ARTICLE_NAMES if main else NOT_CONTENT_NAMES
+    if tag not in ("html", "body") and not against.isdisjoint(names):
         return "no"
-    return "main" if tag in ("article", "main") or role in ("main", "article") else ""
+    return "main" if main else ""
+
+
+def holds_main(order: list[tuple[int, str]]) -> list[bool]:
+    """Whether an article or main element is below each node."""
+    out, path = [False] * len(order), []
+    for i, (depth, label) in enumerate(order):
+        del path[depth:]
+        name, _, role = label.partition("@")
+        if name.split(".")[0] in ("article", "main") or role in ("main", "article"):
+            for k in path:
+                out[k] = True
+        path.append(i)
+    return out
 
 
 def keep_nodes(order: list[tuple[int, str]], varying: list[int]) -> list[bool]:
     """Which nodes' text is content. ``varying``: how much varying text each node has."""
     kids = kids_of(order)
     no, main = [False] * len(order), [False] * len(order)
+    around = holds_main(order)
     path: list[int] = []
     for i, (depth, label) in enumerate(order):
         del path[depth:]
         above = path[-1] if path else None
         inside = above is not None and main[above]
-        says = declared(label, inside)
+        says = declared(label, inside, around[i] and not inside)
         no[i] = says == "no" or above is not None and no[above]
         main[i] = not no[i] and (inside or says == "main")
         path.append(i)

@@ -228,13 +228,15 @@ def test_chat_round_trip(spark):
 
 def test_extraction(spark):
     page = "<html><head><title>t</title></head><body><nav>menu</nav><header>top</header><article><h1>A &amp; b</h1><p>one <b>two\n three<p>four&nbsp;&lt;i&gt;<ul><li>five<li>six</ul><footer>foot</footer><div class='comments'><p>me too</p></div><script>var a='</p>'</script></article><aside>side</aside></body>"
+    wide = "<body><div class='page with-sidebar'><article class='post has-comments'><p>kept</p><div class='comments'><article class=comment>no</article></div></article><div class=sidebar><article class='related'><p>no</p></article></div><section id=comments><article><p>no</article></section></div>"
     bare = lambda i: f"<body><div class=top>Site</div><div id=x><p>Paragraph {i} is long enough here</p><p>second {7 * i} words</p></div><div>legal text</div><form>f{i}</form></body>"
-    rows = [(i, f"http://h.com/{i}", bare(i)) for i in range(9)] + [(50, None, None), (51, "http://q.com", "plain  text &amp; more"), (52, "http://q.com", ""), (53, "http://z.org", page), (53, "http://z.org", page)]
+    rows = [(i, f"http://h.com/{i}", bare(i)) for i in range(9)] + [(50, None, None), (51, "http://q.com", "plain  text &amp; more"), (52, "http://q.com", ""), (53, "http://z.org", page), (53, "http://z.org", page), (54, "http://y.org", wide)]
     df = spark.createDataFrame([(*x, "n") for x in rows], "page_id long, url string, html string, host string")
     got = html_extract.extract(df).collect()
     assert len(got) == len(rows)
     texts = {r.page_id: r.text for r in got}
     assert texts[53] == "A & b\none two three\nfour <i>\nfive\nsix"
+    assert texts[54] == "kept"
     assert all(texts[i] == f"Paragraph {i} is long enough here\nsecond {7 * i} words" for i in range(9))
     assert (texts[50], texts[51], texts[52]) == ("", "plain text & more", "")
     assert html_extract.extract(df.limit(0)).count() == 0
