@@ -138,11 +138,16 @@ def counted_regions(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def to_compare(counted: DataFrame) -> DataFrame:
-    """a, d of the contents that may share a window with another one, or within themselves."""
-    several = counted.groupBy("a").agg(F.count("*").alias("contents"), F.max("twice").alias("any")).where("contents > 1 or any").select("a", "any")
-    asked = written(counted.join(several, "a").select("a", "d", "any", "before", "behind"), "several")
+    """a, d of the contents that may share a window with another one, or within themselves.
+
+    Contents that occur twice are repeated as they are: they are only there for one that doesn't.
+    """
+    by_anchor = counted.groupBy("a").agg(F.count("*").alias("contents"), F.max("twice").alias("any"), F.min("n").alias("least"))
+    several = by_anchor.where("(contents > 1 or any) and least = 1").select("a", "any")
+    asked = written(counted.join(several, "a").select("a", "d", "n", "any", "before", "behind"), "several")
     for side in ("before", "behind"):
-        alike = asked.where(F.col(side) != 0).groupBy("a", side).agg(F.count("*").alias("m")).where("m > 1").select("a", side, F.lit(True).alias(f"by_{side}"))
+        alike = asked.where(F.col(side) != 0).groupBy("a", side).agg(F.count("*").alias("m"), F.min("n").alias("least"))
+        alike = alike.where("m > 1 and least = 1").select("a", side, F.lit(True).alias(f"by_{side}"))
         asked = asked.join(alike, ["a", side], "left")
     return written(asked.where("any or by_before or by_behind").select("a", "d"), "compared")
 
