@@ -3,7 +3,7 @@
 ``Normalizer`` rewrites a text by longest-prefix replacement through the model's compiled
 character map (a double array of unit words followed by the replacement strings) and records for
 every normalised byte the original byte it comes from. The normalised text falls into chunks at
-every space mark behind another character (no piece crosses there); chunks not met before by
+every space mark behind another character and around line ends (no piece crosses there); chunks not met before by
 this worker are merged together as one ragged array (``ragged``), and the rest of the
 normalised text is looked up. Every piece is projected to the span of original bytes it covers;
 the spans of a text tile it.
@@ -175,7 +175,8 @@ class Encoder(dict):
             if i < self.outside:
                 self.symbol_of[ord(c)] = i
         crossing = any(SPACE in p.lstrip(SPACE) for p in usable)
-        self.cut = None if crossing else regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        alone = "".join(c for c in "\n\t\r" if c not in self.chars)  # no piece holds them
+        self.cut = None if crossing else regex.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + f"|[{alone}]" * bool(alone))
         self.piece_bytes = [b"" if k == CONTROL else bytes([int(t[3:5], 16)]) if k == BYTE else self.unknown_text.encode() if k == UNKNOWN else t.replace(SPACE, " ").encode() for k, t in zip(self.kind, self.text, strict=True)]
         self.missed: list[str] = []
 

@@ -2,9 +2,9 @@
 
 Each round finds the lowest-ranked neighbouring pair of every sequence and merges all its
 occurrences at once (of overlapping ones the leftmost). A sequence leaves the array when no pair
-is left in it. This equals merging one pair at a time as long as no merge makes a pair of lower
-rank than itself; sequences in which that happens are reported, so that the caller can merge
-them one pair at a time.
+is left in it. This equals merging one pair at a time unless a round that merges several
+occurrences makes a pair of lower rank; sequences in which that happens are reported, so that
+the caller can merge them one pair at a time.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
     merging one pair at a time. ``lengths`` are all positive."""
     n = len(lengths)
     counts, odd = np.zeros(n, np.int64), np.zeros(n, bool)
+    several = np.zeros(n, bool)  # of the last round
     done_seq: list[np.ndarray] = []
     done_sym: list[np.ndarray] = []
     sym, seq, last = symbols.astype(np.int64), np.repeat(np.arange(n), lengths), np.full(n, -1, np.int64)
@@ -52,14 +53,17 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
         ids = seq[starts]
         sizes = np.diff(np.append(starts, len(seq)))
         over = best == NONE
-        odd[ids] |= best < last[ids]
+        odd[ids] |= (best < last[ids]) & several[ids]
         last[ids] = best
+        several[ids] = False
         hit = np.flatnonzero((rank == np.repeat(best, sizes)) & (rank < NONE))
         if len(hit):
             run = np.flatnonzero(np.append(True, np.diff(hit) != 1))
             place = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
             hit = hit[place % 2 == 0]
             sym[hit] = table.symbol[at[hit]]
+            of = seq[hit]
+            several[of[1:][of[1:] == of[:-1]]] = True
         keep = np.ones(len(sym), bool)
         if over.any():
             gone = np.repeat(over, sizes)
