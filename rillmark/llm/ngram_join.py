@@ -49,7 +49,7 @@ BUCKETS, CHUNK = 1 << 20, 1 << 14
 NARROWEST, WIDEST = 256, 1 << 20
 #: Eighths of a bit for a shingle, at least, in coarse and in fine bitmaps.
 COARSE, FINE = 6, 64
-MEMO = 1_000_000
+MEMO = 300_000
 #: Classes that a part of a tile, or a block of a tile, is meant to hold at most.
 PART, BLOCK = 20_000, 1000
 FILTER_BITS = 1 << 24
