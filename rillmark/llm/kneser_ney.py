@@ -1,13 +1,14 @@
-"""Modified Kneser-Ney model over the bytes of words, counted by Spark, kept in sorted hash arrays.
+"""Modified Kneser-Ney model over the bytes of words, counted by Spark, kept in sorted arrays of keys.
 
 A word is the sequence space, bytes, space; every byte behind the first space is predicted from
 at most ``ORDER - 1`` bytes before it within the word. Each language has counts of its own: a key
-packs the language's hash (12 bits), the order (3 bits) and the n-gram's bytes (40 bits).
+packs the language's number (21 bits), the order (3 bits) and the n-gram's bytes (40 bits), so that
+no two n-grams or contexts share one. More than ``LANGS`` languages are an error.
 
 Tasks count the longest n-gram at every place (all others are suffixes of these) and sum before
 the shuffle. Counts, continuation counts and context sums are Spark aggregates over the whole
-corpus. Only the finished model leaves Spark: per order, probabilities and back-off weights by
-hash below ``SLOTS``, so at most ``2 * ORDER * SLOTS`` numbers whatever the corpus.
+corpus. Only the finished model leaves Spark: the probability of every n-gram and the back-off
+weight of every context by its key, 12 bytes each. It grows with the distinct n-grams of the corpus.
 """
 
 from __future__ import annotations
@@ -23,14 +24,21 @@ from pyspark.sql import functions as F
 from .common import written
 
 ORDER = 5
-SLOTS = 2_097_143  # a prime; hashes are remainders
-LANGS = 4096
+LANGS = 1 << 21
 #: Distinct words that a task holds before it turns them into n-gram counts.
 HELD = 200_000
 
 
-def lang_id(column):
-    return F.pmod(F.xxhash64(F.coalesce(column, F.lit(""))), F.lit(LANGS)).cast("int")
+def lang_name(column):
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
+def languages(docs: DataFrame, lang_col: str) -> dict[str, int]:
+    """A number of its own for every language."""
+    names = sorted(r[0] for r in docs.select(lang_name(F.col(lang_col))).distinct().collect())
+    if len(names) > LANGS:
+        raise ValueError(f"{len(names)} languages do not fit into a key")
+    return {name: i for i, name in enumerate(names)}
 
 
 def ragged_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +74,7 @@ def longest_ngrams(lang: int, counted: dict[bytes, int]) -> tuple[np.ndarray, np
     return found, np.bincount(at, weights=weight[word[seen]], minlength=len(found)).astype(np.int64)
 
 
-def count_ngrams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: dict[str, int]) -> DataFrame:
     """key, n: occurrences of the longest n-gram at each place, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +98,7 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    held[lang].update(text.encode().split())
+                    held[langs[lang]].update(text.encode().split())
                     if sum(map(len, held.values())) > HELD:
                         turn()
             if sums and len(sums[0][0]) > 4_000_000:
@@ -98,12 +106,12 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         turn()
         yield from out()
 
-    rows = docs.select(lang_id(F.col(lang_col)).alias("lang"), F.col(text_col).alias("t"))
+    rows = docs.select(lang_name(F.col(lang_col)).alias("lang"), F.col(text_col).alias("t"))
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def model_rows(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(order, hash, alpha) of n-grams and (order, hash, gamma) of contexts, the hashes distinct."""
+    """(key, alpha) of n-grams and (key, gamma) of contexts, the keys distinct."""
     spaced = F.shiftright("key", 40).bitwiseAND(7)
     base = written(ngrams.select("key", "n", spaced.cast("int").alias("o")), "kn-counts")
     by_order, level = [], base.where(F.col("o") == ORDER).select("key", "n")
@@ -130,51 +138,36 @@ def model_rows(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
         discount = F.when(F.col("o") == o, which).otherwise(discount)
     cut = adjusted.select("key", "o", "n", context.alias("ctx"), discount.alias("d"))
     sums = cut.groupBy("ctx", "o").agg(F.sum("n").alias("a"), (F.sum("d") / F.sum("n")).alias("gamma"))
-    alphas = cut.join(sums.select("ctx", "a"), "ctx").select("o", hashed(F.col("key")).alias("h"), ((F.col("n") - F.col("d")) / F.col("a")).alias("v"))
-    alphas = alphas.groupBy("o", "h").agg(F.max("v").alias("v"))
-    gammas = sums.select("o", hashed(F.col("ctx")).alias("h"), F.col("gamma").alias("v")).groupBy("o", "h").agg(F.max("v").alias("v"))
-    return alphas, gammas
-
-
-def hashed(key):
-    """The same as ``hash_keys`` in SQL."""
-    return F.pmod(key, F.lit(SLOTS)).cast("int")
-
-
-def hash_keys(keys: np.ndarray) -> np.ndarray:
-    return keys % SLOTS
+    alphas = cut.join(sums.select("ctx", "a"), "ctx").select("key", ((F.col("n") - F.col("d")) / F.col("a")).cast("float").alias("v"))
+    return alphas, sums.select(F.col("ctx").alias("key"), F.col("gamma").cast("float").alias("v"))
 
 
 class Model:
-    """Sorted hash arrays, and the negative log-likelihood of words under them."""
+    """Sorted arrays of keys with their values, and the negative log-likelihood of words under them."""
 
-    def __init__(self, alphas: dict[int, tuple[np.ndarray, np.ndarray]], gammas: dict[int, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, alphas: tuple[np.ndarray, np.ndarray], gammas: tuple[np.ndarray, np.ndarray]):
         self.alphas, self.gammas = alphas, gammas
 
     @classmethod
     def collected(cls, alphas: DataFrame, gammas: DataFrame) -> Model:
-        """At most ORDER * SLOTS rows of each, by their hash."""
+        """One row of each n-gram and of each context."""
 
-        def arrays(df: DataFrame) -> dict:
+        def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             t = df.toArrow()
-            o, h, v = (t.column(c).to_numpy() for c in ("o", "h", "v"))
-            out = {}
-            for k in range(1, ORDER + 1):
-                own = np.flatnonzero(o == k)
-                own = own[np.argsort(h[own])]
-                out[k] = (h[own].astype(np.int32), v[own].astype(np.float32))
-            return out
+            keys, values = t.column("key").to_numpy(), t.column("v").to_numpy()
+            own = np.argsort(keys)
+            return keys[own], values[own]
 
         return cls(arrays(alphas), arrays(gammas))
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(table: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, values = table
         if not len(keys):
-            return np.zeros(len(h), bool), np.zeros(len(h))
-        at = np.searchsorted(keys, h)
+            return np.zeros(len(key), bool), np.zeros(len(key))
+        at = np.searchsorted(keys, key)
         at[at == len(keys)] = 0
-        hit = keys[at] == h
+        hit = keys[at] == key
         return hit, np.where(hit, values[at], 0.0)
 
     def nll(self, lang: int, words: list[bytes]) -> np.ndarray:
@@ -188,8 +181,8 @@ class Model:
             grams = packed(flat, o)[where] & ((np.int64(1) << (8 * o)) - 1)
             key = grams | head(lang, o)
             ctx = (grams >> 8) | head(lang, o)
-            seen, gamma = self._find(self.gammas[o], hash_keys(ctx))
-            _, alpha = self._find(self.alphas[o], hash_keys(key))
+            seen, gamma = self._find(self.gammas, ctx)
+            _, alpha = self._find(self.alphas, key)
             old = p[fits]
             p[fits] = np.where(seen, alpha + gamma * old, old)
         return np.bincount(word[at], weights=-np.log(np.clip(p, 1e-12, 1.0)), minlength=len(words))

@@ -8,9 +8,9 @@ word. Each language has a lower and an upper band around its median: ``width`` t
 fixed bins over all documents.
 
 Defined results: a null or empty text has no words, fails the base rules and has no perplexity;
-a null language is the empty string; languages that share one of the ``LANGS`` hashes share
-counts and bands; repeated rows are judged alike, each on its own; an empty table gives none.
-Columns other than those named are not read.
+a null language is the empty string; every language has counts and bands of its own; repeated
+rows are judged alike, each on its own; an empty table gives none. Columns other than those named are
+not read.
 """
 
 from __future__ import annotations
@@ -124,30 +124,31 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def score_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, columns of ``keep``, the language's hash, the base counts and nll of every row."""
+    """id_col, columns of ``keep``, the language's number, the base counts and nll of every row."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(kn.Model.collected(*kn.model_rows(kn.count_ngrams(docs, text_col, lang_col))))
+    numbers = kn.languages(docs, lang_col)
+    model = spark.sparkContext.broadcast(kn.Model.collected(*kn.model_rows(kn.count_ngrams(docs, text_col, lang_col, numbers))))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[int, Scores] = {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
+            langs = [numbers[x] for x in batch.column(1).to_pylist()]
             if len(memo) > 64:
                 memo.clear()
             for lang in set(langs) - memo.keys():
                 memo[lang] = Scores(model.value, lang)
             got = base_counts(batch.column(2).to_pylist(), [memo[x] for x in langs])
-            cols = [*(batch.column(c) for c in ("id", "lang_id", *keep)), *(pa.array(got[c]) for c in (*COUNTS, "nll"))]
+            cols = [batch.column("id"), pa.array(langs, pa.int32()), *(batch.column(c) for c in keep), *(pa.array(got[c]) for c in (*COUNTS, "nll"))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "lang_id", *keep, *COUNTS, "nll"])
 
-    rows = docs.select(F.col(id_col).alias("id"), kn.lang_id(F.col(lang_col)).alias("lang_id"), F.col(text_col).alias("t"), *keep)
+    rows = docs.select(F.col(id_col).alias("id"), kn.lang_name(F.col(lang_col)).alias("lang"), F.col(text_col).alias("t"), *keep)
     schema = f"id {kind}, lang_id int, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + ", ".join(f"{c} long" for c in COUNTS) + ", nll double"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def bands(scored: DataFrame, width: float) -> DataFrame:
-    """lang_id, low, high: at most LANGS rows. Quantiles of nll a word over all rows with words."""
+    """lang_id, low, high: one row of each language. Quantiles of nll a word over all rows with words."""
     rate = F.col("nll") / F.col("n_words")
     bins = scored.where("n_words > 0").groupBy("lang_id", F.floor(rate / BIN).alias("bin")).agg(F.count("*").alias("n"))
     own = Window.partitionBy("lang_id")

@@ -8,8 +8,8 @@ that rules block: the difference of their log-likelihoods, divided by the url's
 reach a threshold. The threshold is calibrated on all urls that a rule decides, each scored by
 models of the other half of them, and is where the two classes' errors together are least.
 
-Tasks sum n-gram counts before the shuffle; only finished probabilities by hash leave Spark, at
-most ``2 * ORDER * SLOTS`` numbers.
+Tasks sum n-gram counts before the shuffle; only finished probabilities leave Spark, one of each
+distinct n-gram and context.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and
 is scored as it is (null: as empty); where one class has no url, what no rule decides is
@@ -81,7 +81,7 @@ def labelled_counts(rows: DataFrame) -> DataFrame:
 
 
 def model_rows(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(o, h, v) of n-grams and of contexts, as ``kneser_ney.Model`` reads them."""
+    """(key, v) of n-grams and of contexts, as ``kneser_ney.Model`` reads them."""
     group = F.shiftright("key", 43)
     merged = F.shiftleft(F.lit(BLOCKED).cast("long") + F.shiftright(group, 1), 43).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 43) - 1)))
     both = ngrams.unionByName(ngrams.select(merged.alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")))
@@ -97,9 +97,8 @@ def model_rows(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     context = F.shiftleft(F.shiftright("key", 40), 40).bitwiseOR(F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)), 8))
     cut = counts.select("key", "o", "n", context.alias("ctx"))
     sums = cut.groupBy("ctx", "o").agg((F.sum("n") + F.count("*")).alias("a"), (F.count("*") / (F.sum("n") + F.count("*"))).alias("v"))
-    alphas = cut.join(sums.select("ctx", "a"), "ctx").select("o", kn.hashed(F.col("key")).alias("h"), (F.col("n") / F.col("a")).alias("v"))
-    gammas = sums.select("o", kn.hashed(F.col("ctx")).alias("h"), "v")
-    return tuple(x.groupBy("o", "h").agg(F.max("v").alias("v")) for x in (alphas, gammas))
+    alphas = cut.join(sums.select("ctx", "a"), "ctx").select("key", (F.col("n") / F.col("a")).cast("float").alias("v"))
+    return alphas, sums.select(F.col("ctx").alias("key"), F.col("v").cast("float").alias("v"))
 
 
 def score(rows: DataFrame, id_col: str) -> DataFrame:

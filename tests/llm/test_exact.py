@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.llm import chat, decontaminate, html_extract, induced, ngram_join, pieces, quality, sharding, suffix_dedup, tokens, urls
+from rillmark.llm import chat, decontaminate, html_extract, induced, kneser_ney, ngram_join, pieces, quality, sharding, suffix_dedup, tokens, urls
 
 from . import brute
 
@@ -202,6 +202,25 @@ def test_base_counts(spark):
     assert quality.judge(frame(spark, docs).limit(0).withColumn("lang", F.lit("en"))).count() == 0
 
 
+def test_model_keeps_every_ngram(spark):
+    r = random.Random(6)
+    words = {lang: ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(1, 9))) for _ in range(3000)] for lang in ("en", "fr", None, "lang4020", "lang4068")}
+    df = spark.createDataFrame([(lang, " ".join(w)) for lang, w in words.items()], "lang string, t string")
+    numbers = kneser_ney.languages(df, "lang")
+    assert len(set(numbers.values())) == 5
+    want = set()
+    for lang, own in words.items():
+        for word in own:
+            data = f" {word} ".encode()
+            for end in range(2, len(data) + 1):
+                want.update((numbers[lang or ""], data[max(0, end - o) : end]) for o in range(1, kneser_ney.ORDER + 1) if end >= o)
+    model = kneser_ney.Model.collected(*kneser_ney.model_rows(kneser_ney.count_ngrams(df, "t", "lang", numbers)))
+    keys = model.alphas[0]
+    assert len(want) > 30_000 and len(set(keys.tolist())) == len(keys)
+    named = {(k >> 43, bytes(reversed((k & ((1 << 40) - 1)).to_bytes(5, "little")[: k >> 40 & 7]))) for k in keys.tolist()}
+    assert named == want
+
+
 def test_quality_on_held_labels(spark):
     d = "/root/testdata/sf0.01"
     judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet"))
