@@ -3,9 +3,10 @@
 Every page is parsed once into a tree of its block elements, in which neighbouring siblings of
 one label are one repeating node, and into text blocks that name their node. The most common
 tree of a host is its wrapper; every other tree of the host is aligned with it by simple tree
-matching, once for each distinct tree. Text that stays the same at an aligned node over the
-host's pages makes the node template, text that varies makes it a slot of content. What kind of
-part an element declares itself to be (by tag, role, class or id) decides first: menus, headers,
+matching, once for each distinct tree. A text that stands at an aligned node on more than half of
+the host's different pages that have text there, and on ``SEVERAL`` of them at least, is template;
+the rest is content. Pages with the same content (what is not declared to be none) are one page,
+however many rows hold it. What kind of part an element declares itself to be (by tag, role, class or id) decides first: menus, headers,
 footers, sidebars, notices, adverts, forms and comments are never content, and an ``article`` or
 ``main`` element holds all of it. Pages without one keep the slots below the deepest node that
 holds most of the varying text.
@@ -14,7 +15,8 @@ Counts by node are combined before the shuffle; what is joined to pages is one r
 distinct tree of a host, in a join that Spark may split or broadcast by its measured size.
 
 Defined results: a null or empty page has an empty text; a null url is of the host ""; repeated
-rows give the same text each; on a host with one page nothing is template; an empty table gives
+rows give the same text each and change no other page's; on a host with fewer than ``SEVERAL``
+different pages nothing is template; an empty table gives
 no rows. Columns other than those named are not read.
 """
 
@@ -22,10 +24,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -59,6 +62,8 @@ NOT_CONTENT_NAMES = {
 }
 NOT_ARTICLE_NAMES = {"comment", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "recommended", "teaser"}
 SEP, DEEP = "\x1f", 200
+#: Different pages that have to share a text before it can be template.
+SEVERAL = 3
 
 
 class Node:
@@ -254,9 +259,8 @@ def holds_main(order: list[tuple[int, str]]) -> list[bool]:
     return out
 
 
-def keep_nodes(order: list[tuple[int, str]], varying: list[int]) -> list[bool]:
-    """Which nodes' text is content. ``varying``: how much varying text each node has."""
-    kids = kids_of(order)
+def declared_parts(order: list[tuple[int, str]]) -> tuple[list[bool], list[bool]]:
+    """Which nodes are declared to be no content, and which are in a declared article or main part."""
     no, main = [False] * len(order), [False] * len(order)
     around = holds_main(order)
     path: list[int] = []
@@ -268,8 +272,23 @@ def keep_nodes(order: list[tuple[int, str]], varying: list[int]) -> list[bool]:
         no[i] = says == "no" or above is not None and no[above]
         main[i] = not no[i] and (inside or says == "main")
         path.append(i)
+    return no, main
+
+
+def content_key(parts: tuple[list[bool], list[bool]], found: list[tuple[int, str]]) -> int:
+    """A key of what a page says where it may be content."""
+    no, main = parts
+    own = main if any(main) else [not x for x in no]
+    said = SEP.join(text for node, text in found if own[node])
+    return int.from_bytes(blake2b(said.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def keep_nodes(order: list[tuple[int, str]], varying: list[int]) -> list[bool]:
+    """Which nodes' text is content. ``varying``: how much varying text each node has."""
+    no, main = declared_parts(order)
     if any(main):
         return main
+    kids = kids_of(order)
     weight = [0 if no[i] else varying[i] for i in range(len(order))]
     below = weight[:]
     for i in range(len(order) - 1, -1, -1):
@@ -291,31 +310,48 @@ def keep_nodes(order: list[tuple[int, str]], varying: list[int]) -> list[bool]:
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """id, url, host, tree, tree_id and blocks (node, text) of every page."""
+    """id, url, host, tree, tree_id, page (key of its content) and blocks (node, text) of every page."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.struct([("node", pa.int32()), ("text", pa.string())])
+        parts: dict[str, tuple[list[bool], list[bool]]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                trees, blocks = [], []
+                trees, blocks, keys = [], [], []
+                if len(parts) > 5000:
+                    parts.clear()
                 for html in part.column(3).to_pylist():
                     order, found = parse(html or "")
                     trees.append(to_text(order))
+                    if trees[-1] not in parts:
+                        parts[trees[-1]] = declared_parts(order)
+                    keys.append(content_key(parts[trees[-1]], found))
                     blocks.append([{"node": n, "text": t} for n, t in found])
-                cols = [part.column(0), part.column(1), part.column(2), pa.array(trees, pa.string()), pa.array(blocks, pa.list_(block))]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "url", "host", "tree", "blocks"])
+                cols = [part.column(0), part.column(1), part.column(2), pa.array(trees, pa.string()), pa.array(keys, pa.int64()), pa.array(blocks, pa.list_(block))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "url", "host", "tree", "page", "blocks"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("h"))
-    out = rows.mapInArrow(run, f"id {kind}, url string, host string, tree string, blocks array<struct<node:int,text:string>>")
+    out = rows.mapInArrow(run, f"id {kind}, url string, host string, tree string, page long, blocks array<struct<node:int,text:string>>")
     return out.withColumn("tree_id", F.xxhash64("tree"))
 
 
+def different_pages(parsed: DataFrame) -> DataFrame:
+    """host, tree_id, said (node, said, size), one row of each content and tree; chosen: once a content."""
+    said = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("said"), F.length(b["text"]).alias("size"))))
+    one = parsed.select("host", "tree_id", "page", said.alias("said")).groupBy("host", "tree_id", "page").agg(F.min("said").alias("said"))
+    own = Window.partitionBy("host", "page").orderBy("tree_id")
+    return one.withColumn("chosen", F.row_number().over(own) == 1).drop("page")
+
+
 def wrappers(parsed: DataFrame) -> DataFrame:
-    """host, tree_id and nodes (the kept nodes of the tree) for every distinct tree of a host."""
-    trees = written(parsed.groupBy("host", "tree_id").agg(F.first("tree").alias("tree"), F.count("*").alias("n")), "trees")
-    common = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree_id")).alias("wrapper"), F.sum("n").alias("pages"))
+    """host, tree_id, nodes (the kept nodes of the tree) and template (node and hash of texts to leave
+    out of them) for every distinct tree of a host."""
+    pages = written(different_pages(parsed), "different-pages")
+    known = parsed.groupBy("host", "tree_id").agg(F.first("tree").alias("tree"))
+    trees = written(known.join(pages.groupBy("host", "tree_id").agg(F.count("*").alias("n")), ["host", "tree_id"]), "trees")
+    common = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree_id")).alias("wrapper"))
     aligned = trees.join(common, "host")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,29 +364,33 @@ def wrappers(parsed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("tree_id"), pa.array(out, pa.list_(pa.int32()))], names=["host", "tree_id", "to"])
 
     maps = written(aligned.mapInArrow(align, "host string, tree_id long, to array<int>"), "alignments")
-    # what each page says at each of its nodes, counted by its hash before anything meets by host
-    at_node = parsed.select("host", "tree_id", F.explode("blocks").alias("b")).select("host", "tree_id", "b.node", F.xxhash64("b.text").alias("said"), F.length("b.text").alias("size"))
-    said = at_node.groupBy("host", "tree_id", "node", "said").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     own = maps.select("host", "tree_id", F.posexplode("to").alias("node", "slot"))
-    slots = said.join(own, ["host", "tree_id", "node"])
-    by_text = slots.where("slot >= 0").groupBy("host", "slot", "said").agg(F.sum("n").alias("n"))
-    constant = by_text.groupBy("host", "slot").agg((2 * F.max("n") > F.sum("n")).alias("most"), F.max("n").alias("times"))
-    constant = constant.where("most and times > 1").select("host", "slot", F.lit(True).alias("template"))
-    weights = slots.groupBy("host", "tree_id", "node", "slot").agg(F.sum("size").alias("size")).join(constant, ["host", "slot"], "left")
-    weights = weights.groupBy("host", "tree_id").agg(F.collect_list(F.struct("node", F.when(F.col("template"), F.lit(0)).otherwise(F.col("size")).alias("w"))).alias("weights"))
+    said = pages.select("host", "tree_id", "chosen", F.explode("said").alias("s")).select("host", "tree_id", "chosen", "s.*").join(own, ["host", "tree_id", "node"])
+    by_text = said.where("chosen and slot >= 0").groupBy("host", "slot", "said").agg(F.count("*").alias("n")).where(F.col("n") >= SEVERAL)
+    at_node = pages.where("chosen").select("host", "tree_id", F.explode(F.array_distinct("said.node")).alias("node")).groupBy("host", "tree_id", "node").agg(F.count("*").alias("n"))
+    having = at_node.join(own, ["host", "tree_id", "node"]).groupBy("host", "slot").agg(F.sum("n").alias("all"))
+    template = written(by_text.join(having, ["host", "slot"]).where("2 * n > all").select("host", "slot", "said", F.lit(True).alias("template")), "template")
+    judged = said.join(template, ["host", "slot", "said"], "left")
+    varies = F.when(F.col("template"), F.lit(0)).otherwise(F.col("size"))
+    weights = judged.groupBy("host", "tree_id", "node").agg(F.sum(varies).alias("w"), F.collect_set(F.when(F.col("template"), F.col("said"))).alias("said"))
+    weights = weights.groupBy("host", "tree_id").agg(F.collect_list(F.struct("node", "w", "said")).alias("weights"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, leave = [], []
             for tree, weights_of in zip(batch.column("tree").to_pylist(), batch.column("weights").to_pylist(), strict=True):
                 order = from_text(tree)
                 varying = [0] * len(order)
                 for w in weights_of or ():
                     varying[w["node"]] = w["w"]
-                out.append([i for i, keep in enumerate(keep_nodes(order, varying)) if keep])
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("tree_id"), pa.array(out, pa.list_(pa.int32()))], names=["host", "tree_id", "nodes"])
+                keep = keep_nodes(order, varying)
+                out.append([i for i, kept in enumerate(keep) if kept])
+                by_tag = any(declared_parts(order)[1])
+                leave.append([{"node": w["node"], "said": x} for w in weights_of or () if keep[w["node"]] and not by_tag for x in w["said"]])
+            left_out = pa.list_(pa.struct([("node", pa.int32()), ("said", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("tree_id"), pa.array(out, pa.list_(pa.int32())), pa.array(leave, left_out)], names=["host", "tree_id", "nodes", "template"])
 
-    return trees.join(weights, ["host", "tree_id"], "left").mapInArrow(decide, "host string, tree_id long, nodes array<int>")
+    return trees.join(weights, ["host", "tree_id"], "left").mapInArrow(decide, "host string, tree_id long, nodes array<int>, template array<struct<node:int,said:long>>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -358,7 +398,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     parsed = written(parsed_pages(pages, id_col, url_col, html_col), "parsed-pages")
     kept = written(wrappers(parsed), "wrappers")
     joined = parsed.join(kept, ["host", "tree_id"], "left")
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: F.array_contains("nodes", b["node"])), lambda b: b["text"]), "\n")
+    left_out = lambda b: F.exists("template", lambda t: (t["node"] == b["node"]) & (t["said"] == F.xxhash64(b["text"])))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: F.array_contains("nodes", b["node"]) & ~left_out(b)), lambda b: b["text"]), "\n")
     return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.coalesce(text, F.lit("")).alias("text"))
 
 

@@ -261,6 +261,15 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_counts_different_pages(spark):
+    page = lambda i: f"<body><div class=top>Site</div><div id=x><h1>Title {i}</h1><p>Paragraph {i} is long enough here, and has more words than the title</p></div><div class=end>legal text</div></body>"
+    rows = [(i, f"http://h.com/{i}", page(i)) for i in range(5)] + [(100 + i, f"http://h.com/c{i}", page(0)) for i in range(20)] + [(200 + i, f"http://two.com/{i}", page(0)) for i in range(2)]
+    texts = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    says = lambda i: f"Title {i}\nParagraph {i} is long enough here, and has more words than the title"
+    assert all(texts[i] == says(i) for i in range(5)) and all(texts[100 + i] == says(0) for i in range(20))
+    assert all(says(0) in texts[200 + i] for i in range(2))
+
+
 def test_url_rules_and_models(spark):
     said = {
         "http://WWW.Example.org/es/1?x": ("www.example.org", "/es/1", "example.org/es/", "block"), "https://example.org/en/12#t": ("example.org", "/en/12", "example.org/en/1", "block"),
