@@ -9,7 +9,7 @@ the rest is content. Pages with the same content (what is not declared to be non
 however many rows hold it. What kind of part an element declares itself to be (by tag, role, class or id) decides first: menus, headers,
 footers, sidebars, notices, adverts, forms and comments are never content, and an ``article`` or
 ``main`` element holds all of it. Pages without one keep the slots below the deepest node that
-holds most of the varying text.
+holds most of the varying text. Template text is left out of both.
 
 Counts by node are combined before the shuffle; what is joined to pages is one row for each
 distinct tree of a host, in a join that Spark may split or broadcast by its measured size.
@@ -385,8 +385,7 @@ def wrappers(parsed: DataFrame) -> DataFrame:
                     varying[w["node"]] = w["w"]
                 keep = keep_nodes(order, varying)
                 out.append([i for i, kept in enumerate(keep) if kept])
-                by_tag = any(declared_parts(order)[1])
-                leave.append([{"node": w["node"], "said": x} for w in weights_of or () if keep[w["node"]] and not by_tag for x in w["said"]])
+                leave.append([{"node": w["node"], "said": x} for w in weights_of or () if keep[w["node"]] for x in w["said"]])
             left_out = pa.list_(pa.struct([("node", pa.int32()), ("said", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("tree_id"), pa.array(out, pa.list_(pa.int32())), pa.array(leave, left_out)], names=["host", "tree_id", "nodes", "template"])
 

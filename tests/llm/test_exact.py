@@ -270,6 +270,14 @@ def test_extraction_counts_different_pages(spark):
     assert all(says(0) in texts[200 + i] for i in range(2))
 
 
+def test_extraction_leaves_template_out_of_articles(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class=box>Follow us for more</div><p>Paragraph {i} is long</p><p>Written by the staff of this site</p></article></body>"
+    rows = [(i, f"http://h.com/{i}", page(i)) for i in range(5)] + [(9, "http://h.com/9", page(0)), (10, "http://one.com/", page(10))]
+    texts = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(texts[i] == f"Title {i}\nParagraph {i} is long" for i in range(5)) and texts[9] == texts[0]
+    assert texts[10] == "Title 10\nFollow us for more\nParagraph 10 is long\nWritten by the staff of this site"
+
+
 def test_url_rules_and_models(spark):
     said = {
         "http://WWW.Example.org/es/1?x": ("www.example.org", "/es/1", "example.org/es/", "block"), "https://example.org/en/12#t": ("example.org", "/en/12", "example.org/en/1", "block"),
