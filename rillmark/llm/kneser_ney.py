@@ -1,19 +1,21 @@
 """Modified Kneser-Ney model over the bytes of words, counted by Spark, kept in sorted arrays of keys.
 
-A word is the sequence space, bytes, space; every byte behind the first space is predicted from
-at most ``ORDER - 1`` bytes before it within the word. Each language has counts of its own: a key
-packs the language's number (21 bits), the order (3 bits) and the n-gram's bytes (40 bits), so that
-no two n-grams or contexts share one. More than ``LANGS`` languages are an error.
+A text is the sequence space, its words with one space between them, space; every byte behind the
+first space is predicted from at most ``ORDER - 1`` bytes before it, across words. Each language
+has counts of its own: a key packs the language's number (21 bits), the order (3 bits) and the
+n-gram's bytes (40 bits), so that no two n-grams or contexts share one. More than ``LANGS``
+languages are an error.
 
 Tasks count the longest n-gram at every place (all others are suffixes of these) and sum before
 the shuffle. Counts, continuation counts and context sums are Spark aggregates over the whole
 corpus. Only the finished model leaves Spark: the probability of every n-gram and the back-off
 weight of every context by its key, 12 bytes each. It grows with the distinct n-grams of the corpus.
+As the texts scored are the texts counted, tasks get one table of every n-gram's final probability.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,9 @@ from .common import written
 
 ORDER = 5
 LANGS = 1 << 21
-#: Distinct words that a task holds before it turns them into n-gram counts.
-HELD = 200_000
+#: Bytes of text that a task holds before it turns them into n-gram counts, and places looked at at once.
+HELD = 1_000_000
+STEP = 500_000
 
 
 def lang_name(column):
@@ -62,6 +65,26 @@ def head(lang: int, order) -> np.ndarray:
     return (np.int64(lang) << 43) | (np.asarray(order, np.int64) << 40)
 
 
+def text_keys(lang: int, texts: list[bytes]) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """Where each " text " starts, and in steps the place, longest n-grams and whether they are predicted."""
+    raw = np.frombuffer(b" " + b"  ".join(texts) + b" ", np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    starts = np.cumsum(sizes) - sizes
+    order = np.full(len(raw), ORDER, np.uint8)
+    for k in range(ORDER - 1):
+        order[starts[sizes > k] + k] = k + 1
+    orders = np.arange(ORDER + 1)
+    masks, heads = (np.int64(1) << (8 * orders)) - 1, head(lang, orders)
+
+    def steps() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for i in range(0, len(raw), STEP):
+            lo, o = max(0, i - ORDER + 1), order[i : i + STEP]
+            keys = packed(raw[lo : i + STEP].astype(np.int64), ORDER)[i - lo :]
+            yield i, (keys & masks[o]) | heads[o], o > 1
+
+    return starts, steps()
+
+
 def longest_ngrams(lang: int, counted: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     words = list(counted)
     flat, place, word = ragged_words(words)
@@ -78,11 +101,13 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: dict[str,
     """key, n: occurrences of the longest n-gram at each place, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Counter] = defaultdict(Counter)
+        held: dict[int, list[bytes]] = defaultdict(list)
         sums: list[tuple[np.ndarray, np.ndarray]] = []
 
         def turn() -> None:
-            got = [*sums, *(longest_ngrams(lang, c) for lang, c in held.items() if c)]
+            got = list(sums)
+            for lang, texts in held.items():
+                got.extend(np.unique(keys[seen], return_counts=True) for _, keys, seen in text_keys(lang, texts)[1])
             held.clear()
             sums.clear()
             if got:
@@ -95,12 +120,16 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: dict[str,
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["key", "n"])
             sums.clear()
 
+        size = 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text:
-                    held[langs[lang]].update(text.encode().split())
-                    if sum(map(len, held.values())) > HELD:
+                words = (text or "").encode().split()
+                if words:
+                    held[langs[lang]].append(b" ".join(words))
+                    size += len(text)
+                    if size > HELD:
                         turn()
+                        size = 0
             if sums and len(sums[0][0]) > 4_000_000:
                 yield from out()
         turn()
@@ -121,7 +150,8 @@ def model_rows(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
         mask = F.lit((1 << (8 * o)) - 1)
         lang = F.shiftleft(F.shiftright("key", 43), 43).bitwiseOR(F.lit(o << 40))
         tail = level.groupBy(lang.bitwiseOR(F.col("key").bitwiseAND(mask)).alias("key")).agg(F.count("*").alias("n"))
-        level = tail if o == 1 else tail.unionByName(base.where(F.col("o") == o).select("key", "n"))
+        # the n-grams that texts begin with are also met within texts
+        level = tail if o == 1 else tail.unionByName(base.where(F.col("o") == o).select("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
         by_order.append(level.withColumn("o", F.lit(o)))
     everything = by_order[0]
     for part in by_order[1:]:
@@ -186,3 +216,33 @@ class Model:
             old = p[fits]
             p[fits] = np.where(seen, alpha + gamma * old, old)
         return np.bincount(word[at], weights=-np.log(np.clip(p, 1e-12, 1.0)), minlength=len(words))
+
+
+class Known:
+    """Final negative log-likelihoods (nats) of a model's n-grams, and those of whole texts by them."""
+
+    def __init__(self, model: Model):
+        self.keys = model.alphas[0]
+        self.values = np.zeros(len(self.keys), np.float32)
+        for i in range(0, len(self.keys), STEP):
+            keys = self.keys[i : i + STEP]
+            lang, order, grams = keys >> 43, keys >> 40 & 7, keys & ((1 << 40) - 1)
+            p = np.full(len(keys), 1 / 257)
+            for o in range(1, ORDER + 1):
+                at = np.flatnonzero(order >= o)
+                key = (grams[at] & ((1 << (8 * o)) - 1)) | (lang[at] << 43) | (o << 40)
+                seen, gamma = model._find(model.gammas, (key >> 40 << 40) | ((key & ((1 << 40) - 1)) >> 8))
+                _, alpha = model._find(model.alphas, key)
+                p[at] = np.where(seen, alpha + gamma * p[at], p[at])
+            self.values[i : i + STEP] = -np.log(np.clip(p, 1e-12, 1.0))
+
+    def nll(self, lang: int, texts: list[bytes]) -> np.ndarray:
+        """Negative log-likelihood of every text, words with one space between them."""
+        lo, hi = np.searchsorted(self.keys, [lang << 43, (lang + 1) << 43])
+        own, values = self.keys[lo:hi], self.values[lo:hi]
+        starts, steps = text_keys(lang, texts)
+        parts = []
+        for _, keys, seen in steps:
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            parts.append(np.where(seen, np.where(own[at] == keys, values[at], np.float32(np.log(257))), np.float32(0)))
+        return np.add.reduceat(np.concatenate(parts), starts, dtype=np.float64)

@@ -2,10 +2,11 @@
 
 A first pass counts the corpus (``kneser_ney``), a second one scores every whole text and takes
 its base counts. Perplexity is judged as its logarithm, the mean negative log-likelihood of a
-word. Each language has a lower and an upper band around its median: ``width`` times the spread
-(interquartile range, over all documents with words) to either side, wider for short texts by
-``short`` divided by the root of the number of words. The quantiles come from a histogram of
-fixed bins over all documents.
+word. It scatters around its language's median the less the longer a text is, so a text's
+distance from the median is multiplied by the root of its number of words. Each language has
+a band of ``width`` times the spread of these distances to either side; the spread is twice the
+smaller distance of a quartile from the median, which a source of junk on one side can't
+stretch. The quantiles come from histograms of fixed bins over all documents.
 
 Defined results: a null or empty text has no words, fails the base rules and has no perplexity;
 a null language is the empty string; every language has counts and bands of its own; repeated
@@ -15,6 +16,7 @@ not read.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,28 +30,16 @@ from .common import table, written
 SYMBOLS = b"#*$%&|<>"
 SPAN = 8
 MEMO = 500_000
-BIN = 0.02
+BIN, FAR_BIN = 0.02, 0.1
 
 
-class Scores(dict):
-    """Word -> place in the values of this batch's model; words not met before are noted."""
-
-    def __init__(self, model: kn.Model, lang: int):
-        super().__init__()
-        self.model, self.lang, self.fresh = model, lang, []
-        self.values = np.zeros(0)
+class Words(dict):
+    """Word -> its number."""
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
-        self.fresh.append(word)
         return at
 
-    def learn(self) -> None:
-        parts = [self.values]
-        for i in range(0, len(self.fresh), 50_000):
-            parts.append(self.model.nll(self.lang, self.fresh[i : i + 50_000]))
-        self.values, self.fresh = np.concatenate(parts), []
-
 
 def repeated_words(ids: np.ndarray, doc: np.ndarray, n_docs: int, span: int = SPAN) -> np.ndarray:
     """Words of each document in a window of ``span`` words that is in it twice or more.
@@ -80,7 +70,7 @@ def repeated_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def base_counts(texts: list[str | None], scores: list[Scores]) -> dict[str, np.ndarray]:
+def base_counts(texts: list[str | None], langs: list[int], known: kn.Known, of: Words) -> dict[str, np.ndarray]:
     """The counts of every text, and the negative log-likelihood of its words."""
     n = len(texts)
     out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
@@ -88,6 +78,7 @@ def base_counts(texts: list[str | None], scores: list[Scores]) -> dict[str, np.n
     at = 0
     while at < n:
         words_in, doc_in, begun, size = [], [], at, 0
+        by_lang: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
         while at < n and size < 500_000:
             text = texts[at] or ""
             data = text.encode()
@@ -99,24 +90,20 @@ def base_counts(texts: list[str | None], scores: list[Scores]) -> dict[str, np.n
             out["n_symbols"][at] = len(data) - len(data.translate(None, SYMBOLS))
             out["n_dup_lines"][at] = repeated_lines(text)
             if k:
-                of = scores[at]
+                by_lang[langs[at]].append((at, b" ".join(words)))
                 words_in.append(np.fromiter(map(of.__getitem__, words), np.int64, k))
-                doc_in.append((at - begun, k, of))
+                doc_in.append((at - begun, k))
                 size += k
             at += 1
         if not doc_in:
             continue
-        for of in {id(x[2]): x[2] for x in doc_in}.values():
-            of.learn()
-        for ids, (d, _, of) in zip(words_in, doc_in, strict=True):
-            nll[begun + d] = of.values[ids].sum()
+        for lang, own in by_lang.items():
+            nll[[d for d, _ in own]] = known.nll(lang, [t for _, t in own])
         flat = np.concatenate(words_in)
-        doc = np.repeat([d for d, _, _ in doc_in], [k for _, k, _ in doc_in])
+        doc = np.repeat([d for d, _ in doc_in], [k for _, k in doc_in])
         out["n_repeat_words"][begun:at] = repeated_words(flat, doc, at - begun)
-        for of in {id(x[2]): x[2] for x in doc_in}.values():
-            if len(of) > MEMO:
-                of.clear()
-                of.values = np.zeros(0)
+        if len(of) > MEMO:
+            of.clear()
     return out | {"nll": nll}
 
 
@@ -127,18 +114,14 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """id_col, columns of ``keep``, the language's number, the base counts and nll of every row."""
     spark = docs.sparkSession
     numbers = kn.languages(docs, lang_col)
-    model = spark.sparkContext.broadcast(kn.Model.collected(*kn.model_rows(kn.count_ngrams(docs, text_col, lang_col, numbers))))
+    known = spark.sparkContext.broadcast(kn.Known(kn.Model.collected(*kn.model_rows(kn.count_ngrams(docs, text_col, lang_col, numbers)))))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, Scores] = {}
+        of = Words()
         for batch in batches:
             langs = [numbers[x] for x in batch.column(1).to_pylist()]
-            if len(memo) > 64:
-                memo.clear()
-            for lang in set(langs) - memo.keys():
-                memo[lang] = Scores(model.value, lang)
-            got = base_counts(batch.column(2).to_pylist(), [memo[x] for x in langs])
+            got = base_counts(batch.column(2).to_pylist(), langs, known.value, of)
             cols = [batch.column("id"), pa.array(langs, pa.int32()), *(batch.column(c) for c in keep), *(pa.array(got[c]) for c in (*COUNTS, "nll"))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "lang_id", *keep, *COUNTS, "nll"])
 
@@ -147,27 +130,35 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def bands(scored: DataFrame, width: float) -> DataFrame:
-    """lang_id, low, high: one row of each language. Quantiles of nll a word over all rows with words."""
-    rate = F.col("nll") / F.col("n_words")
-    bins = scored.where("n_words > 0").groupBy("lang_id", F.floor(rate / BIN).alias("bin")).agg(F.count("*").alias("n"))
+def quantiles(rows: DataFrame, value, size: float, cuts: tuple[float, ...]) -> DataFrame:
+    """lang_id, q25 and so on of a value, from a histogram of bins of one size."""
+    bins = rows.groupBy("lang_id", F.floor(value / size).alias("bin")).agg(F.count("*").alias("n"))
     own = Window.partitionBy("lang_id")
     upto = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
-    cut = [F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 0.5) * BIN)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
-    spread = F.greatest(F.col("q75") - F.col("q25"), F.lit(2 * BIN)) * width
-    return upto.groupBy("lang_id").agg(*cut).select("lang_id", (F.col("q50") - spread).alias("low"), (F.col("q50") + spread).alias("high"))
+    return upto.groupBy("lang_id").agg(*[F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 0.5) * size)).alias(f"q{int(q * 100)}") for q in cuts])
+
+
+def bands(scored: DataFrame, width: float) -> DataFrame:
+    """lang_id, middle, room (divided by the root of the words): one row of each language."""
+    rate = F.col("nll") / F.col("n_words")
+    some = scored.where("n_words > 0")
+    middle = quantiles(some, rate, BIN, (0.5,)).withColumnRenamed("q50", "middle")
+    far = (rate - F.col("middle")) * F.sqrt("n_words")
+    cut = quantiles(some.join(F.broadcast(middle), "lang_id"), far, FAR_BIN, (0.25, 0.5, 0.75))
+    spread = F.greatest(2 * F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25")), F.lit(1.0)) * width
+    return middle.join(cut, "lang_id").select("lang_id", "middle", spread.alias("room"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0, short: float = 7.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 2.25, keep: tuple[str, ...] = ()) -> DataFrame:
     """The base counts, log_perplexity (null without words), its band, base_failed and kept."""
     scored = written(score_documents(docs, id_col, text_col, lang_col, keep), "quality-scored")
     with_bands = scored.join(F.broadcast(bands(scored, width)), "lang_id", "left")
     rate = F.when(F.col("n_words") > 0, F.col("nll") / F.col("n_words"))
-    room = short / F.sqrt(F.greatest("n_words", F.lit(1)))
+    room = F.col("room") / F.sqrt(F.greatest("n_words", F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = with_bands.withColumn("log_perplexity", rate).withColumn("low", F.col("low") - room).withColumn("high", F.col("high") + room)
+    judged = with_bands.withColumn("log_perplexity", rate).withColumn("low", F.col("middle") - room).withColumn("high", F.col("middle") + room)
     fits = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits).drop("lang_id", "nll")
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits).drop("lang_id", "nll", "middle", "room")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -210,15 +210,16 @@ def test_model_keeps_every_ngram(spark):
     assert len(set(numbers.values())) == 5
     want = set()
     for lang, own in words.items():
-        for word in own:
-            data = f" {word} ".encode()
-            for end in range(2, len(data) + 1):
-                want.update((numbers[lang or ""], data[max(0, end - o) : end]) for o in range(1, kneser_ney.ORDER + 1) if end >= o)
+        data = f" {' '.join(own)} ".encode()
+        for end in range(2, len(data) + 1):
+            want.update((numbers[lang or ""], data[max(0, end - o) : end]) for o in range(1, kneser_ney.ORDER + 1) if end >= o)
     model = kneser_ney.Model.collected(*kneser_ney.model_rows(kneser_ney.count_ngrams(df, "t", "lang", numbers)))
     keys = model.alphas[0]
     assert len(want) > 30_000 and len(set(keys.tolist())) == len(keys)
     named = {(k >> 43, bytes(reversed((k & ((1 << 40) - 1)).to_bytes(5, "little")[: k >> 40 & 7]))) for k in keys.tolist()}
     assert named == want
+    text = " ".join(words["en"]).encode()
+    assert abs(kneser_ney.Known(model).nll(numbers["en"], [text])[0] - model.nll(numbers["en"], [text])[0]) < 0.01
 
 
 def test_quality_on_held_labels(spark):
@@ -230,6 +231,15 @@ def test_quality_on_held_labels(spark):
     assert good > 0.99 and bad < 0.8
 
 
+def test_quality_rejects_words_out_of_order(spark):
+    d = "/root/testdata/sf0.1"
+    judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet"))
+    known = judged.where("not base_failed").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    kept = {r.quality: (r.kept, r.n) for r in known.groupBy("quality").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    print("good kept, all", kept[1], "bad kept, all", kept[0])
+    assert kept[1][0] > 0.995 * kept[1][1] and kept[0][0] < 0.4 * kept[0][1]
+
+
 def test_chat_round_trip(spark):
     r = random.Random(2)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "[ASST] ", "[SYS]", "[ROLE:", "\\", "\n", "é", " ", "] ", "ok", "<\\s>", "[\\INST]"]
