@@ -15,6 +15,8 @@ SPARSE = 55
 K, BANDS, TOP = 32, 16, 20
 BLOOM_M, BLOOM_K = 512, 6
 CMS_W, CMS_D = 41, 5
+#: The reference's error rates, for the queries that size their sketches.
+FP_RATE, EPSILON, DELTA = 0.01, 0.001, 0.01
 
 
 def events(spark, d) -> DataFrame:
@@ -102,6 +104,13 @@ def cms_error(spark, d):
     return frequency.relative_error(cms_estimate(spark, d), frequency.exact(e, "item"), "item")
 
 
+@query()
+def cms_error_sized(spark, d):
+    """Estimates and errors of a sketch of the reference's width and depth."""
+    e, w, depth = src.activity(spark, d), frequency.width_for(EPSILON), frequency.depth_for(DELTA)
+    return frequency.relative_error(frequency.estimate(e, "item", frequency.sketch(e, "item", w, depth), w, depth), frequency.exact(e, "item"), "item")
+
+
 @query("select 2719 as width, 5 as depth, 108760 as memory_bytes, count(*) total, cast(round(0.001 * count(*), 6) as double) as error_bound, 10 as k from events")
 def cms_statistics(spark, d):
     w, depth = frequency.width_for(0.001), frequency.depth_for(0.01)
@@ -218,6 +227,40 @@ def bloom_false_positives(spark, d):
     return judged.agg(F.count("*").alias("probes"), F.count(F.when(F.col("maybe"), 1)).alias("false_positives"))
 
 
+def buyers(spark, d) -> DataFrame:
+    return src.activity(spark, d).where("event_type = 'purchase'").select("user_id").distinct()
+
+
+def bloom_size(spark, d) -> tuple[int, int]:
+    """m and k for all users with a purchase at the reference's error rate."""
+    n = max(1, buyers(spark, d).count())
+    m = bloom.bits_for(n, FP_RATE)
+    return m, bloom.hashes_for(m, n)
+
+
+@query()
+def bloom_membership_sized(spark, d):
+    """All users against a filter of all buyers, sized by their number."""
+    m, k = bloom_size(spark, d)
+    return bloom.contains(src.activity(spark, d), "user_id", bloom.build(buyers(spark, d), "user_id", m, k), m, k)
+
+
+@query()
+def bloom_fill_ratio_sized(spark, d):
+    m, k = bloom_size(spark, d)
+    return bloom.fill_ratio(bloom.build(buyers(spark, d), "user_id", m, k), m)
+
+
+@query()
+def bloom_false_positives_sized(spark, d):
+    """Customers that are no buyers but seem to be, in the filter sized by the number of buyers."""
+    m, k = bloom_size(spark, d)
+    known = buyers(spark, d)
+    unknown = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(known, "user_id", "left_anti")
+    judged = bloom.contains(unknown, "user_id", bloom.build(known, "user_id", m, k), m, k)
+    return judged.agg(F.count("*").alias("probes"), F.count(F.when(F.col("maybe"), 1)).alias("false_positives"))
+
+
 # ---- prefixes --------------------------------------------------------------------------------
 
 
