@@ -294,6 +294,14 @@ def term_lookup(spark, d):
     return prefix.lookup(terms(spark, d), words.toDF("word"))
 
 
+@query(f"with t as ({CATALOG_SQL}) select x as word, coalesce(freq, 0) freq from (select p_name x from part union select upper(p_name) from part union select p_name || ' ' from part) left join t on term = lower(x)")
+def term_lookup_all(spark, d):
+    """All names of parts, as they are, in upper case, and with white space that makes them no term."""
+    part = src.read_table(spark, d, "part")
+    words = part.select(F.explode(F.array("p_name", F.upper("p_name"), F.concat("p_name", F.lit(" ")))).alias("word")).distinct()
+    return prefix.lookup(terms(spark, d), words)
+
+
 @query(f"with t as ({CATALOG_SQL}) select x as prefix, bool_or(term is not null) as found from (values ('re'), ('bl'), ('zzz')) v(x) left join t on starts_with(term, x) group by x")
 def prefix_exists(spark, d):
     asked = spark.createDataFrame([("re",), ("bl",), ("zzz",)], "prefix string")
@@ -312,6 +320,13 @@ def trie_delete(spark, d):
     return prefix.without(terms(spark, d), gone)
 
 
+@query(f"with t as ({CATALOG_SQL}) select term, freq from t where term not in (select lower(p_name) from part group by 1 having max(p_size) >= 50)")
+def trie_delete_all(spark, d):
+    """The vocabulary without the names of all parts of size 50 or more, over the whole table."""
+    gone = src.read_table(spark, d, "part").where("p_size >= 50").select(F.col("p_name").alias("word"))
+    return prefix.without(terms(spark, d), gone)
+
+
 @query(f"with t as ({CATALOG_SQL}) select count(*) as terms from t")
 def trie_size(spark, d):
     return terms(spark, d).agg(F.count("*").alias("terms"))

@@ -21,3 +21,12 @@ def test_sized_bloom_filter_knows_all_buyers(spark):
 def test_sized_count_min_sketch(spark):
     rows = Q["cms_error_sized"](spark, "/root/testdata/sf0.1").collect()
     assert all(0 <= r.estimate - r.cnt <= 0.001 * sum(x.cnt for x in rows) for r in rows)
+
+
+def test_lookup_and_deletion_take_the_whole_table(spark, sf_dir):
+    names = {(r.p_name, r.p_size) for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()}
+    found = {r.word: r.freq for r in Q["term_lookup_all"](spark, sf_dir).collect()}
+    assert all(found[n] > 0 and found[n.upper()] == found[n] and found[n + " "] == 0 for n, _ in names)
+    gone = {n.lower() for n, size in names if size >= 50}
+    left = {r.term for r in Q["trie_delete_all"](spark, sf_dir).collect()}
+    assert gone and left == {n.lower() for n, _ in names} - gone
