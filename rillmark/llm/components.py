@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -29,7 +29,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = hung.unionByName(low.withColumnRenamed("m", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        now = written(small.distinct(), "edges")
+        last, now = now, written(small.distinct(), "edges")
+        forget(last)
+        forget(large)
         before, mark = mark, _mark(now)
         if mark == before:
             break
