@@ -24,5 +24,5 @@ def running_flag(events: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def suspects(events: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Users with that many distinct addresses or more; pairs are made distinct before users meet."""
-    pairs = events.where("address is not null").select("user_id", "address").distinct()
+    pairs = events.where("address is not null and cast(address as string) <> ''").select("user_id", "address").distinct()
     return pairs.groupBy("user_id").agg(F.count("*").alias("addresses")).where(F.col("addresses") >= threshold)

@@ -52,8 +52,9 @@ def top_k(events: DataFrame, column: str, k: int, weight: Column | None = None)
 
 
 def approximate_top_k(events: DataFrame, column: str, k: int, tracked: int = 10_000) -> DataFrame:
-    """Spark's frequent-items sketch."""
-    return events.agg(F.expr(f"approx_top_k({column}, {k}, {tracked})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias(column), F.col("t.count").alias("cnt"))
+    """Spark's frequent-items sketch, ties by item; exact up to ``tracked`` different items."""
+    found = events.agg(F.expr(f"approx_top_k({column}, {tracked}, {tracked})").alias("top")).select(F.explode("top").alias("t"))
+    return found.select(F.col("t.item").alias(column), F.col("t.count").alias("cnt")).orderBy(F.desc("cnt"), column).limit(k)
 
 
 def relative_error(estimates: DataFrame, truth: DataFrame, column: str) -> DataFrame:

@@ -48,6 +48,18 @@ def without(terms: DataFrame, words: DataFrame, column: str = "word") -> DataFra
     return terms.join(words.select(F.lower(F.col(column)).alias("term")), "term", "left_anti")
 
 
+def deleted(terms: DataFrame, words: DataFrame, column: str = "word") -> DataFrame:
+    """column and existed (whether it was a term) of every distinct word to delete."""
+    asked = words.select(column).distinct().withColumn("_t", F.lower(F.col(column)))
+    there = terms.select(F.col("term").alias("_t"), F.lit(True).alias("existed"))
+    return asked.join(there, "_t", "left").select(column, F.coalesce("existed", F.lit(False)).alias("existed"))
+
+
+def search_counts(searches: DataFrame) -> DataFrame:
+    """query, searches: how often each was searched, empty ones too."""
+    return searches.select(normalise(F.col("query")).alias("query")).groupBy("query").agg(F.count("*").alias("searches"))
+
+
 def suggested_before(searches: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
     """What every search was offered: terms of the catalog and of strictly earlier searches.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.sources.files import stored
+
 from . import similarity as sim
 
 
@@ -27,6 +29,7 @@ def popular(watches: DataFrame, k: int) -> DataFrame:
 
 def with_fallback(users: DataFrame, recommended: DataFrame, watches: DataFrame, k: int) -> DataFrame:
     """Users without a recommendation get what is popular, seen or not; broadcasts k rows."""
+    recommended = stored(recommended, "recommended")  # read twice
     rest = users.select("user_id").distinct().join(recommended, "user_id", "left_anti")
     offered = rest.crossJoin(F.broadcast(popular(watches, k)))
     cols = ["user_id", "item", "score", "rank"]

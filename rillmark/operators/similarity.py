@@ -35,6 +35,12 @@ def signatures(watches: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return hashed.groupBy("user_id").agg(*minima).select("user_id", F.array(*(f"_m{i}" for i in range(k))).alias("sig"))
 
 
+def signatures_of(users: DataFrame, watches: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """The same for all ``users``: who has seen nothing gets ``PRIME``, which no hash reaches, k times."""
+    empty = F.array(*(F.lit(PRIME).cast("long") for _ in range(k)))
+    return users.select("user_id").distinct().join(signatures(watches, k, seed), "user_id", "left").select("user_id", F.coalesce("sig", empty).alias("sig"))
+
+
 def agreement(one, two, k: int):
     equal = F.zip_with(one, two, lambda x, y: (x == y).cast("int"))
     return F.aggregate(equal, F.lit(0), lambda acc, x: acc + x).cast("double") / float(k)
@@ -69,7 +75,14 @@ def scored(pairs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "similarity"))
+    ways = F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return pairs.select(F.explode(ways).alias("w"), "similarity").select("w.*", "similarity")
+
+
+def index_size(keys: DataFrame) -> DataFrame:
+    """Users and buckets of a banded index, and the rows of its largest bucket."""
+    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("n")).agg(F.count("*").alias("buckets"), F.max("n").alias("largest"))
+    return keys.agg(F.countDistinct("user_id").alias("users")).crossJoin(buckets)  # one row each
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark.sources.files import stored
+
 
 def trailing_count(events: DataFrame, seconds: int, by: str | None = None) -> DataFrame:
-    """Adds in_window: events in the closed window [ts - seconds, ts]."""
-    over = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    frame = over.orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
+    """Adds in_window: events in the closed window [ts - seconds, ts], of the same ``by`` or of all."""
+    if by is None:
+        return trailing_total(events, seconds, seconds)
+    frame = Window.partitionBy(by).orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count("*").over(frame))
 
 
@@ -46,7 +49,25 @@ def hot_item(events: DataFrame, width: str) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(top)).where("_r = 1").select(F.col("w.start").alias("window_start"), "item", "cnt")
 
 
-def rolling_mean(rows: DataFrame, column: str, by: str, n: int = 1000) -> DataFrame:
-    """Adds the mean of the last n rows of the same partition, in order of id."""
-    frame = Window.partitionBy(by).orderBy("event_id").rowsBetween(1 - n, 0)
-    return rows.withColumn("rolling", F.avg(column).over(frame))
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds place (from 0) in the given order, which must tell all rows apart: rows are sorted by
+    range, and the driver adds up the row counts of the partitions."""
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    laid = stored(laid.withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    before, offsets = 0, []
+    for r in sorted(laid.groupBy("_p").agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["_p"], before))
+        before += r.n
+    starts = rows.sparkSession.createDataFrame(offsets, "_p int, _o long")  # a row for each partition
+    return laid.join(F.broadcast(starts), "_p").withColumn("place", F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")
+
+
+def rolling_mean(rows: DataFrame, column: str, *order: str, n: int = 1000, span: int = 100_000) -> DataFrame:
+    """Adds rolling, the mean of the last n rows in the given order.
+
+    Rows are cut into blocks of ``span`` places; each is averaged with the n - 1 rows before it.
+    """
+    placed = numbered(rows, *order).withColumn("_own", F.floor(F.col("place") / span))
+    copies = placed.withColumn("_block", F.explode(F.sequence(F.col("_own"), F.floor((F.col("place") + n - 1) / span))))
+    frame = Window.partitionBy("_block").orderBy("place").rowsBetween(1 - n, 0)
+    return copies.withColumn("rolling", F.avg(column).over(frame)).where("_block = _own").drop("place", "_own", "_block")

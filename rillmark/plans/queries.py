@@ -9,14 +9,15 @@ from rillmark.operators import bloom, bots, cache, frequency, prefix, priority,
 from rillmark.sources import events as src
 from rillmark.sources import generator
 
+from . import generator_sql
+
 #: How the types of the events table stand for the engine's.
 PRIORITIES = {"purchase": 0, "view": 1, "click": 2}
 SPARSE = 55
 K, BANDS, TOP = 32, 16, 20
-BLOOM_M, BLOOM_K = 512, 6
-CMS_W, CMS_D = 41, 5
-#: The reference's error rates, for the queries that size their sketches.
+#: Error rates that sketches are sized by.
 FP_RATE, EPSILON, DELTA = 0.01, 0.001, 0.01
+CMS_W, CMS_D = frequency.width_for(EPSILON), frequency.depth_for(DELTA)
 
 
 def events(spark, d) -> DataFrame:
@@ -104,21 +105,14 @@ def cms_error(spark, d):
     return frequency.relative_error(cms_estimate(spark, d), frequency.exact(e, "item"), "item")
 
 
-@query()
-def cms_error_sized(spark, d):
-    """Estimates and errors of a sketch of the reference's width and depth."""
-    e, w, depth = src.activity(spark, d), frequency.width_for(EPSILON), frequency.depth_for(DELTA)
-    return frequency.relative_error(frequency.estimate(e, "item", frequency.sketch(e, "item", w, depth), w, depth), frequency.exact(e, "item"), "item")
-
-
-@query("select 2719 as width, 5 as depth, 108760 as memory_bytes, count(*) total, cast(round(0.001 * count(*), 6) as double) as error_bound, 10 as k from events")
+@query("select 2719 as width, 5 as depth, 108760 as memory_bytes, count(*) total, cast(round(0.001 * count(*), 6) as double) as error_bound, 10 as k, least(10, count(distinct json_extract(props, '$.k'))) as tracked from events")
 def cms_statistics(spark, d):
     w, depth = frequency.width_for(0.001), frequency.depth_for(0.01)
     e = src.activity(spark, d)
-    return e.agg(F.lit(w).alias("width"), F.lit(depth).alias("depth"), F.lit(frequency.memory_bytes(w, depth)).alias("memory_bytes"), F.count("*").alias("total"), F.round(F.count("*") * 0.001, 6).alias("error_bound"), F.lit(10).alias("k"))
+    return e.agg(F.lit(w).alias("width"), F.lit(depth).alias("depth"), F.lit(frequency.memory_bytes(w, depth)).alias("memory_bytes"), F.count("*").alias("total"), F.round(F.count("*") * 0.001, 6).alias("error_bound"), F.lit(10).alias("k"), F.least(F.lit(10), F.countDistinct("item")).alias("tracked"))
 
 
-@query()
+@query(f"with {EV} select k as item, count(*) cnt from ev where event_type = 'view' group by k order by cnt desc, k limit 10")
 def approx_top_k_native(spark, d):
     return frequency.approximate_top_k(src.plays(spark, d), "item", 10)
 
@@ -134,16 +128,7 @@ def cms_native(spark, d):
 
 @query(f"with {EV} select event_id, priority, row_number() over (order by priority, ts, event_id) as place from ev")
 def priority_order(spark, d):
-    """Places without one task seeing all events: events are ordered by range, and places are
-    offsets of the priorities and minutes plus the order within them."""
-    from pyspark.sql import Window
-
-    e = events(spark, d).withColumn("slot", F.date_trunc("hour", "ts"))
-    counts = e.groupBy("priority", "slot").agg(F.count("*").alias("n"))
-    before = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("priority", "slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy("priority", "slot").orderBy("ts", "event_id")
-    placed = e.withColumn("r", F.row_number().over(own)).join(before.drop("n"), ["priority", "slot"])
-    return placed.select("event_id", "priority", (F.col("base") + F.col("r")).cast("long").alias("place"))
+    return priority.placed(events(spark, d)).select("event_id", "priority", "place")
 
 
 @query(f"with {EV} select event_id, priority from ev order by priority, ts, event_id limit 1")
@@ -190,41 +175,9 @@ def bot_suspects(spark, d):
 
 # ---- Bloom filter ----------------------------------------------------------------------------
 
-BLOOM_SQL = f"""bits as (select distinct {h("user_id", "i")} % {BLOOM_M} pos from (select distinct user_id from events where event_type = 'purchase' and user_id % 3 = 0), range({BLOOM_K}) t(i))"""
-
-
-def bloom_bits(spark, d):
-    return bloom.build(src.activity(spark, d).where("event_type = 'purchase' and user_id % 3 = 0"), "user_id", BLOOM_M, BLOOM_K)
-
-
-@query(f"""with {BLOOM_SQL}, asked as (select distinct u.user_id, {h("u.user_id", "i")} % {BLOOM_M} pos from (select distinct user_id from events) u, range({BLOOM_K}) t(i))
-select user_id, count(*) = count(b.pos) as maybe from asked left join bits b using (pos) group by user_id""")
-def bloom_membership(spark, d):
-    return bloom.contains(src.activity(spark, d), "user_id", bloom_bits(spark, d), BLOOM_M, BLOOM_K)
-
-
-@query(f"with {BLOOM_SQL} select count(*) bits_set, count(*) / {BLOOM_M}.0::double as fill_ratio from bits")
-def bloom_fill_ratio(spark, d):
-    return bloom.fill_ratio(bloom_bits(spark, d), BLOOM_M)
-
-
-@query("select 9585058 as m, 6 as k, 1198132 as memory_bytes, round(pow(1 - exp(-6.0 * 1000000 / 9585058), 6), 9) as expected_fp")
-def bloom_sizing(spark, d):
-    m = bloom.bits_for(1_000_000, 0.01)
-    k = bloom.hashes_for(m, 1_000_000)
-    return spark.range(1).select(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(bloom.memory_bytes(m)).alias("memory_bytes"), F.lit(round(bloom.expected_fp(m, k, 1_000_000), 9)).alias("expected_fp"))
-
-
-@query(f"""with {BLOOM_SQL}, known as (select distinct user_id from events where event_type = 'purchase' and user_id % 3 = 0),
-asked as (select distinct c_custkey u, {h("c_custkey", "i")} % {BLOOM_M} pos from customer, range({BLOOM_K}) t(i) where c_custkey not in (select user_id from known)),
-judged as (select u, count(*) = count(b.pos) maybe from asked left join bits b using (pos) group by u)
-select count(*) probes, count(*) filter (maybe) false_positives from judged""")
-def bloom_false_positives(spark, d):
-    """Customers that are not in the filter but seem to be."""
-    known = src.activity(spark, d).where("event_type = 'purchase' and user_id % 3 = 0").select("user_id").distinct()
-    unknown = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(known, "user_id", "left_anti")
-    judged = bloom.contains(unknown, "user_id", bloom_bits(spark, d), BLOOM_M, BLOOM_K)
-    return judged.agg(F.count("*").alias("probes"), F.count(F.when(F.col("maybe"), 1)).alias("false_positives"))
+BLOOM_SQL = f"""buyers as (select distinct user_id from events where event_type = 'purchase'), counted as (select greatest(1, count(*)) n from buyers),
+sized as (select n, cast(floor(-n * ln({FP_RATE}) / (ln(2) * ln(2))) as bigint) m from counted), size as (select m, greatest(1, cast(floor(m / n * ln(2)) as bigint)) k from sized),
+bits as (select distinct {h("user_id", "i")} % m pos from buyers, size, unnest(range(k)) t(i))"""
 
 
 def buyers(spark, d) -> DataFrame:
@@ -232,28 +185,38 @@ def buyers(spark, d) -> DataFrame:
 
 
 def bloom_size(spark, d) -> tuple[int, int]:
-    """m and k for all users with a purchase at the reference's error rate."""
+    """m and k for all users with a purchase."""
     n = max(1, buyers(spark, d).count())
     m = bloom.bits_for(n, FP_RATE)
     return m, bloom.hashes_for(m, n)
 
 
-@query()
-def bloom_membership_sized(spark, d):
+@query(f"""with {BLOOM_SQL}, asked as (select distinct u.user_id, {h("u.user_id", "i")} % m pos from (select distinct user_id from events) u, size, unnest(range(k)) t(i))
+select user_id, count(*) = count(b.pos) as maybe from asked left join bits b using (pos) group by user_id""")
+def bloom_membership(spark, d):
     """All users against a filter of all buyers, sized by their number."""
     m, k = bloom_size(spark, d)
     return bloom.contains(src.activity(spark, d), "user_id", bloom.build(buyers(spark, d), "user_id", m, k), m, k)
 
 
-@query()
-def bloom_fill_ratio_sized(spark, d):
+@query(f"with {BLOOM_SQL} select count(*) bits_set, count(*) / any_value(m)::double as fill_ratio from bits, size")
+def bloom_fill_ratio(spark, d):
     m, k = bloom_size(spark, d)
     return bloom.fill_ratio(bloom.build(buyers(spark, d), "user_id", m, k), m)
 
 
-@query()
-def bloom_false_positives_sized(spark, d):
-    """Customers that are no buyers but seem to be, in the filter sized by the number of buyers."""
+@query("select 9585058 as m, 6 as k, 1198132 as memory_bytes, round(pow(1 - exp(-6.0 * 1000000 / 9585058), 6), 9) as expected_fp")
+def bloom_sizing(spark, d):
+    m = bloom.bits_for(1_000_000, 0.01)
+    k = bloom.hashes_for(m, 1_000_000)
+    return spark.range(1).select(F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(bloom.memory_bytes(m)).alias("memory_bytes"), F.lit(round(bloom.expected_fp(m, k, 1_000_000), 9)).alias("expected_fp"))
+
+
+@query(f"""with {BLOOM_SQL}, asked as (select distinct c_custkey u, {h("c_custkey", "i")} % m pos from customer, size, unnest(range(k)) t(i) where c_custkey not in (select user_id from buyers)),
+judged as (select u, count(*) = count(b.pos) maybe from asked left join bits b using (pos) group by u)
+select count(*) probes, count(*) filter (maybe) false_positives from judged""")
+def bloom_false_positives(spark, d):
+    """Customers that are no buyers but seem to be."""
     m, k = bloom_size(spark, d)
     known = buyers(spark, d)
     unknown = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(known, "user_id", "left_anti")
@@ -287,15 +250,8 @@ def autocomplete_topk(spark, d):
     return prefix.complete_many(terms(spark, d), asked_prefixes(spark), 5)
 
 
-@query(f"with t as ({CATALOG_SQL}) select x as word, coalesce(freq, 0) freq from (select distinct p_name x from part where p_partkey <= 40 union all select 'none' union all select lower(p_name) || ' ' from part where p_partkey = 1) left join t on term = lower(x)")
-def term_lookup(spark, d):
-    part = src.read_table(spark, d, "part")
-    words = part.where("p_partkey <= 40").select("p_name").distinct().union(spark.sql("select 'none'")).union(part.where("p_partkey = 1").select(F.concat(F.lower("p_name"), F.lit(" "))))
-    return prefix.lookup(terms(spark, d), words.toDF("word"))
-
-
 @query(f"with t as ({CATALOG_SQL}) select x as word, coalesce(freq, 0) freq from (select p_name x from part union select upper(p_name) from part union select p_name || ' ' from part) left join t on term = lower(x)")
-def term_lookup_all(spark, d):
+def term_lookup(spark, d):
     """All names of parts, as they are, in upper case, and with white space that makes them no term."""
     part = src.read_table(spark, d, "part")
     words = part.select(F.explode(F.array("p_name", F.upper("p_name"), F.concat("p_name", F.lit(" ")))).alias("word")).distinct()
@@ -314,19 +270,20 @@ def prefix_subtree_freq(spark, d):
     return prefix.subtree_frequency(terms(spark, d))
 
 
-@query(f"with t as ({CATALOG_SQL}) select term, freq from t where term not in (select lower(p_name) from part where p_partkey <= 20)")
-def trie_delete(spark, d):
-    gone = src.read_table(spark, d, "part").where("p_partkey <= 20").select(F.col("p_name").alias("word"))
-    return prefix.without(terms(spark, d), gone)
-
-
 @query(f"with t as ({CATALOG_SQL}) select term, freq from t where term not in (select lower(p_name) from part group by 1 having max(p_size) >= 50)")
-def trie_delete_all(spark, d):
+def trie_delete(spark, d):
     """The vocabulary without the names of all parts of size 50 or more, over the whole table."""
     gone = src.read_table(spark, d, "part").where("p_size >= 50").select(F.col("p_name").alias("word"))
     return prefix.without(terms(spark, d), gone)
 
 
+@query(f"with t as ({CATALOG_SQL}) select x as word, bool_or(term is not null) as existed from (select p_name x from part union select upper(p_name) from part union select p_name || '!' from part) left join t on term = lower(x) group by x")
+def trie_deleted(spark, d):
+    """Whether each of all names of parts, as they are, in upper case, and changed, is there to delete."""
+    words = src.read_table(spark, d, "part").select(F.explode(F.array("p_name", F.upper("p_name"), F.concat("p_name", F.lit("!")))).alias("word"))
+    return prefix.deleted(terms(spark, d), words)
+
+
 @query(f"with t as ({CATALOG_SQL}) select count(*) as terms from t")
 def trie_size(spark, d):
     return terms(spark, d).agg(F.count("*").alias("terms"))
@@ -341,6 +298,11 @@ def search_then_record(spark, d):
     return prefix.vocabulary(terms(spark, d).withColumnRenamed("freq", "n").unionByName(said), weight="n")
 
 
+@query(f"with {SEARCH_SQL} select query, count(*) searches from s group by query")
+def search_counts(spark, d):
+    return prefix.search_counts(searches(spark, d))
+
+
 @query(f"""with {SEARCH_SQL}, both_ as (select search_id, query, term, freq n from s join t on starts_with(term, query)
   union all select a.search_id, a.query, b.query, 1 from s a join s b on b.search_id < a.search_id and starts_with(b.query, a.query)),
 summed as (select search_id, query, term, cast(sum(n) as bigint) freq from both_ group by all)
@@ -377,9 +339,9 @@ def lsh_bands(spark, d):
     return similarity.band_keys(similarity.signatures(history(spark, d), K), K, BANDS)
 
 
-def lsh_pairs(spark, d, keep=None):
+def lsh_pairs(spark, d, gone=None):
     sigs = similarity.signatures(history(spark, d), K)
-    sigs = sigs.where(keep) if keep is not None else sigs
+    sigs = sigs.join(gone, "user_id", "left_anti") if gone is not None else sigs
     return similarity.scored(similarity.candidates(similarity.band_keys(sigs, K, BANDS)), sigs, K)
 
 
@@ -393,10 +355,23 @@ def lsh_nearest(spark, d):
     return similarity.nearest(lsh_pairs(spark, d), 10)
 
 
-@query(f"with {SIG_SQL}, {BAND_SQL}, {EST_SQL} select * from e where u % 7 <> 0 and v % 7 <> 0")
+@query(f"with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, gone as (select c_custkey from customer where c_acctbal < 0) select * from e where u not in (select * from gone) and v not in (select * from gone)")
 def lsh_remove(spark, d):
-    """Pairs after every seventh user is removed from the index."""
-    return lsh_pairs(spark, d, F.col("user_id") % 7 != 0)
+    """Pairs after the customers that owe money are removed from the index."""
+    gone = src.read_table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    return lsh_pairs(spark, d, gone)
+
+
+@query(f"with {SIG_SQL}, {BAND_SQL}, sizes as (select band, key, count(*) n from b group by 1, 2) select (select count(distinct user_id) from b) users, count(*) buckets, max(n) largest from sizes")
+def lsh_size(spark, d):
+    return similarity.index_size(similarity.band_keys(similarity.signatures(history(spark, d), K), K, BANDS))
+
+
+@query(f"with {SIG_SQL}, has as (select user_id, string_agg(cast(mh as varchar), ',' order by i) as sig from m group by user_id) select c_custkey user_id, coalesce(sig, '{','.join([str(similarity.PRIME)] * K)}') as sig from customer left join has on user_id = c_custkey")
+def minhash_signature_users(spark, d):
+    """Of all customers, those that ordered nothing too."""
+    users = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return similarity.signatures_of(users, history(spark, d), K).select("user_id", F.array_join("sig", ",").alias("sig"))
 
 
 @query(f"with {WATCH_SQL}, {EXACT_SQL} select * from x")
@@ -410,18 +385,29 @@ def jaccard_sets(spark, d):
     return sets.select("target", similarity.jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
-@query()
+TRIALS, LENGTHS, TARGETS = 5, (8, 16, 32, 64, 128, 256), (0.1, 0.3, 0.5, 0.7, 0.9)
+TRIAL_SQL = f"fam as (select * from (values {', '.join(f'({t}, {i}, {a}::bigint, {b}::bigint)' for t in range(TRIALS) for i, (a, b) in enumerate(similarity.family(max(LENGTHS), 100 + t)))}) v(trial, i, a, b))"
+
+
+@query(f"""with {TRIAL_SQL}, items as (select t target, x, x < greatest(1, round(t * 500)) both_ from (values {", ".join(f"({t}::double)" for t in TARGETS)}) v(t), range(500) r(x)),
+h as (select *, {h("x", "'mh'")} % {similarity.PRIME} hx from items),
+m as (select target, trial, i, min((a * hx + b) % {similarity.PRIME}) one, min(case when both_ then (a * hx + b) % {similarity.PRIME} end) two from h, fam group by all),
+e as (select k, target, trial, count(*) filter (one = two) / k::double estimate from m, (values {", ".join(f"({k})" for k in LENGTHS)}) v(k) where i < k group by k, target, trial)
+select cast(k as integer) as k, target, round(avg(abs(estimate - target)), 9) as mean_error from e group by k, target""")
 def minhash_error(spark, d):
-    """How far signatures of several lengths are from the similarity of sets made for it."""
-    sets = similarity.sets_of_similarity(spark, [0.1, 0.3, 0.5, 0.7, 0.9])
+    """How far signatures of several lengths are from the similarity of sets made for it, on average
+    over several families of hashes."""
+    sets = similarity.sets_of_similarity(spark, list(TARGETS))
+    sides = sets.select((F.col("target") * 10).cast("int").alias("g"), F.posexplode(F.array("a", "b")).alias("side", "items"))
+    watched = sides.select((F.col("g") * 2 + F.col("side")).alias("user_id"), F.explode("items").alias("item"))
     out = None
-    for k in (8, 32, 128):
-        long = sets.select((F.col("target") * 10).cast("int").alias("g"), "target", F.posexplode(F.array("a", "b")).alias("side", "items")).select("target", (F.col("g") * 2 + F.col("side")).alias("user_id"), F.explode("items").alias("item"))
-        sigs = similarity.signatures(long, k)
-        one, two = sigs.where("user_id % 2 = 0"), sigs.where("user_id % 2 = 1").select((F.col("user_id") - 1).alias("user_id"), F.col("sig").alias("other"))
-        part = one.join(two, "user_id").select(F.lit(k).alias("k"), (F.col("user_id") / 20).alias("target"), similarity.agreement(F.col("sig"), F.col("other"), k).alias("estimate"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    for trial in range(TRIALS):
+        sigs = similarity.signatures(watched, max(LENGTHS), 100 + trial)
+        pair = sigs.groupBy(F.floor(F.col("user_id") / 2).alias("g")).agg(F.max(F.when(F.col("user_id") % 2 == 0, F.col("sig"))).alias("one"), F.max(F.when(F.col("user_id") % 2 == 1, F.col("sig"))).alias("two"))
+        first = lambda sig, k: F.slice(sig, 1, k)
+        found = pair.select((F.col("g") / 10).alias("target"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), similarity.agreement(first("one", k), first("two", k), k).alias("estimate")) for k in LENGTHS))).alias("x"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(F.col("x.k").alias("k"), "target").agg(F.round(F.avg(F.abs(F.col("x.estimate") - F.col("target"))), 9).alias("mean_error"))
 
 
 @query(f"with {SIG_SQL}, {BAND_SQL}, {EXACT_SQL}, tr as (select u, v from x where similarity >= 0.05), f as (select c.u cu, tr.u tu from c full join tr on c.u = tr.u and c.v = tr.v) select count(tu) true_pairs, count(cu) found_pairs, count(*) filter (tu is not null and cu is not null) as shared, case when count(tu) = 0 then 0 else (count(*) filter (tu is not null and cu is not null))::double / count(tu) end as recall, case when count(cu) = 0 then 0 else (count(*) filter (tu is not null and cu is not null))::double / count(cu) end as precision from f")
@@ -480,7 +466,8 @@ def lru_hits(spark, d):
     return cache.play(accesses(spark, d), 20, 2000).select("pos", "key", "hit")
 
 
-@query()
+@query(f"""with {ACC_SQL}, miss as (select pos from dist where not (p is not null and c < 20))
+select m.pos, y.key evicted from miss m join a y on y.pos < m.pos and (y.n is null or y.n >= m.pos) qualify row_number() over (partition by m.pos order by y.pos desc) = 20""")
 def lru_evictions(spark, d):
     return cache.play(accesses(spark, d), 20, 2000).where("evicted is not null").select("pos", "evicted")
 
@@ -493,7 +480,7 @@ def lru_stats(spark, d):
 @query(f"with {ACC_SQL} select cast(cap as integer) as capacity, count(*) filter (p is not null and c < cap) as hits, count(*) accesses from dist, (values (1), (5), (10), (20), (50), (80)) v(cap) group by cap")
 def lru_capacity_sweep(spark, d):
     """Hits at every capacity from one pass of reuse distances."""
-    distances = cache.reuse_distance(accesses(spark, d))
+    distances = cache.reuse_distance(accesses(spark, d), 80, 2000)
     caps = F.explode(F.array(*map(F.lit, (1, 5, 10, 20, 50, 80)))).alias("capacity")
     return distances.select("distance", caps).groupBy("capacity").agg(F.count(F.when(F.col("distance") < F.col("capacity"), 1)).alias("hits"), F.count("*").alias("accesses"))
 
@@ -503,6 +490,37 @@ def lru_contents(spark, d):
     return cache.contents(accesses(spark, d), 20)
 
 
+@query(f"with {EV}, l as (select k as key from ev where event_type = 'view' group by k order by max(event_id) desc limit 20) select distinct k as key, k in (select key from l) as held from ev")
+def lru_contains(spark, d):
+    """Which of all items are in the cache at the end."""
+    return cache.contains(accesses(spark, d), src.activity(spark, d).select(F.col("item").alias("key")), 20)
+
+
+SERVED = 40
+SERVED_SQL = f"""{EV}, a as (select event_id pos, user_id as key, event_type = 'click' request, lag(event_id) over w p, lead(event_id) over w n, lag(event_type) over w = 'click' fresh
+  from ev where event_type in ('view', 'click') window w as (partition by user_id order by event_id)),
+served as (select x.pos, x.key, coalesce(any_value(x.fresh), false) and x.p is not null and count(y.pos) < {SERVED} from_cache
+  from a x left join a y on y.pos > x.p and y.pos < x.pos and (y.n is null or y.n > x.pos) where x.request group by x.pos, x.key, x.p)"""
+
+
+def requests(spark, d):
+    """Views, and clicks as requests for recommendations, of all users."""
+    log = src.activity(spark, d).where("event_type in ('view', 'click')")
+    return log.select(F.col("event_id").alias("pos"), F.col("user_id").alias("key"), (F.col("event_type") == "click").alias("request"))
+
+
+@query(f"with {SERVED_SQL} select * from served")
+def served_from_cache(spark, d):
+    """Which requests find recommendations that the user's own views haven't made outdated."""
+    return cache.served(requests(spark, d), SERVED, 2000)
+
+
+@query(f"with {SERVED_SQL} select count(*) requests, count(*) filter (from_cache) hits, {SERVED} as capacity, 0.42::double as lsh_threshold from served")
+def served_stats(spark, d):
+    done = cache.served(requests(spark, d), SERVED, 2000)
+    return done.agg(F.count("*").alias("requests"), F.count(F.when(F.col("from_cache"), 1)).alias("hits"), F.lit(SERVED).alias("capacity"), F.round(F.lit(similarity.lsh_threshold(128, 32)), 3).alias("lsh_threshold"))
+
+
 # ---- windows ---------------------------------------------------------------------------------
 
 
@@ -533,10 +551,10 @@ def window_hot_item(spark, d):
     return windows.hot_item(src.activity(spark, d), "1 hour").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("select event_id, cast(round(avg(cast(round(value * 1000) as bigint)) over (partition by event_type order by event_id rows between 999 preceding and current row), 3) as double) as rolling from events")
+@query("select event_id, cast(round(avg(cast(round(value * 1000) as bigint)) over (order by event_id rows between 999 preceding and current row), 3) as double) as rolling from events")
 def rolling_latency(spark, d):
     thousandths = src.activity(spark, d).withColumn("value", F.round(F.col("value") * 1000).cast("long"))
-    return windows.rolling_mean(thousandths, "value", "event_type").select("event_id", F.round("rolling", 3).alias("rolling"))
+    return windows.rolling_mean(thousandths, "value", "event_id", span=2000).select("event_id", F.round("rolling", 3).alias("rolling"))
 
 
 # ---- the whole system ------------------------------------------------------------------------
@@ -554,15 +572,56 @@ def system_stats(spark, d):
     return system.statistics(dispatch_actions(spark, d))
 
 
+CACHED = 20
+PROCESS_SQL = f"""{EV}, {FLAG_SQL}, pl as (select *, row_number() over (order by priority, ts, event_id) place from ev),
+a as (select place pos, k as key, lag(place) over (partition by k order by place) p, lead(place) over (partition by k order by place) n from pl where event_type = 'view' and k is not null),
+cached as (select x.pos place, case when x.p is not null and count(y.pos) < {CACHED} then 'HIT' else 'MISS' end cache from a x left join a y on y.pos > x.p and y.pos < x.pos and (y.n is null or y.n > x.pos) group by x.pos, x.p),
+s as (select place search_id, lower(trim([' Re', 'bl', 'RED', 'BL', 're', 'old', 'large g', 's '][k % 8 + 1])) query from pl where event_type = 'click'), t as ({CATALOG_SQL}),
+both_ as (select search_id, term, freq n from s join t on starts_with(term, query) union all select a.search_id, b.query, 1 from s a join s b on b.search_id < a.search_id and starts_with(b.query, a.query)),
+best as (select search_id, term, row_number() over (partition by search_id order by sum(n) desc, term) r from both_ group by 1, 2 qualify r <= 5),
+offered as (select search_id place, string_agg(term, '|' order by r) suggestions from best group by 1),
+done as (select event_id, place, user_id, event_type, cast(priority as integer) priority, coalesce(addresses >= {SPARSE}, false) flagged,
+  case event_type when 'view' then 'watch' when 'purchase' then 'payment' when 'click' then 'search' else 'none' end as action, cache, suggestions
+  from pl left join (select event_id, addresses from flags) using (event_id) left join cached using (place) left join offered using (place))"""
+
+
+def processed(spark, d) -> DataFrame:
+    query = F.element_at(F.array(*map(F.lit, QUERIES)), (F.col("item") % len(QUERIES) + 1).cast("int"))
+    e = events(spark, d).withColumn("query", F.when(F.col("event_type") == "click", query))
+    return system.processed(e, terms(spark, d), SPARSE, CACHED, "view", "click", ("purchase",), 2000)
+
+
+@query(f"with {PROCESS_SQL} select * from done")
+def process_events(spark, d):
+    """Every event in processing order with what the whole system makes of it."""
+    return processed(spark, d)
+
+
+@query(f"""with {PROCESS_SQL}, plays as (select count(k) trending_total, count(distinct k) catalog, count(distinct user_id) filter (k is not null) indexed_users from ev where event_type = 'view'),
+one as (select count(*) processed, 0::bigint pending, {", ".join(f"count(*) filter (priority = {x}) priority_{x}" for x in range(4))}, count(*) filter (flagged) alerts, count(distinct user_id) filter (flagged) bots,
+  count(*) filter (cache = 'HIT') cache_hits, count(*) filter (cache = 'MISS') cache_misses, count(suggestions) searches_answered from done)
+select *, least(catalog, {CACHED}) cache_size, cache_misses - least(catalog, {CACHED}) cache_evictions, case when cache_hits + cache_misses = 0 then 0 else cache_hits::double / (cache_hits + cache_misses) end cache_hit_rate,
+  least(catalog, {TOP}) trending_tracked, 0.42::double lsh_threshold from one, plays""")
+def full_system_stats(spark, d):
+    return system.full_statistics(processed(spark, d), src.plays(spark, d), CACHED, TOP, 128, 32)
+
+
 # ---- sources ---------------------------------------------------------------------------------
 
 
-@query()
+@query(f"select id, timestamp, user_id, event_type, video_id, ip, is_premium, session_id, payload from ({generator_sql.events(5000, 42, 1000, 10_000, 1_000)})")
 def generated_events(spark, d):
-    return generator.events(spark, 5000, seed=42)
+    made = generator.events(spark, 5000, seed=42)
+    said = F.array_join(F.transform(F.map_entries("payload"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return made.withColumn("payload", said).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"""with g as ({generator_sql.events(50_000, 7, 1000, 200, 500)}), b as (select *, case event_type {" ".join(f"when '{n}' then {x}" for n, x in priority.BASE.items())} else {priority.STANDARD} end base from g),
+p as (select *, case when is_premium and base > 1 then 1 else base end priority from b),
+f as (select *, case when row_number() over (partition by user_id, ip order by timestamp, id) = 1 then 1 else 0 end f from p),
+x as (select *, sum(f) over (partition by user_id order by timestamp, id rows unbounded preceding) >= 4 flagged from f)
+select count(*) events, count(*) filter (flagged) alerts, count(*) filter (event_type in ('purchase', 'subscription')) payments, count(*) filter (event_type = 'play' and video_id is not null) watches,
+  {", ".join(f"count(*) filter (priority = {x}) priority_{x}" for x in range(4))}, count(distinct user_id) filter (flagged) bots from x""")
 def generated_system_stats(spark, d):
     """A run over generated events: priorities, suspicious users, payments and plays."""
     made = generator.events(spark, 50_000, seed=7, users=200, items=500)
@@ -570,7 +629,7 @@ def generated_system_stats(spark, d):
     return system.statistics(system.dispatch(priority.classified(told), 4))
 
 
-@query()
+@query(f"select range id, {generator_sql.ranked(generator_sql.uniform(42, 'zipf', 'range'), 100, 1.2)} as rank from range(20000)")
 def zipf_sample(spark, d):
     return generator.zipf(spark, 100, 20_000, 1.2, seed=42)
 

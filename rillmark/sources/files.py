@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -18,12 +20,19 @@ def csv_of(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).option("header", True).csv(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what follows doesn't repeat it."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder of a single machine where it is unset."""
+    """``spark.checkpoint.dir``, or a temporary folder of a local session where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         named = tempfile.mkdtemp(prefix="rillmark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -41,14 +41,20 @@ SEARCHES = (
     "avengers", "avatar", "dark knight", "inception", "matrix", "interstellar", "parasite", "spider", "thor", "iron man",
     "black panther", "doctor strange", "guardians", "the", "2024",
 )
+#: Qualities, plans, shares of premium users and bots, and the size of the pool of addresses.
 QUALITIES = ("360p", "720p", "1080p", "4K")
 PLANS = ("basic", "standard", "premium")
 PREMIUM_SHARE, BOT_SHARE, ADDRESSES = 0.15, 0.02, 50_000
 
 
+def digits(n: int, *parts: Column) -> Column:
+    """A number from the first n hexadecimal digits of a digest; the same in any SQL that has md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, n), 16, 10).cast("long")
+
+
 def uniform(seed: int, name: str, *keys: Column) -> Column:
     """0 <= x < 1 from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), *keys), F.lit(1 << 53)) / float(1 << 53)
+    return digits(13, F.lit(seed), F.lit(name), *keys) / float(1 << 52)
 
 
 def pick(seed: int, name: str, values: tuple, *keys: Column) -> Column:
@@ -64,22 +70,25 @@ def cumulative(weights: list[float]) -> list[float]:
     return out
 
 
+def law(n: int, alpha: float) -> tuple[list[float], float, float, float]:
+    """Cumulative weights of the head of Zipf's law, their end, and the bounds of the continuous law
+    that the tail is drawn from."""
+    head = min(n, 64)
+    weights = [(i + 1) ** -alpha for i in range(head)]
+    low, high = (head + 0.5) ** (1 - alpha), (n + 0.5) ** (1 - alpha)
+    edges = cumulative([*weights, (low - high) / (alpha - 1) if n > head else 0.0])[:head]
+    return edges, edges[-1] if n > head else 1.0, low, high
+
+
 def ranked(u: Column, n: int, alpha: float) -> Column:
     """A rank from 0 to n - 1 of probability in proportion to (rank + 1) ** -alpha, for a uniform
     u: the cumulative weights up to ``n`` are inverted as for the continuous law and the result
     is moved to the exact rank at the head, where the law is steep."""
-    head = min(n, 64)
-    weights = [(i + 1) ** -alpha for i in range(head)]
-    tail = ((head + 0.5) ** (1 - alpha) - (n + 0.5) ** (1 - alpha)) / (alpha - 1) if n > head else 0.0
-    edges = cumulative([*weights, tail])[:head]
-    out = None
-    share = edges[-1] if n > head else 1.0
+    edges, share, low, high = law(n, alpha)
+    at_head = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda acc, e: acc + (u >= e).cast("int"))
     rest = (u - share) / max(1 - share, 1e-12)
-    low, high = (head + 0.5) ** (1 - alpha), (n + 0.5) ** (1 - alpha)
-    out = F.least(F.floor(F.pow(F.lit(low) + rest * (high - low), F.lit(1 / (1 - alpha))) - 0.5), F.lit(n - 1)).cast("int")
-    inside = F.array(*map(F.lit, edges))
-    at_head = F.aggregate(inside, F.lit(0), lambda acc, e: acc + (u >= e).cast("int"))
-    return F.when(u < share, at_head).otherwise(out if n > head else F.lit(n - 1))
+    tail = F.least(F.floor(F.pow(F.lit(low) + rest * (high - low), F.lit(1 / (1 - alpha))) - 0.5), F.lit(n - 1)).cast("int")
+    return F.when(u < share, at_head).otherwise(tail if n > len(edges) else F.lit(n - 1))
 
 
 def zipf(spark: SparkSession, n: int, size: int, alpha: float = 1.2, seed: int = 42) -> DataFrame:
@@ -97,9 +106,9 @@ def by_share(u: Column, shares: dict[str, float]) -> Column:
 
 def address(number: Column) -> Column:
     """A dotted address for a number of the pool."""
-    h = F.xxhash64(F.lit("address"), number)
-    part = lambda shift, mod, add: (F.pmod(F.shiftright(h, shift), F.lit(mod)) + add).cast("string")
-    return F.concat_ws(".", part(0, 254, 1), part(8, 256, 0), part(16, 256, 0), part(24, 254, 1))
+    h = digits(8, F.lit("address"), number)
+    part = lambda by, mod, add: (F.floor(h / by) % mod + add).cast("string")
+    return F.concat_ws(".", part(1, 254, 1), part(254, 256, 0), part(254 << 8, 256, 0), part(254 << 16, 254, 1))
 
 
 def described(ids: DataFrame, ts: Column, seed: int, users: int, items: int, shares: dict[str, float], bot_by_event: bool = False) -> DataFrame:
@@ -109,7 +118,7 @@ def described(ids: DataFrame, ts: Column, seed: int, users: int, items: int, sha
     rows = rows.withColumn("event_type", by_share(uniform(seed, "type", i), shares))
     u = F.col("_u")
     bot = uniform(seed, "bot", i if bot_by_event else u) < BOT_SHARE
-    own = F.pmod(F.xxhash64(F.lit("home"), u) + F.floor(uniform(seed, "address", i) * 3), F.lit(ADDRESSES))
+    own = F.pmod(digits(8, F.lit("home"), u) + F.floor(uniform(seed, "address", i) * 3), F.lit(ADDRESSES))
     anywhere = F.floor(uniform(seed, "anywhere", i) * ADDRESSES)
     kind = F.col("event_type")
     searches = F.create_map(F.lit("query"), pick(seed, "query", SEARCHES, i))
@@ -131,12 +140,23 @@ def events(spark: SparkSession, n: int, seed: int = 42, rate: int = 1000, users:
     return described(spark.range(n), ts, seed, users, items, EVENT_SHARES)
 
 
-def event_stream(spark: SparkSession, rate: int = 1000, seed: int = 42, burst: float = 1.0, **options: str) -> DataFrame:
-    """An unbounded stream; ``burst`` multiplies the rate."""
-    reader = spark.readStream.format("rate").option("rowsPerSecond", int(rate * burst))
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    ids = reader.load().select(F.col("value").alias("id"), F.col("timestamp").alias("_ts"))
+def event_stream(spark: SparkSession, rate: int = 1000, seed: int = 42, burst: float = 1.0, burst_at: float = 0.0, burst_seconds: float = 3.0, **options: str) -> DataFrame:
+    """An unbounded stream; from ``burst_at`` on its rate is multiplied by ``burst`` for some seconds.
+
+    The rows of a burst are those of a second source that only passes them in these seconds; a source
+    counts its rows, so row n of a source of r rows a second is of second n / r.
+    """
+
+    def source(rows: int) -> DataFrame:
+        reader = spark.readStream.format("rate").option("rowsPerSecond", rows)
+        for key, value in options.items():
+            reader = reader.option(key, value)
+        return reader.load().select(F.col("value").alias("id"), F.col("timestamp").alias("_ts"))
+
+    ids, more = source(rate), int(rate * (burst - 1))
+    if more > 0:
+        second = F.col("id") / more
+        ids = ids.unionByName(source(more).where((second >= burst_at) & (second < burst_at + burst_seconds)).withColumn("id", F.col("id") + (1 << 40)))
     return described(ids.withColumn("_", F.lit(0)), F.col("_ts"), seed, 10_000, 1_000, EVENT_SHARES)
 
 

@@ -42,10 +42,11 @@ def item_counts(plays: DataFrame) -> DataFrame:
     return plays.where("item is not null").groupBy("item").agg(F.count("*").alias("cnt"))
 
 
-def flagged_users(events: DataFrame, threshold: int, late: str = "10 minutes", keep: str = "400 days") -> DataFrame:
+def flagged_users(events: DataFrame, threshold: int, late: str = "10 minutes", keep: str = "400 days", all_counts: bool = True) -> DataFrame:
     """user_id, event_id, addresses of every event from the one on with which the user has
     ``threshold`` addresses; a user's addresses are forgotten once the watermark is ``keep``
-    beyond the user's last event."""
+    beyond the user's last event. Without ``all_counts`` no more than ``threshold`` are remembered."""
+    kind = events.schema["user_id"].dataType.simpleString()
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,16 +57,17 @@ def flagged_users(events: DataFrame, threshold: int, late: str = "10 minutes", k
         rows = pd.concat(batches).sort_values(["ts", "event_id"])
         out = []
         for event_id, address in zip(rows["event_id"], rows["address"], strict=True):
-            known.add(int(address))
+            if all_counts or len(known) < threshold:
+                known.add(address)
             if len(known) >= threshold:
                 out.append((key[0], int(event_id), len(known)))
         state.update((sorted(known),))
         state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_ms)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "addresses"]).astype("int64")
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "addresses"]).astype({"event_id": "int64", "addresses": "int64"})
 
-    rows = events.withWatermark("ts", late).where("address is not null").select("user_id", "event_id", "ts", "address")
+    rows = events.withWatermark("ts", late).where("address is not null").select("user_id", "event_id", "ts", F.col("address").cast("string").alias("address")).where("address <> ''")
     return rows.groupBy("user_id").applyInPandasWithState(
-        judge, "user_id long, event_id long, addresses long", "addresses array<long>", "append", GroupStateTimeout.EventTimeTimeout
+        judge, f"user_id {kind}, event_id long, addresses long", "addresses array<string>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -98,6 +100,20 @@ def on_flagged(events: DataFrame, threshold: int, handler: Callable[[DataFrame,
     return flagged.writeStream.outputMode("append").option("checkpointLocation", f"{scratch(events.sparkSession)}/{uuid.uuid4().hex}").foreachBatch(handler).start()
 
 
+def on_trending(plays: DataFrame, k: int, handler: Callable[[list[tuple], int], None]) -> StreamingQuery:
+    """Calls a handler with the k commonest items whenever a micro-batch has changed them."""
+    shown: list[list[tuple]] = [[]]
+
+    def compare(batch: DataFrame, number: int) -> None:
+        top = [(r["item"], r["cnt"]) for r in batch.orderBy(F.desc("cnt"), "item").limit(k).collect()]
+        if top != shown[0]:
+            shown[0] = top
+            handler(top, number)
+
+    at = f"{scratch(plays.sparkSession)}/{uuid.uuid4().hex}"
+    return item_counts(plays).writeStream.outputMode("complete").option("checkpointLocation", at).foreachBatch(compare).start()
+
+
 def metrics(query: StreamingQuery) -> dict:
     """What the engine says of a running query."""
     last = query.lastProgress or {}
