@@ -1,7 +1,8 @@
 """A training-corpus pipeline of five stages over the documents table.
 
 Every stage takes (spark, docs, sf_dir); ``run`` writes what it returns as Parquet to the shared
-folder and hands it, read again, to the next one. All stages but the last return the columns of
+folder and hands it, read again, to the next one. What a stage wrote on its way is deleted when the
+stage is done, and its input when the next one has read it. All stages but the last return the columns of
 ``documents``; the last returns what is trained on.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm import decontaminate, ngram_join, pieces, quality, suffix_dedup
-from rillmark.llm.common import reachable, row_key, table, written
+from rillmark.llm.common import cleared, forget, reachable, row_key, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,35 +27,57 @@ def only(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go.
+
+    A null or empty text is rejected. Repeated rows are judged alike, so all of them stay or all go;
+    if they name several languages, all go where one of them rejects the text. A null language is one
+    of its own. An empty table stays empty; other columns than those of documents go.
+    """
     reachable(spark)
-    judged = quality.judge(docs.withColumn("key", row_key("doc_id", "text")), keep=("key",))
+    judged = quality.judge(docs.withColumn("key", row_key("doc_id", "text")).select(*COLUMNS, "key"), keep=("key",))
     return only(docs, judged.where("not kept").select("doc_id", "key"), "left_anti").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the least id stays."""
+    """Of each group of linked documents the one of the least id stays, ids of null last; among rows
+    of one id, that of the least key.
+
+    Repeated rows are linked, so one of them stays. Null and wordless texts are linked with nothing
+    and stay, once for each id. An empty table stays empty; other columns go.
+    """
     reachable(spark)
     linked = ngram_join.link_documents(docs)
-    stays = linked.groupBy("group_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    stays = linked.groupBy("group_id").agg(first.alias("first")).select("first.doc_id", "first.key")
     return only(docs, stays).dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat go out of the texts; every document stays."""
+    """Passages that repeat go out of the texts; every row stays, with n_chars of what is left.
+
+    A null text stays null. Repeated rows are repeats of each other and lose all text of 200 bytes and
+    more. An empty table stays empty; other columns go.
+    """
     reachable(spark)
     done = suffix_dedup.deduplicate(docs, keep=("lang", "source"))
     return done.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go.
+
+    Null and empty texts stay. Repeated rows all stay or all go. Empty tables on either side reject
+    nothing; other columns go.
+    """
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return only(docs, found.where(decontaminate.is_contaminated()).select("doc_id", "key"), "left_anti").select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (with the end id), n_tokens, and whether the ids decode to the text."""
+    """doc_id, ids (with the end id), n_tokens, and whether the ids decode to the text, of every row.
+
+    A null or empty text has the end id only. An empty table stays empty.
+    """
     reachable(spark)
     coded = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=False)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
@@ -75,7 +98,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        with cleared() as keep:
+            before, docs = docs, keep(written(stage(spark, docs, sf_dir), f"stage-{k}"))
+        forget(before)
     return docs
 
 
