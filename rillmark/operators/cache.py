@@ -55,12 +55,13 @@ def held_before(rows: DataFrame, capacity: int) -> DataFrame:
 
 
 def play(accesses: DataFrame, capacity: int, span: int = 100_000) -> DataFrame:
-    """pos, key, hit, evicted (the key that a miss pushes out) of every access (pos, key: long).
+    """pos, key, hit, evicted (the key that a miss pushes out) of every access (pos: long, key).
 
     A miss puts the key in; a capacity under 1 is 1.
     """
     capacity = max(1, capacity)
     rows = in_blocks(accesses, span)
+    kind = rows.schema["key"].dataType.simpleString()
 
     def simulate(own: pd.DataFrame, held_rows: pd.DataFrame) -> pd.DataFrame:
         held = OrderedDict((k, True) for k in held_rows.sort_values("pos")["key"])
@@ -74,9 +75,9 @@ def play(accesses: DataFrame, capacity: int, span: int = 100_000) -> DataFrame:
             else:
                 held[key] = True
                 evicted.append(held.popitem(last=False)[0] if len(held) > capacity else None)
-        return pd.DataFrame({"pos": own["pos"], "key": own["key"], "hit": hits, "evicted": pd.array(evicted, "Int64")})
+        return pd.DataFrame({"pos": own["pos"], "key": own["key"], "hit": hits, "evicted": pd.Series(evicted, index=own.index, dtype=object)})
 
-    return rows.groupBy("block").cogroup(held_before(rows, capacity).groupBy("block")).applyInPandas(simulate, "pos long, key long, hit boolean, evicted long")
+    return rows.groupBy("block").cogroup(held_before(rows, capacity).groupBy("block")).applyInPandas(simulate, f"pos long, key {kind}, hit boolean, evicted {kind}")
 
 
 def operate(operations: DataFrame, capacity: int, by: str = "cache") -> DataFrame:
@@ -105,7 +106,7 @@ def operate(operations: DataFrame, capacity: int, by: str = "cache") -> DataFram
                     out = held.popitem(last=False)[0]
                 held[key] = True
             evicted.append(out)
-        return pd.DataFrame({by: own[by], "pos": own["pos"], "found": found, "evicted": pd.Series(evicted, dtype=object)})
+        return pd.DataFrame({by: own[by], "pos": own["pos"], "found": found, "evicted": pd.Series(evicted, index=own.index, dtype=object)})
 
     return operations.select(by, "pos", "key", "op").groupBy(by).applyInPandas(simulate, f"`{by}` {kind}, pos long, found boolean, evicted {key_kind}")
 
@@ -116,6 +117,7 @@ def reuse_distance(accesses: DataFrame, most: int, span: int = 100_000) -> DataF
     so one pass is right for all of them.
     """
     rows = in_blocks(accesses, span)
+    kind = rows.schema["key"].dataType.simpleString()
 
     def measure(own: pd.DataFrame, held_rows: pd.DataFrame) -> pd.DataFrame:
         own, before = own.sort_values("pos"), held_rows.sort_values("pos")["key"].tolist()
@@ -148,7 +150,7 @@ def reuse_distance(accesses: DataFrame, most: int, span: int = 100_000) -> DataF
             last[key] = at
         return pd.DataFrame({"pos": own["pos"], "key": own["key"], "distance": pd.array(out, "Int64")})
 
-    return rows.groupBy("block").cogroup(held_before(rows, max(1, most)).groupBy("block")).applyInPandas(measure, "pos long, key long, distance long")
+    return rows.groupBy("block").cogroup(held_before(rows, max(1, most)).groupBy("block")).applyInPandas(measure, f"pos long, key {kind}, distance long")
 
 
 def statistics(played: DataFrame) -> DataFrame:

@@ -25,9 +25,8 @@ BASE = {
 
 def priority(event_type: Column, premium: Column, base: dict[str, int] = BASE, default: int = STANDARD) -> Column:
     """The type's priority; premium users are lifted to PREMIUM and nobody is lowered."""
-    out = F.lit(default)
-    for name, level in base.items():
-        out = F.when(event_type == name, level).otherwise(out)
+    levels = F.create_map(*(F.lit(x) for pair in base.items() for x in pair))
+    out = F.coalesce(F.try_element_at(levels, event_type), F.lit(default))
     return F.when(F.coalesce(premium, F.lit(False)) & (out > PREMIUM), PREMIUM).otherwise(out).cast("int")
 
 

@@ -23,6 +23,7 @@ def local_session(app: str = "rillmark", cpus: int | None = None, **conf: str) -
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", os.environ.get("DRIVER_MEMORY", "12g"))
+        .config("spark.driver.extraJavaOptions", "-Xss8m")  # threads of streams generate code as deep as the main one
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )

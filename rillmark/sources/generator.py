@@ -97,11 +97,9 @@ def zipf(spark: SparkSession, n: int, size: int, alpha: float = 1.2, seed: int =
 
 
 def by_share(u: Column, shares: dict[str, float]) -> Column:
-    names = list(shares)
-    out = F.lit(names[-1])
-    for name, upto in reversed(list(zip(names, cumulative(list(shares.values())), strict=True))[:-1]):
-        out = F.when(u < upto, name).otherwise(out)
-    return out
+    edges = cumulative(list(shares.values()))[:-1]
+    at = F.aggregate(F.array(*map(F.lit, edges)), F.lit(1), lambda acc, e: acc + (u >= e).cast("int"))
+    return F.element_at(F.array(*map(F.lit, shares)), at)
 
 
 def address(number: Column) -> Column:
