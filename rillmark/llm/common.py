@@ -6,7 +6,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: For tables in a folder that is mounted on every machine: no checksum file beside each file, which
 #: would be one more file, and one more process that sets its permissions, for each task.
 MOUNTED = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: Rows of a file, and files for each core at least.
+FILE_ROWS, BUSY = 100_000, 4
 #: Bytes of texts that become Python objects at once.
 SLICE_BYTES = 4 << 20
 _scopes: list[list[DataFrame]] = []
@@ -39,9 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage ends there."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: lineage ends there.
+
+    Where it is known that there are no more than ``rows``, there are as many files as they need, or
+    as keep all cores busy, and not as many as there are shuffle partitions.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(BUSY * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**MOUNTED).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -61,14 +69,22 @@ def forget(df: DataFrame | None) -> None:
 
 
 @contextmanager
-def cleared() -> Iterator[None]:
-    """Tables written within are deleted at the end."""
+def cleared() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within are deleted at the end, but for those given to the function that this
+    hands over."""
     _scopes.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
     try:
-        yield
+        yield keep
     finally:
         for df in _scopes.pop():
-            forget(df)
+            if not any(df is k for k in kept):
+                forget(df)
 
 
 def reachable(spark: SparkSession) -> None:

@@ -8,26 +8,33 @@ words between ASCII white space). Documents of equal sets are one class, and onl
 * Tiles: of n shingles the first n - ceil(3n/4) + 1 in that order are a class's tokens, the first
   n - ceil(6n/7) + 1 of these its leading ones. Two classes with a similarity of 3/4 share a token
   that leads in the smaller one. A tile is the classes of a token, in the order of their sizes;
-  a class without another one in the band of sizes that can reach 3/4 leaves the tile. Tokens
-  that the sketch counts often are dealt over several parts, so that no task gets a tile of
-  any size.
+  a class without another one in the band of sizes that can reach 3/4 leaves the tile. Tokens with
+  the same classes are one tile, so that long texts meet once and not once for each passage.
+* Parts: tokens in more than ``MANY`` classes are counted exactly (only where the sketch allows for
+  so many) and dealt over parts before they are sorted; tiles whose bitmaps need more than
+  ``PART_BYTES`` are dealt over parts before they are compared. Both bounds are absolute.
 * Forest: tiles are compared within the band by coarse parity bitmaps (about a bit a shingle; of
   two widths the wider one is folded). The bits in which two bitmaps differ bound the difference
   of the sets from below, so the overlap from above. A tile hands over the pairs that connect its
   classes, fewer than it has classes, and the classes between which it held others back, by the
   group that they were connected to. The pairs are verified.
 * The rest: such groups, and tiles that came in parts, whose classes are of several components
-  still, are compared once more, by fine bitmaps (eight bits a shingle and more), block by block
-  if they are large, and hand over all pairs of different components.
+  still, are compared once more, by fine bitmaps (eight bits a shingle and more), and hand over all
+  pairs of different components. Of a group the classes of its largest component stand in one block
+  each; only the others visit every block.
 * Verification: what the bitmaps leave is intersected exactly as sorted arrays.
 
-Nothing is dropped for its frequency: the components equal those of all links. Two different
-sets or shingles would have to share a 64-bit hash to be taken for one.
+Nothing is dropped for its frequency: the components equal those of all links. A link needs equal
+64-bit hashes of shingles; sets are taken for equal by 128 bits of hash.
+
+A group in which most classes are of different components is compared all with all by its bitmaps,
+n**2 / ``BLOCK`` rows: the method has no bound for classes that share a rare token, have the same
+size and are not linked.
 
 Defined results: a null text, or one without words, has an empty set and is a component of its
 own; fewer words than ``SHINGLE`` are one shingle; repeated rows are documents of equal sets; the
-component is the least id reachable, ids of null aside; an empty table gives no rows. Columns
-other than those named are not read.
+component is the least id reachable, ids of null aside; very long texts are taken whole; an empty
+table gives no rows. Columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import fresh, row_key, slices, table, texts_of, written
 from .components import components
 
 SHINGLE = 5
@@ -49,9 +56,10 @@ BUCKETS, CHUNK = 1 << 20, 1 << 14
 NARROWEST, WIDEST = 256, 1 << 20
 #: Eighths of a bit for a shingle, at least, in coarse and in fine bitmaps.
 COARSE, FINE = 6, 64
-MEMO = 300_000
-#: Classes that a part of a tile, or a block of a tile, is meant to hold at most.
-PART, BLOCK = 20_000, 1000
+MEMO = 200_000
+#: Rows of a token that one task is meant to sort, bytes of a tile that are compared at once, and
+#: classes of a block.
+MANY, PART_BYTES, BLOCK = 1 << 20, 1 << 22, 1000
 FILTER_BITS = 1 << 24
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _weights = np.random.default_rng(5).integers(1, 1 << 63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
@@ -93,10 +101,11 @@ def sketch(docs: DataFrame, text_col: str) -> np.ndarray:
     """How many documents have a shingle of each bucket: BUCKETS numbers, summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         memo, total = WordHashes(), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             held, size = [], 0
-            for text in batch.column(0).to_pylist():
+            for text in texts_of(batch.column(0)):
                 held.append(bucket(shingles(text, memo)))
                 size += len(held[-1])
                 if size > 500_000:
@@ -121,17 +130,10 @@ def sketch(docs: DataFrame, text_col: str) -> np.ndarray:
     return out
 
 
-def levels(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of every bucket (0: up to eight times the usual load, then one more for each
-    doubling), and over how many parts its tokens are dealt."""
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Rank of every bucket: 0 up to eight times the usual load, then one more for each doubling."""
     usual = max(1.0, float(np.median(counts)))
-    rank = np.clip(np.ceil(np.log2(np.maximum(counts, 1) / (8 * usual))), 0, 15).astype(np.uint8)
-    parts = np.where(rank > 0, -(-counts // PART), 1)
-    return rank, parts.astype(np.int32)
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    return np.clip(np.ceil(np.log2(np.maximum(counts, 1) / (8 * usual))), 0, 15).astype(np.uint8)
 
 
 def prefix(n: int, top: int, of: int) -> int:
@@ -140,42 +142,34 @@ def prefix(n: int, top: int, of: int) -> int:
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray) -> DataFrame:
-    """id, key, n, d (64-bit hash of the set), coarse bitmap, and tokens, the parts they are dealt
-    to (-1: one part) and how many of them lead, of every row."""
-    rank, parts = levels(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(np.unpackbits(rank[:, None], axis=1)[:, 4:], axis=None), np.flatnonzero(parts > 1), parts[parts > 1]))
+    """id, key, n, d (128-bit hash of the set), coarse bitmap, tokens and how many of them lead, of
+    every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(levels(counts)[:, None], axis=1)[:, 4:], axis=None))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, hot, hot_parts = shared.value
-        four = np.unpackbits(packed).reshape(-1, 4)
+        fresh()
+        four = np.unpackbits(shared.value).reshape(-1, 4)
         rank = (four @ np.array([8, 4, 2, 1], np.uint8)).astype(np.uint64)
-        parts = np.ones(BUCKETS, np.int64)
-        parts[hot] = hot_parts
         memo = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                n, d, maps, lead, tokens, deals = [], [], [], [], [], []
+            for part in slices(batch, 2):
+                n, d, maps, lead, tokens = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingles(text, memo)
                     n.append(len(s))
-                    name = xxhash.xxh3_64_intdigest(s.tobytes())
-                    d.append(signed(name))
+                    d.append(xxhash.xxh3_128_digest(s.tobytes()))
                     maps.append(bitmap(s, COARSE))
                     lead.append(prefix(len(s), 6, 7))
-                    b = bucket(s)
-                    order = np.argsort((rank[b] << np.uint64(60)) | (s >> np.uint64(4)), kind="stable")[: prefix(len(s), 3, 4)]
+                    order = np.argsort((rank[bucket(s)] << np.uint64(60)) | (s >> np.uint64(4)), kind="stable")[: prefix(len(s), 3, 4)]
                     tokens.append(s[order].view(np.int64))
-                    k = parts[b[order]]
-                    deals.append(np.where(k > 1, (name >> 1) % k, -1).astype(np.int32))
                 ends = pa.array(np.append(0, np.cumsum([len(x) for x in tokens])), pa.int32())
-                cols = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(maps, pa.binary()), pa.array(lead, pa.int32())]
-                cols += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (tokens, deals)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n", "d", "bitmap", "lead", "tokens", "parts"])
+                cols = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(maps, pa.binary()), pa.array(lead, pa.int32())]
+                cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens))))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n", "d", "bitmap", "lead", "tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, key long, n long, d long, bitmap binary, lead int, tokens array<long>, parts array<int>")
+    return rows.mapInArrow(run, f"id {kind}, key long, n long, d binary, bitmap binary, lead int, tokens array<long>")
 
 
 def bitmap(s: np.ndarray, eighths: int) -> bytes:
@@ -250,15 +244,15 @@ def class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
         for batch in batches:
             bit = batch.column(0).to_numpy() % FILTER_BITS
             texts = batch.column(1).take(pa.array(np.flatnonzero((wanted[bit >> 6] >> (bit & 63)) & 1)))
-            for at in range(0, len(texts), 500):
-                found = [shingles(t, memo).tobytes() for t in texts.slice(at, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([signed(xxhash.xxh3_64_intdigest(s)) for s in found], pa.int64()), pa.array(found, pa.binary())], names=["d", "s"])
+            for part in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), 0):
+                found = [shingles(t, memo).tobytes() for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["d", "s"])
 
     texts = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
-    return written(texts.mapInArrow(sets, "d long, s binary"), "sets")
+    return written(texts.mapInArrow(sets, "d binary, s binary"), "sets")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 3/4 or more."""
     named = pairs.join(classes.select(F.col("c").alias("a"), F.col("d").alias("d_a")), "a").join(classes.select(F.col("c").alias("b"), F.col("d").alias("d_b")), "b")
     both = named.join(sets.toDF("d_b", "s_b"), "d_b").join(sets.toDF("d_a", "s_a"), "d_a")
@@ -274,24 +268,24 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
                 fits.append(7 * int((y[at] == x).sum()) >= 3 * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(fits, pa.bool_())) for x in ("a", "b")], names=["a", "b"])
 
-    return written(both.select("a", "b", "s_a", "s_b").mapInArrow(intersect, "a long, b long"), "links")
+    return written(both.select("a", "b", "s_a", "s_b").mapInArrow(intersect, "a long, b long"), "links", rows)
 
 
-TILE = ("t", "x", "y")
+TILE = ("t", "x")
 
 
 def tile_pairs(rows: DataFrame, everything: bool) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a tile and may link.
 
-    ``rows`` have t, x, y (the tile), c, root, n, lead (the token leads) and bitmap, sorted by
-    tile and size. Unless ``everything`` is asked for, a tile hands over a forest, and rows without
+    ``rows`` have t, x (the tile), c, root, n, lead (a token leads), home (of two that are not, no
+    pair is asked for) and bitmap, sorted by tile and size. Unless ``everything`` is asked for, a tile hands over a forest, and rows without
     b: classes a (with t, n, lead) of a group g of the tile in which pairs were held back.
     """
 
     def out(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = np.stack([batch.column(x).to_numpy() for x in TILE], axis=1)
         c, root, n = (batch.column(x).to_numpy() for x in ("c", "root", "n"))
-        lead = batch.column("lead").to_numpy(zero_copy_only=False)
+        lead, home = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("lead", "home"))
         maps = Bitmaps(batch.column("bitmap"))
         cut = np.flatnonzero(np.append(True, (t[1:] != t[:-1]).any(axis=1)))
         size = np.diff(np.append(cut, len(t)))
@@ -325,7 +319,7 @@ def tile_pairs(rows: DataFrame, everything: bool) -> DataFrame:
             a = np.repeat(np.arange(step, step + len(k)), k)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
             step += len(k)
-            some = (root[a] != root[b]) & (lead[a] | (lead[b] & (n[a] == n[b])))
+            some = (root[a] != root[b]) & (lead[a] | (lead[b] & (n[a] == n[b]))) & (home[a] | home[b])
             a, b = a[some], b[some]
             some = could_link(n[a], n[b], maps, a, b)
             a, b = a[some], b[some]
@@ -382,8 +376,7 @@ def tile_pairs(rows: DataFrame, everything: bool) -> DataFrame:
 
 
 def in_tiles(rows: DataFrame) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(*TILE, "c", "root", "n", "lead", "bitmap").repartition(parts, *TILE).sortWithinPartitions(*TILE, "n")
+    return rows.select(*TILE, "c", "root", "n", "lead", "home", "bitmap").repartition(*TILE).sortWithinPartitions(*TILE, "n")
 
 
 def rooted(df: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -397,41 +390,75 @@ def classes_of(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct().join(classes, "c")
 
 
+def dealt(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Adds o, the token, and salt to rows of tokens with more than ``MANY`` classes; null and 0 for
+    others. Buckets of the sketch with so many shingles tell which tokens are counted."""
+    full = np.flatnonzero(counts > MANY).tolist()
+    if not full:
+        return rows.withColumn("o", F.lit(None).cast("long")).withColumn("salt", F.lit(0).cast("long"))
+    buckets = rows.sparkSession.createDataFrame([(x,) for x in full], "bucket long")  # BUCKETS at most
+    asked = rows.select("t", F.shiftrightunsigned("t", 44).alias("bucket")).join(F.broadcast(buckets), "bucket")
+    often = written(asked.groupBy("t").agg(F.count("*").alias("often")).where(F.col("often") > MANY), "often")
+    parts = F.ceil(F.col("often") / MANY).cast("long")
+    both = rows.join(often.withColumn("o", F.col("t")), "t", "left")
+    return both.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("c"), parts), F.lit(0).cast("long"))).drop("often")
+
+
+def tiles_of(classes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """t (tile), x (part), c, n, lead, and o (what the parts of a tile have in common, if there are
+    several), of classes given with n, lead and tokens, that have company of their size."""
+    rows = classes.select("c", "n", F.col("lead").alias("l"), F.posexplode("tokens").alias("i", "t"))
+    rows = dealt(rows.select("t", "c", (F.col("n") * 2 + (F.col("i") < F.col("l")).cast("long")).alias("m")), counts)
+    part = Window.partitionBy("t", "salt")
+    near = rows.withColumn("_b", F.shiftright(F.lag("m").over(part.orderBy("m")), 1)).withColumn("_a", F.shiftright(F.lead("m").over(part.orderBy("m")), 1))
+    size = F.shiftright("m", 1)
+    near = near.where((4 * F.col("_b") >= 3 * size) | (3 * F.col("_a") <= 4 * size) | F.col("o").isNotNull())
+    # tokens with the same classes are one tile
+    own = F.when(F.col("o").isNull(), F.bit_xor(F.xxhash64("c")).over(part)).otherwise(F.xxhash64("t", "salt"))
+    weight = F.sum(F.lit(200) + F.shiftright("m", 4)).over(part)
+    same = near.select("c", "m", "o", own.alias("t"), weight.alias("weight")).repartition("c")
+    tiles = same.groupBy("c", "t").agg(F.max("m").alias("m"), F.max("weight").alias("weight"), F.first("o").alias("o"))
+    parts = F.ceil(F.col("weight") / PART_BYTES).cast("long")
+    x = F.pmod(F.xxhash64("c", F.lit(1)), parts)
+    return tiles.select("t", x.alias("x"), "c", F.shiftright("m", 1).alias("n"), (F.col("m") % 2 == 1).alias("lead"), F.coalesce("o", F.when(parts > 1, F.col("t"))).alias("o"))
+
+
+def visited(left: DataFrame) -> DataFrame:
+    """The rows of groups (t) with classes of several components, in blocks (x): classes of a group's
+    largest component are in one block each, at home; the others visit all its blocks."""
+    by_root = left.groupBy("t", "root").agg(F.count("*").alias("n"))
+    groups = by_root.groupBy("t").agg(F.max(F.struct("n", "root"))["root"].alias("largest"), F.sum("n").alias("rows"), F.count("*").alias("roots")).where("roots > 1")
+    mine = left.join(groups.drop("roots"), "t").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("c"), "blocks"))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    mine = mine.withColumn("x", F.explode(F.when(F.col("root") == F.col("largest"), F.array("own")).otherwise(everywhere)))
+    return mine.select("t", "x", "c", "n", "lead", "root", (F.col("x") == F.col("own")).alias("home"))
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, key, n_shingles, class_id (equal for equal sets), group_id (equal within
+    """id_col, key, n_shingles, class_id (the least id of an equal set), group_id (equal within
     a component) and component_id of every row."""
-    sets = set_rows(docs, id_col, text_col, sketch(docs, text_col)).withColumn("r", F.monotonically_increasing_id())
+    counts = sketch(docs, text_col)
+    sets = set_rows(docs, id_col, text_col, counts).withColumn("r", F.monotonically_increasing_id())
     sets = written(sets, "shingle-sets")
+    size = sets.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).collect()[0]
+    docs_n, tokens_n = size.docs, size.shingles // 4 + size.docs
     filled = sets.where("n > 0")
     # a class is named by its least row number, which takes less room in a shuffle than a hash
     classes = filled.groupBy("d").agg(F.min("r").alias("c"), *(F.first(x).alias(x) for x in ("n", "bitmap")), *(F.min(x).alias(x) for x in ("id", "key")))
-    classes = written(classes, "classes")
-
-    # tiles: the classes of a token that have company of their size; ``o`` is the token, for parts
-    tokens = filled.groupBy("d").agg(F.min("r").alias("c"), *(F.first(x).alias(x) for x in ("n", "lead", "tokens", "parts")))
-    rows = tokens.select("c", "n", F.col("lead").alias("l"), F.posexplode(F.arrays_zip("tokens", "parts")).alias("i", "x"))
-    parted = F.col("x.parts") >= 0
-    rows = rows.select(
-        F.when(parted, F.xxhash64("x.tokens", "x.parts")).otherwise(F.col("x.tokens")).alias("t"), "c",
-        (F.col("n") * 2 + (F.col("i") < F.col("l")).cast("long")).alias("m"), F.when(parted, F.col("x.tokens")).alias("o"),
-    )
-    part = Window.partitionBy("t").orderBy("m")
-    near = rows.withColumn("_b", F.shiftright(F.lag("m").over(part), 1)).withColumn("_a", F.shiftright(F.lead("m").over(part), 1))
-    near = near.withColumn("n", F.shiftright("m", 1)).withColumn("lead", F.col("m") % 2 == 1)
-    tiles = written(near.where("4 * _b >= 3 * n or 3 * _a <= 4 * n or o is not null").select("t", "c", "n", "lead", "o"), "tiles")
+    classes = written(classes, "classes", docs_n)
+    tokens = filled.groupBy("d").agg(F.min("r").alias("c"), *(F.first(x).alias(x) for x in ("n", "lead", "tokens")))
+    tiles = written(tiles_of(tokens, counts), "tiles", tokens_n)
 
-    first = tiles.join(classes.select("c", "bitmap"), "c").withColumn("x", F.lit(0).cast("long")).withColumn("y", F.col("x"))
-    handed = written(tile_pairs(in_tiles(first.withColumn("root", F.col("c"))), False), "handed")
-    pairs = written(handed.where("b is not null").select("a", "b").distinct(), "pairs")
-    links = verified(pairs, classes, class_sets(docs, classes_of(pairs, classes), id_col, text_col))
-    found = written(components(links), "components") if links.take(1) else None
+    first = tiles.join(classes.select("c", "bitmap"), "c").withColumn("root", F.col("c")).withColumn("home", F.lit(True))
+    handed = written(tile_pairs(in_tiles(first), False), "handed", tiles.count())
+    pairs = written(handed.where("b is not null").select("a", "b").distinct(), "pairs", docs_n)
+    links = verified(pairs, classes, class_sets(docs, classes_of(pairs, classes), id_col, text_col), docs_n)
+    found = components(links, docs_n) if links.take(1) else None
 
     # what is left: groups between which pairs were held back, and tiles in parts, of several components
     parted = tiles.where("o is not null").select(F.col("o").alias("t"), F.lit(0).cast("long").alias("g"), "c", "n", "lead")
     held = handed.where("b is null").select("t", "g", F.col("a").alias("c"), "n", "lead").unionByName(parted)
-    left = written(rooted(held.select(F.xxhash64("t", "g").alias("t"), "c", "n", "lead"), found), "left")
-    mixed = left.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("t", "rows")
-    mine = written(left.join(mixed, "t"), "mixed")
+    mine = written(visited(written(rooted(held.select(F.xxhash64("t", "g").alias("t"), "c", "n", "lead"), found), "left", tiles.count() + docs_n)), "mixed", tiles.count() + docs_n)
     if mine.take(1):
         own = mine.select("c").distinct().join(classes, "c")
         own_sets = class_sets(docs, own, id_col, text_col)
@@ -441,23 +468,25 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 maps = [bitmap(np.frombuffer(s.as_buffer(), np.uint64), FINE) for s in batch.column("s")]
                 yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(maps, pa.binary())], names=["d", "bitmap"])
 
-        blocks = F.ceil(F.col("rows") / BLOCK).cast("long")
-        maps = own_sets.mapInArrow(fine, "d long, bitmap binary").join(own.select("d", "c"), "d").groupBy("c").agg(F.first("bitmap").alias("bitmap"))
-        mine = mine.join(maps, "c").withColumn("blocks", blocks).withColumn("own", F.pmod("c", "blocks"))
-        mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        mine = mine.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-        rest = tile_pairs(in_tiles(mine), True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(verified(written(rest, "rest"), classes, own_sets))
-        found = written(components(links), "components") if links.take(1) else None
-
-    least = rooted(classes.select("c", "d", "id"), found)
-    label = least.groupBy("root").agg(F.min("id").alias("label"))
-    of_class = least.join(label, "root").select("d", "root", "label")
+        maps = own_sets.mapInArrow(fine, "d binary, bitmap binary").join(own.select("d", "c"), "d").groupBy("c").agg(F.first("bitmap").alias("bitmap"))
+        rest = tile_pairs(in_tiles(mine.join(maps, "c")), True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        rest = written(rest, "rest", docs_n)
+        more = verified(rest, classes, own_sets, docs_n)
+        if more.take(1):
+            # components of components: links between the roots found so far
+            root = rooted(classes.select("c"), found)
+            ends = more.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            above = components(ends, docs_n)
+            found = root.join(above.toDF("root", "top"), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
+
+    least = written(rooted(classes.select("c", "d", F.col("id").alias("least")), found), "roots", docs_n)
+    label = least.groupBy("root").agg(F.min("least").alias("label"))
+    of_class = least.join(label, "root").select("d", "root", "label", "least")
     out = sets.select("id", "key", "n", "d", "r").join(of_class, "d", "left")
-    component = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
+    filled = F.col("n") > 0
     return out.select(
-        F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.col("d").alias("class_id"),
-        F.coalesce("root", "r").alias("group_id"), component.alias("component_id"),
+        F.col("id").alias(id_col), "key", F.col("n").alias("n_shingles"), F.when(filled, F.col("least")).otherwise(F.col("id")).alias("class_id"),
+        F.coalesce("root", "r").alias("group_id"), F.when(filled, F.col("label")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
