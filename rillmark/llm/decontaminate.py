@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import fresh, row_key, table, written
 
 WINDOW, GRAM = 13, 5
 FILTER_BITS = 1 << 22
-MEMO = 1_000_000
+MEMO = 200_000
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
 TO_WORDS = bytes(
     b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -163,6 +163,7 @@ def document_fingerprints(docs: DataFrame, id_col: str, text_col: str, bit_filte
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         memo, passes = WordHashes(), np.unpackbits(shared.value).astype(bool)
         one = pa.struct([("fp", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("lead", pa.int32()), ("words", pa.binary())])
         for batch in batches:

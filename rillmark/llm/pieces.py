@@ -26,10 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import memo, table
 from .ragged import PairTable, merge_all, merge_one
 
 SPACE = "▁"
-MEMO = 400_000
+MEMO = 250_000
 CHUNKS = 20_000
 #: Kinds of piece in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -292,13 +293,8 @@ class Encoder(dict):
         return "".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return memo(f"pieces of {path}", lambda: Encoder(path))
 
 
 def _some(texts: list, most: int = 1 << 20) -> Iterator[list]:
@@ -378,6 +374,4 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

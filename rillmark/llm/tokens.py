@@ -20,9 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import memo, table
 from .ragged import PairTable, merge_all, merge_one
 
-MEMO = 1_000_000
+MEMO = 500_000
 #: Texts of more code points are cut lazily, so that their pre-tokens are never all held.
 LONG = 1 << 20
 CHUNK_BYTES = 1 << 18
@@ -126,13 +127,8 @@ class Counter(dict):
         return counts
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
-    if path not in _counters:
-        _counters[path] = Counter(path)
-    return _counters[path]
+    return memo(f"tokens of {path}", lambda: Counter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +149,5 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
