@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_extract, ngram_join, pieces, quality, sharding, suffix_dedup, tokens, urls
+from . import chat, decontaminate, html_extract, ngram_join, pieces, quality, sharding, sql, suffix_dedup, tokens, urls
 
 
 def queries() -> dict:
@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": chat.OP10_SQL}
+    return {
+        "op1_ngram_jaccard": sql.OP1_SQL,
+        "op2_suffix_dedup": sql.OP2_SQL,
+        "op3_decontamination": sql.OP3_SQL,
+        "op10_chat_formatting": chat.OP10_SQL,
+    }
