@@ -132,14 +132,15 @@ def propagate(links: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Data
     """node, shard of every node in ``links`` (node: long, hub: long). ``quota``: nodes that each
     shard may hold, together as many as there are nodes or more."""
     shards = len(quota)
-    nodes = ranked(links.select("node").distinct().withColumn("h", F.xxhash64("node")), "h", "node")
-    state = written(nodes.select("node", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "shards")
+    total = links.count()
+    nodes = ranked(links.select("node").distinct().withColumn("h", F.xxhash64("node")), total, "h", "node")
+    state = written(nodes.select("node", F.pmod("rank", F.lit(shards)).cast("int").alias("shard")), "shards", total)
     for turn in range(rounds):
         rows = np.zeros(shards, np.int64)
         for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect():
             rows[r.shard] = r.n
         room = np.maximum(quota - rows, -(-quota // SWAPS))
-        asks = written(wishes(links.join(state, "node"), room, quota, turn).where("shard <> to"), "asks")
+        asks = written(wishes(links.join(state, "node"), room, quota, turn).where("shard <> to"), "asks", total)
         asked = np.zeros((shards, shards), np.int64)
         for r in asks.groupBy("shard", "to").agg(F.count("*").alias("n")).collect():
             asked[r.shard, r.to] = r.n
@@ -148,7 +149,7 @@ def propagate(links: DataFrame, quota: np.ndarray, rounds: int = ROUNDS) -> Data
             break
         last = state
         state = state.join(moved(asks, moves, turn), "node", "left")
-        state = written(state.select("node", F.coalesce("to", "shard").alias("shard")), "shards")
+        state = written(state.select("node", F.coalesce("to", "shard").alias("shard")), "shards", total)
         forget(last)
         forget(asks)
     return state
@@ -161,11 +162,11 @@ def strays(links: DataFrame, state: DataFrame) -> int:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
 
 
-def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """Adds rank (from 0) in the given order, which must tell all rows apart."""
+def ranked(df: DataFrame, rows: int, *order: str) -> DataFrame:
+    """Adds rank (from 0) in the given order, which must tell all of no more than ``rows`` rows apart."""
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = laid.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    numbered = written(numbered, "ranked")
+    numbered = written(numbered, "ranked", rows)
     offset, rows = 0, []
     for r in sorted(numbered.groupBy("_p").agg(F.count("*").alias("n")).collect()):
         rows.append((r["_p"], offset))
@@ -174,11 +175,11 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return numbered.join(F.broadcast(offsets), "_p").withColumn("rank", F.col("_o") + F.col("_i")).drop("_p", "_o", "_i")
 
 
-def text_links(base: DataFrame) -> DataFrame:
+def text_links(base: DataFrame, rows: int) -> DataFrame:
     """node, hub of the rows whose text (by its hash ``hub``) stands in several rows."""
     links = base.where("hub is not null").select("node", "hub")
     shared = links.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
-    return written(links.join(shared, "hub"), "links")
+    return written(links.join(shared, "hub"), "links", rows)
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -190,9 +191,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hub = F.when(text.isNotNull(), F.xxhash64(data))
     base = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(data).alias("crc"), hub.alias("hub"), F.monotonically_increasing_id().alias("node"))
     base = written(base, "sizes")
-    quota = quotas(base.count(), shards)
-    placed = propagate(text_links(base), quota, rounds).withColumnRenamed("shard", "wish")
-    ordered = ranked(base.join(placed, "node", "left").withColumn("place", F.coalesce("wish", F.lit(shards))), "place", "hub", "node")
+    total = base.count()
+    quota = quotas(total, shards)
+    placed = propagate(text_links(base, total), quota, rounds).withColumnRenamed("shard", "wish")
+    ordered = ranked(base.join(placed, "node", "left").withColumn("place", F.coalesce("wish", F.lit(shards))), total, "place", "hub", "node")
     rows = np.zeros(shards, np.int64)
     for r in placed.groupBy("wish").agg(F.count("*").alias("n")).collect():
         rows[r.wish] = r.n
