@@ -432,11 +432,11 @@ def different_pages(parsed: DataFrame) -> DataFrame:
     return parsed.select("host", "page", F.struct("tree_id", said.alias("said")).alias("p")).groupBy("host", "page").agg(F.min("p").alias("p")).select("host", "p.*")
 
 
-def alignments(parsed: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def alignments(parsed: DataFrame, pages: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """(host, tree_id, tree, to), the slot of each node of every tree (-1 - the slot above, if it has
     none of its own); and (host, wrapper, pages), one row of each host."""
     known = parsed.groupBy("host", "tree_id").agg(F.first("tree").alias("tree"))
-    trees = written(known.join(pages.groupBy("host", "tree_id").agg(F.count("*").alias("n")), ["host", "tree_id"], "left"), "trees")
+    trees = written(known.join(pages.groupBy("host", "tree_id").agg(F.count("*").alias("n")), ["host", "tree_id"], "left"), "trees", rows)
     hosts = trees.groupBy("host").agg(F.max_by("tree", F.struct(F.coalesce("n", F.lit(0)), "tree_id")).alias("wrapper"), F.sum("n").alias("pages"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,14 +455,14 @@ def alignments(parsed: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "tree_id", "tree")), pa.array(out, pa.list_(pa.int32()))], names=["host", "tree_id", "tree", "to"])
 
     aligned = trees.drop("n").join(hosts.select("host", "wrapper"), "host").mapInArrow(align, "host string, tree_id long, tree string, to array<int>")
-    return written(aligned, "alignments"), written(hosts, "hosts")
+    return written(aligned, "alignments", rows), written(hosts, "hosts", rows)
 
 
-def wrappers(parsed: DataFrame) -> DataFrame:
+def wrappers(parsed: DataFrame, rows: int) -> DataFrame:
     """host, tree_id, slots (the slot of each node that is content, else -1; null where the wrapper
     doesn't say) and template (slot and hash of the texts to leave out) for every tree of a host."""
-    pages = written(different_pages(parsed), "different-pages")
-    aligned, hosts = alignments(parsed, pages)
+    pages = written(different_pages(parsed), "different-pages", rows)
+    aligned, hosts = alignments(parsed, pages, rows)
     slot = lambda to: F.when(to < 0, -1 - to).otherwise(to)
     in_slots = F.transform("said", lambda s: F.struct(slot(F.get("to", s["node"])).alias("slot"), s["said"].alias("said"), (s["size"] - s["linked"]).alias("free")))
     slotted = pages.join(aligned.select("host", "tree_id", "to"), ["host", "tree_id"]).select("host", in_slots.alias("said"))
@@ -470,7 +470,7 @@ def wrappers(parsed: DataFrame) -> DataFrame:
     by_text = written(by_text, "said")
     having = slotted.select("host", F.explode(F.array_distinct("said.slot")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("all"))
     common = by_text.where(F.col("n") >= SEVERAL).join(having, ["host", "slot"]).where("2 * n > all").select("host", "slot", "said", "free")
-    common = written(common, "template")
+    common = written(common, "template", by_text.count())
     total = by_text.groupBy("host", "slot").agg(F.sum("free").alias("free"))
     total = total.unionByName(common.groupBy("host", "slot").agg((-F.sum("free")).alias("free"))).groupBy("host", "slot").agg(F.sum("free").alias("varying"))
     weights = total.groupBy("host").agg(F.collect_list(F.struct("slot", "varying")).alias("weights"))
@@ -490,7 +490,7 @@ def wrappers(parsed: DataFrame) -> DataFrame:
 
     decided = hosts.join(weights, "host", "left").mapInArrow(decide, "host string, top int, content array<int>").where("top >= 0")
     template = common.groupBy("host").agg(F.collect_list(F.struct("slot", "said")).alias("template"))
-    decided = written(decided.join(template, "host", "left"), "decided")
+    decided = written(decided.join(template, "host", "left"), "decided", rows)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -510,7 +510,8 @@ def wrappers(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col, text and induced (whether a wrapper decided) of every page."""
     parsed = written(parsed_pages(pages, id_col, url_col, html_col), "parsed-pages")
-    joined = parsed.join(written(wrappers(parsed), "wrappers"), ["host", "tree_id"], "left")
+    rows = parsed.count()
+    joined = parsed.join(written(wrappers(parsed, rows), "wrappers", rows), ["host", "tree_id"], "left")
     slot = lambda b: F.get("slots", b["node"])
     left_out = lambda b: F.coalesce(F.exists("template", lambda t: (t["slot"] == slot(b)) & (t["said"] == F.xxhash64(b["text"]))), F.lit(False))
     by_wrapper = F.filter("blocks", lambda b: (slot(b) >= 0) & ~left_out(b))
