@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, texts_of, written
 
 ORDER = 5
 LANGS = 1 << 21
 #: Bytes of text that a task holds before it turns them into n-gram counts, and places looked at at once.
-HELD = 1_000_000
-STEP = 500_000
+#: Rows of a small table, one for each language and order.
+FEW = 1000
+HELD = 500_000
+STEP = 250_000
 
 
 def lang_name(column):
@@ -101,6 +103,7 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: dict[str,
     """key, n: occurrences of the longest n-gram at each place, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         held: dict[int, list[bytes]] = defaultdict(list)
         sums: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -122,7 +125,7 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: dict[str,
 
         size = 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for lang, text in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), strict=True):
                 words = (text or "").encode().split()
                 if words:
                     held[langs[lang]].append(b" ".join(words))
@@ -130,7 +133,7 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: dict[str,
                     if size > HELD:
                         turn()
                         size = 0
-            if sums and len(sums[0][0]) > 4_000_000:
+            if sums and len(sums[0][0]) > 1_000_000:
                 yield from out()
         turn()
         yield from out()
@@ -139,6 +142,16 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, langs: dict[str,
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def discounts(adjusted: DataFrame) -> DataFrame:
+    """lang, o, d1, d2, d3: what is taken from counts of 1, 2 and more, of each language and order."""
+    n = [F.col(f"n{c}") for c in range(1, 5)]
+    tally = adjusted.where("n <= 4").groupBy(F.shiftright("key", 43).cast("int").alias("lang"), "o").agg(*(F.count(F.when(F.col("n") == c, 1)).alias(f"n{c}") for c in range(1, 5)))
+    every = adjusted.select(F.shiftright("key", 43).cast("int").alias("lang"), "o").distinct().join(tally, ["lang", "o"], "left").fillna(0, [f"n{c}" for c in range(1, 5)])
+    y = F.when((n[0] > 0) & (n[1] > 0), n[0] / (n[0] + 2 * n[1])).otherwise(0.5)
+    cut = [F.when((n[c - 1] > 0) & (n[c] > 0), F.least(F.greatest(c - (c + 1) * y * n[c] / F.greatest(n[c - 1], F.lit(1)), F.lit(0.05)), F.lit(c - 0.05))).otherwise(0.5 * c) for c in (1, 2, 3)]
+    return written(every.select("lang", "o", *(d.alias(f"d{c}") for c, d in enumerate(cut, 1))), "kn-discounts", FEW)
+
+
 def model_rows(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, alpha) of n-grams and (key, gamma) of contexts, the keys distinct."""
     spaced = F.shiftright("key", 40).bitwiseAND(7)
@@ -156,17 +169,11 @@ def model_rows(ngrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     everything = by_order[0]
     for part in by_order[1:]:
         everything = everything.unionByName(part)
-    adjusted = written(everything, "kn-adjusted")
-    tally = {(r.o, r.c): r.n for r in adjusted.where("n <= 4").groupBy("o", F.col("n").alias("c")).agg(F.count("*").alias("n")).collect()}
+    adjusted = written(everything, "kn-adjusted", 3 * base.count())
     context = F.shiftleft(F.shiftright("key", 40), 40).bitwiseOR(F.shiftright(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)), 8))
-    discount = F.lit(0.0)
-    for o in range(1, ORDER + 1):
-        n = [tally.get((o, c), 0) for c in range(1, 5)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d = [min(max(c - (c + 1) * y * n[c] / n[c - 1], 0.05), c - 0.05) if n[c - 1] and n[c] else 0.5 * c for c in (1, 2, 3)]
-        which = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        discount = F.when(F.col("o") == o, which).otherwise(discount)
-    cut = adjusted.select("key", "o", "n", context.alias("ctx"), discount.alias("d"))
+    own = adjusted.withColumn("lang", F.shiftright("key", 43).cast("int")).join(discounts(adjusted), ["lang", "o"])
+    discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    cut = own.select("key", "o", "n", context.alias("ctx"), discount.alias("d"))
     sums = cut.groupBy("ctx", "o").agg(F.sum("n").alias("a"), (F.sum("d") / F.sum("n")).alias("gamma"))
     alphas = cut.join(sums.select("ctx", "a"), "ctx").select("key", ((F.col("n") - F.col("d")) / F.col("a")).cast("float").alias("v"))
     return alphas, sums.select(F.col("ctx").alias("key"), F.col("gamma").cast("float").alias("v"))

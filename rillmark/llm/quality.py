@@ -4,7 +4,7 @@ A first pass counts the corpus (``kneser_ney``), a second one scores every whole
 its base counts. Perplexity is judged as its logarithm, the mean negative log-likelihood of a
 word. It scatters around its language's median the less the longer a text is, so a text's
 distance from the median is multiplied by the root of its number of words. Each language has
-a band of ``width`` times the spread of these distances to either side; the spread is twice the
+a band of ``below`` and ``above`` times the spread of these distances; the spread is twice the
 smaller distance of a quartile from the median, which a source of junk on one side can't
 stretch. The quantiles come from histograms of fixed bins over all documents.
 
@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import table, written
+from .common import fresh, slices, table, written
 
 SYMBOLS = b"#*$%&|<>"
 SPAN = 8
-MEMO = 500_000
+#: Words that a worker remembers, and words looked at together.
+MEMO, TOGETHER = 100_000, 150_000
 BIN, FAR_BIN = 0.02, 0.1
 
 
@@ -79,7 +80,7 @@ def base_counts(texts: list[str | None], langs: list[int], known: kn.Known, of:
     while at < n:
         words_in, doc_in, begun, size = [], [], at, 0
         by_lang: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        while at < n and size < 500_000:
+        while at < n and size < TOGETHER:
             text = texts[at] or ""
             data = text.encode()
             words = data.split()
@@ -118,16 +119,18 @@ def score_documents(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         of = Words()
-        for batch in batches:
-            langs = [numbers[x] for x in batch.column(1).to_pylist()]
-            got = base_counts(batch.column(2).to_pylist(), langs, known.value, of)
-            cols = [batch.column("id"), pa.array(langs, pa.int32()), *(batch.column(c) for c in keep), *(pa.array(got[c]) for c in (*COUNTS, "nll"))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "lang_id", *keep, *COUNTS, "nll"])
+        for whole in batches:
+            for batch in slices(whole, 2):
+                langs = [numbers[x] for x in batch.column(1).to_pylist()]
+                got = base_counts(batch.column(2).to_pylist(), langs, known.value, of)
+                cols = [batch.column("_id"), pa.array(langs, pa.int32()), *(batch.column(c) for c in keep), *(pa.array(got[c]) for c in (*COUNTS, "nll"))]
+                yield pa.RecordBatch.from_arrays(cols, names=["_id", "lang_id", *keep, *COUNTS, "nll"])
 
-    rows = docs.select(F.col(id_col).alias("id"), kn.lang_name(F.col(lang_col)).alias("lang"), F.col(text_col).alias("t"), *keep)
-    schema = f"id {kind}, lang_id int, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + ", ".join(f"{c} long" for c in COUNTS) + ", nll double"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("_id"), kn.lang_name(F.col(lang_col)).alias("_lang"), F.col(text_col).alias("_text"), *keep)
+    schema = f"_id {kind}, lang_id int, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + ", ".join(f"{c} long" for c in COUNTS) + ", nll double"
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def quantiles(rows: DataFrame, value, size: float, cuts: tuple[float, ...]) -> DataFrame:
@@ -138,27 +141,28 @@ def quantiles(rows: DataFrame, value, size: float, cuts: tuple[float, ...]) -> D
     return upto.groupBy("lang_id").agg(*[F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 0.5) * size)).alias(f"q{int(q * 100)}") for q in cuts])
 
 
-def bands(scored: DataFrame, width: float) -> DataFrame:
-    """lang_id, middle, room (divided by the root of the words): one row of each language."""
+def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
+    """lang_id, middle, and the room below and above it (times the root of the words): one row of each
+    language."""
     rate = F.col("nll") / F.col("n_words")
     some = scored.where("n_words > 0")
     middle = quantiles(some, rate, BIN, (0.5,)).withColumnRenamed("q50", "middle")
     far = (rate - F.col("middle")) * F.sqrt("n_words")
     cut = quantiles(some.join(F.broadcast(middle), "lang_id"), far, FAR_BIN, (0.25, 0.5, 0.75))
-    spread = F.greatest(2 * F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25")), F.lit(1.0)) * width
-    return middle.join(cut, "lang_id").select("lang_id", "middle", spread.alias("room"))
+    spread = F.greatest(2 * F.least(F.col("q75") - F.col("q50"), F.col("q50") - F.col("q25")), F.lit(1.0))
+    return middle.join(cut, "lang_id").select("lang_id", "middle", (spread * below).alias("room_below"), (spread * above).alias("room_above"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 2.25, keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 1.9, above: float = 2.8, keep: tuple[str, ...] = ()) -> DataFrame:
     """The base counts, log_perplexity (null without words), its band, base_failed and kept."""
     scored = written(score_documents(docs, id_col, text_col, lang_col, keep), "quality-scored")
-    with_bands = scored.join(F.broadcast(bands(scored, width)), "lang_id", "left")
+    with_bands = scored.join(F.broadcast(bands(scored, below, above)), "lang_id", "left")
     rate = F.when(F.col("n_words") > 0, F.col("nll") / F.col("n_words"))
-    room = F.col("room") / F.sqrt(F.greatest("n_words", F.lit(1)))
+    root = F.sqrt(F.greatest("n_words", F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    judged = with_bands.withColumn("log_perplexity", rate).withColumn("low", F.col("middle") - room).withColumn("high", F.col("middle") + room)
+    judged = with_bands.withColumn("log_perplexity", rate).withColumn("low", F.col("middle") - F.col("room_below") / root).withColumn("high", F.col("middle") + F.col("room_above") / root)
     fits = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits).drop("lang_id", "nll", "middle", "room")
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fits).drop("lang_id", "nll", "middle", "room_below", "room_above")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
