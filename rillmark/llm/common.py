@@ -49,7 +49,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(BUSY * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+        df = df.coalesce(spread(spark, rows))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.options(**MOUNTED).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -59,6 +59,11 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return out
 
 
+def spread(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: as many as they need, or as keep all cores busy."""
+    return max(BUSY * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
 def forget(df: DataFrame | None) -> None:
     """Deletes a table of ``written`` that nothing reads any more."""
     path = getattr(df, "_written_to", None)

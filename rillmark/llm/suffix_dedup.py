@@ -3,12 +3,14 @@
 A byte goes if a string of ``LENGTH`` bytes around it also starts anywhere else, in the same or
 in another document. Texts are dealt into shards so that equal strings meet: the start of every
 window of ``LENGTH`` bytes belongs to the least hash of a ``GRAM``-byte gram in the window, its
-anchor. Neighbouring starts of one anchor and the bytes that their windows cover are a region.
+anchor. Neighbouring starts of one anchor (``PIECE`` of them at most, so that a shard is of bounded
+size whatever a text repeats) and the bytes that their windows cover are a region.
 
 * Regions are counted by anchor and content, over all documents. A region whose content occurs
   twice is repeated as a whole; an anchor with one content that holds the anchor once has nothing
   repeated. Two contents can only share a window if they agree in the ``BESIDE`` bytes before or
-  behind the anchor. Two bit filters of fixed size tell the second pass which regions to hand over.
+  behind the anchor. Two bit filters, sized by their number up to ``FILTER_BITS``, tell the second pass
+  which regions to hand over.
 * Only contents that agree so with another one of their anchor, and all of an anchor that stands
   in a content twice, need their bytes compared: each of them goes once into a shard. Shards are sorted as suffix arrays
   (``induced``), and starts whose permuted common prefix, with the suffix before or the one
@@ -18,7 +20,8 @@ anchor. Neighbouring starts of one anchor and the bytes that their windows cover
 * Starts go back to their documents as spans; each document is cut once.
 
 Defined results: a null text is empty; matches never cross documents; repeated rows are matches
-of each other; texts under ``LENGTH`` bytes keep everything; an empty table gives no rows.
+of each other; texts under ``LENGTH`` bytes keep everything; very long texts are read in parts of ``BATCH``
+bytes that overlap by a window; an empty table gives no rows.
 Contents are taken for equal by 128 bits of hashes. Columns other than those named are not read.
 """
 
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import fresh, row_key, spread, table, texts_of, written
 from .induced import permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 48
@@ -42,8 +45,11 @@ BESIDE = (LENGTH - GRAM) // 2
 #: Tells the two bit filters' values apart.
 OTHER = 0x5851F42D4C957F2D
 SHARD = 1 << 20
+#: Starts of a region at most: longer regions (of periodic texts) are several.
+PIECE = 1024
 HOT = 2000
-FILTER_BITS = 1 << 26
+#: Bits of a filter for each value, and bits of all.
+SPARSE, FILTER_BITS = 32, 1 << 30
 BATCH = 1 << 20
 
 
@@ -91,6 +97,10 @@ def regions(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     edges = np.append(np.flatnonzero(change), len(least))
     last = edges[np.searchsorted(edges, first, side="right")] - 1
     last = np.minimum(last, (offsets + sizes)[doc[first]] - LENGTH)
+    cuts = (last - first) // PIECE + 1
+    nth = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    first = np.repeat(first, cuts) + nth * PIECE
+    last = np.minimum(first + PIECE - 1, np.repeat(last, cuts))
     anchor = least[first]
     # where the anchors are: grams that are the least of some window
     most = _slide(np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)]), width, np.maximum)
@@ -112,24 +122,34 @@ def regions(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[first], first - offsets[doc[first]], last - offsets[doc[first]], anchor, content, twice, *sides, data, offsets
 
 
-def _batches(column: list, most: int = BATCH) -> Iterator[tuple[int, list[bytes]]]:
-    part, size, at = [], 0, 0
-    for i, text in enumerate(column):
-        part.append(text.encode() if text else b"")
-        size += len(part[-1])
-        if size >= most:
-            yield at, part
-            part, size, at = [], 0, i + 1
+def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts of about ``BATCH`` bytes: the row of each, where in its text it begins, and its bytes.
+    Longer texts come in several parts, in one of which each start has its whole window."""
+    part, size = [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        rows, begins, data = zip(*part, strict=True)
+        return np.array(rows), np.array(begins), list(data)
+
+    for i, text in enumerate(texts_of(column)):
+        data = text.encode() if text else b""
+        for begin in range(0, max(1, len(data) - LENGTH + 1), BATCH):
+            part.append((i, begin, data[begin : begin + BATCH + LENGTH - 1]))
+            size += len(part[-1][2])
+            if size >= BATCH:
+                yield out()
+                part, size = [], 0
     if part:
-        yield at, part
+        yield out()
 
 
 def counted_regions(docs: DataFrame, text_col: str) -> DataFrame:
     """a (anchor), d (content), n (how often), twice, before and behind of every different region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
-            for _, texts in _batches(batch.column(0).to_pylist()):
+            for _, _, texts in _batches(batch.column(0)):
                 _, _, _, a, d, twice, before, behind, _, _ = regions(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), pa.array(twice), pa.array(before), pa.array(behind)], names=["a", "d", "twice", "before", "behind"])
 
@@ -137,32 +157,33 @@ def counted_regions(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy("a", "d").agg(F.count("*").alias("n"), *(F.max(x).alias(x) for x in ("twice", "before", "behind")))
 
 
-def to_compare(counted: DataFrame) -> DataFrame:
+def to_compare(counted: DataFrame, rows: int) -> DataFrame:
     """a, d of the contents that may share a window with another one, or within themselves.
 
     Contents that occur twice are repeated as they are: they are only there for one that doesn't.
     """
     by_anchor = counted.groupBy("a").agg(F.count("*").alias("contents"), F.max("twice").alias("any"), F.min("n").alias("least"))
     several = by_anchor.where("(contents > 1 or any) and least = 1").select("a", "any")
-    asked = written(counted.join(several, "a").select("a", "d", "n", "any", "before", "behind"), "several")
+    asked = written(counted.join(several, "a").select("a", "d", "n", "any", "before", "behind"), "several", rows)
     for side in ("before", "behind"):
         alike = asked.where(F.col(side) != 0).groupBy("a", side).agg(F.count("*").alias("m"), F.min("n").alias("least"))
         alike = alike.where("m > 1 and least = 1").select("a", side, F.lit(True).alias(f"by_{side}"))
         asked = asked.join(alike, ["a", side], "left")
-    return written(asked.where("any or by_before or by_behind").select("a", "d"), "compared")
+    return written(asked.where("any or by_before or by_behind").select("a", "d"), "compared", rows)
 
 
 def bit_filter(rows: DataFrame, column) -> np.ndarray:
-    """Bits of a column of longs: FILTER_BITS / 64 numbers at most leave Spark."""
-    at = F.pmod(column, F.lit(FILTER_BITS))
+    """Bits of a column of longs, ``SPARSE`` for each row: FILTER_BITS / 64 numbers at most leave Spark."""
+    size = min(FILTER_BITS, 1 << max(16, (SPARSE * rows.count()).bit_length()))
+    at = F.pmod(column, F.lit(size))
     bits = rows.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[bits.column("at").to_numpy()] = bits.column("w").to_numpy()
     return out
 
 
 def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values % FILTER_BITS
+    at = values % (64 * len(bits))
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
@@ -236,7 +257,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     counted = written(counted_regions(docs, text_col), "regions")
-    compared = to_compare(counted)
+    rows_n = counted.count()
+    compared = to_compare(counted, rows_n)
     full = counted.where("n > 1").select("a", "d")
     needs = spark.sparkContext.broadcast(bit_filter(compared, F.col("a").bitwiseXOR(F.col("d")).bitwiseXOR(F.lit(OTHER))).tobytes())
     whole = spark.sparkContext.broadcast(bit_filter(full, F.col("a").bitwiseXOR(F.col("d"))).tobytes())
@@ -245,7 +267,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         need_bits, whole_bits = np.frombuffer(needs.value, np.int64), np.frombuffer(whole.value, np.int64)
         sent: set[tuple[int, int]] = set()
         for batch in batches:
-            for at, texts in _batches(batch.column(2).to_pylist()):
+            for rows_of, begins, texts in _batches(batch.column(2)):
                 doc, first, last, a, d, _, _, _, data, offsets = regions(texts)
                 a, d = a.view(np.int64), d.view(np.int64)
                 need = passes(need_bits, a ^ d ^ np.int64(OTHER))
@@ -260,8 +282,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         parts.append(None)
                 if len(sent) > 500_000:
                     sent.clear()
-                own = pa.array(doc[hit] + at)
-                cols = [batch.column(0).take(own), batch.column(1).take(own), pa.array(first[hit].astype(np.int32)), pa.array(last[hit].astype(np.int32)), pa.array(a[hit]), pa.array(d[hit]), pa.array(parts, pa.binary())]
+                own, begin = pa.array(rows_of[doc[hit]]), begins[doc[hit]]
+                cols = [batch.column(0).take(own), batch.column(1).take(own), pa.array((first[hit] + begin).astype(np.int32)), pa.array((last[hit] + begin).astype(np.int32)), pa.array(a[hit]), pa.array(d[hit]), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "first", "last", "a", "d", "bytes"])
 
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("t"))
@@ -269,12 +291,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     counts = compared.groupBy("a").agg(F.count("*").alias("contents"))
     contents = found.where("bytes is not null").join(compared, ["a", "d"]).groupBy("a", "d").agg(F.first("bytes").alias("bytes")).join(counts, "a")
-    contents = written(contents, "contents")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cold = contents.where(F.col("contents") <= HOT).select("a", "d", "bytes").repartition(parts, "a").sortWithinPartitions("a")
+    contents = written(contents, "contents", rows_n)
+    cold = contents.where(F.col("contents") <= HOT).select("a", "d", "bytes").repartition(spread(spark, rows_n), "a").sortWithinPartitions("a")
     starts = shard_starts(cold).unionByName(hot_starts(contents.where(F.col("contents") > HOT).select("a", "d", "bytes"))).where(F.size("spans") > 0)
     # a content that occurs twice is repeated as a whole, whatever the shards say of it
-    some = written(starts, "starts").join(full.withColumn("full", F.lit(True)), ["a", "d"], "left_anti")
+    some = written(starts, "starts", rows_n).join(full.withColumn("full", F.lit(True)), ["a", "d"], "left_anti")
     marks = full.withColumn("spans", F.lit(None).cast("array<struct<first:int,last:int>>")).unionByName(some.select("a", "d", "spans"))
     hits = found.select("id", "key", "first", "last", "a", "d").join(marks, ["a", "d"])
     everything = F.array(F.struct(F.col("first"), F.col("last")))
