@@ -153,7 +153,7 @@ def bands(scored: DataFrame, below: float, above: float) -> DataFrame:
     return middle.join(cut, "lang_id").select("lang_id", "middle", (spread * below).alias("room_below"), (spread * above).alias("room_above"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 1.9, above: float = 2.8, keep: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 2.25, above: float = 2.8, keep: tuple[str, ...] = ()) -> DataFrame:
     """The base counts, log_perplexity (null without words), its band, base_failed and kept."""
     scored = written(score_documents(docs, id_col, text_col, lang_col, keep), "quality-scored")
     with_bands = scored.join(F.broadcast(bands(scored, below, above)), "lang_id", "left")
