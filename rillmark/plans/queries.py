@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.operators import bloom, bots, cache, frequency, prefix, priority, recommend, similarity, system, windows
+from rillmark.operators import bloom, bots, cache, frequency, neighbours, prefix, priority, recommend, similarity, system, windows
 from rillmark.sources import events as src
 from rillmark.sources import generator
 
@@ -421,8 +421,7 @@ def lsh_recall(spark, d):
 
 @query(f"with {WATCH_SQL}, {EXACT_SQL}, {TWO_SQL.format(e='x', n=TOP)}, {REC_SQL} select * from rec")
 def recommend_exact(spark, d):
-    w = history(spark, d)
-    return recommend.recommend(w, similarity.nearest(similarity.exact_pairs(w), TOP), 10)
+    return neighbours.recommend_exact(history(spark, d), TOP, 10)
 
 
 @query(f"with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, {TWO_SQL.format(e='e', n=TOP)}, {REC_SQL} select * from rec")
