@@ -14,6 +14,7 @@ but a neighbour's null item is recommended, after all others. A null user is nob
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -340,6 +341,7 @@ def nearest(blocks: Blocks, k: int):
         if block is None:
             return
         body = None  # else what was read stays in memory
+        pa.default_memory_pool().release_unused()
         ids.close()
         size = firsts(sizes)[1]  # in the order of ids
         counts, flat = np.concatenate(counts).astype(np.int64), held_ids.all()
@@ -463,6 +465,7 @@ def items_of_nearest(neighbours: int, k: int):
                 items.held = items.held.astype(np.int64)
             items.add(three)
         body = None  # else what was read stays in memory
+        pa.default_memory_pool().release_unused()
         u, v, bits = joined(pairs, np.int64, np.int64, np.int64)
         if not len(u):
             return
@@ -520,6 +523,12 @@ def numbered(watches: DataFrame, column: str) -> tuple[DataFrame, DataFrame | No
     return watches.join(known, column, "left").drop(column).withColumnRenamed("_n", column), known
 
 
+def collect_garbage(spark) -> None:
+    """Shuffles that nothing reads any more stay on disk until the driver happens to do this."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> DataFrame:
     """user_id, item, score, rank: what ``recommend`` gives with the nearest of ``exact_pairs``."""
     spark = watches.sparkSession
@@ -544,9 +553,10 @@ def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> Da
     for r in shared.select(F.posexplode("weights").alias("cell", "weight")).groupBy("cell").agg(F.sum("weight").alias("weight")).collect():
         weights[r.cell] = r.weight
     blocks = Blocks(weights, lo, hi, spark.sparkContext.defaultParallelism)
+    collect_garbage(spark)
     near = written(deal(shared, blocks.n, blocks.lists_for).mapInArrow(nearest(blocks, neighbours), DEALT), "nearest")
     forget(shared)
-    spark.sparkContext._jvm.System.gc()  # else what was dealt out stays on disk until the driver happens to collect its garbage
+    collect_garbage(spark)
     histories_ = own.mapInArrow(history_rows(n), DEALT).unionByName(near.mapInArrow(asked(blocks, n), DEALT))
     there = deal(histories_, n).mapInArrow(answered, DEALT).unionByName(near)
     out = deal(there, blocks.n).mapInArrow(items_of_nearest(neighbours, k), "user_id long, item long, score double, rank int")
