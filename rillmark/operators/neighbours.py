@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from rillmark.llm.common import forget, reachable, written
+from rillmark.sources.files import forget, reachable, stored
 
 #: Stands for a null item, after all others.
 NULL = np.iinfo(np.int64).max
@@ -519,7 +519,7 @@ def numbered(watches: DataFrame, column: str) -> tuple[DataFrame, DataFrame | No
     """Whole numbers in place of other ids, in the same order, and the table that leads back."""
     if isinstance(watches.schema[column].dataType, IntegralType):
         return watches, None
-    known = written(watches.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).select(column, F.monotonically_increasing_id().alias("_n")), "ids")
+    known = stored(watches.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).select(column, F.monotonically_increasing_id().alias("_n")), "ids")
     return watches.join(known, column, "left").drop(column).withColumnRenamed("_n", column), known
 
 
@@ -544,17 +544,17 @@ def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> Da
         for u, i in columns_of(batches, 1 << 20):
             yield from dealt(bucket(u, n), 0, u, i)
 
-    own = written(deal(seen, n, by_user).mapInArrow(histories, "body binary, entries long, lo long, hi long"), "histories")
+    own = stored(deal(seen, n, by_user).mapInArrow(histories, "body binary, entries long, lo long, hi long"), "histories")
     known = own.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()[0]
     lo, hi = known.lo or 0, known.hi or 0
     m = max(spark.sparkContext.defaultParallelism, -(-known.entries // ROWS))
-    shared = written(deal(own, m, by_item(m)).mapInArrow(lists(lo, hi), "body binary, weights array<double>"), "lists")
+    shared = stored(deal(own, m, by_item(m)).mapInArrow(lists(lo, hi), "body binary, weights array<double>"), "lists")
     weights = np.zeros(CELLS)
     for r in shared.select(F.posexplode("weights").alias("cell", "weight")).groupBy("cell").agg(F.sum("weight").alias("weight")).collect():
         weights[r.cell] = r.weight
     blocks = Blocks(weights, lo, hi, spark.sparkContext.defaultParallelism)
     collect_garbage(spark)
-    near = written(deal(shared, blocks.n, blocks.lists_for).mapInArrow(nearest(blocks, neighbours), DEALT), "nearest")
+    near = stored(deal(shared, blocks.n, blocks.lists_for).mapInArrow(nearest(blocks, neighbours), DEALT), "nearest")
     forget(shared)
     collect_garbage(spark)
     histories_ = own.mapInArrow(history_rows(n), DEALT).unionByName(near.mapInArrow(asked(blocks, n), DEALT))
