@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_extract, ngram_join, pieces, quality, sharding, sql, suffix_dedup, tokens, urls
+from . import chat, decontaminate, exact_search, html_extract, ngram_join, pieces, quality, sharding, sql, suffix_dedup, tokens, urls, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_sharding": sharding.op8_sharding,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_chat_formatting": chat.op10_chat_formatting,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op13_exact_search": exact_search.op13_exact_search,
     }
 
 
@@ -26,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_suffix_dedup": sql.OP2_SQL,
         "op3_decontamination": sql.OP3_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
+        "op13_exact_search": exact_search.OP13_SQL,
     }
