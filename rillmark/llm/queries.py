@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_search, html_extract, ngram_join, pieces, quality, sharding, sql, suffix_dedup, tokens, urls, vector_codes
+from . import chat, decontaminate, exact_search, html_extract, ngram_join, pieces, quality, runs, sharding, sql, suffix_dedup, tokens, urls, vector_codes
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_chat_formatting": chat.op10_chat_formatting,
         "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_periodic_runs": runs.op12_periodic_runs,
         "op13_exact_search": exact_search.op13_exact_search,
     }
 
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": sql.OP3_SQL,
         "op10_chat_formatting": chat.OP10_SQL,
         "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_periodic_runs": runs.OP12_SQL,
         "op13_exact_search": exact_search.OP13_SQL,
     }
