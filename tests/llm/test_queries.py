@@ -21,7 +21,7 @@ def test_chat_query_equals_sql(spark, sf_dir):
 
 def test_every_operator_has_one_query():
     names = [int(re.match(r"op(\d+)_", n)[1]) for n in q.queries()]
-    assert sorted(names) == list(range(1, 11))
+    assert sorted(names) == list(range(1, 14))
 
 
 def test_queries_against_brute_force(spark, sf_dir):
