@@ -129,7 +129,7 @@ def pairs_at_least(watches: DataFrame, threshold: float) -> DataFrame:
     meet = one.join(two, "item").where((F.col("id1") < F.col("id2")) & fits).select("id1", "id2").distinct()
     whole = lambda side: classes.select(*(F.col(c).alias(c + side) for c in ("id", "items", "users", "size")))
     both = meet.join(whole("1"), "id1").join(whole("2"), "id2")
-    common = F.size(F.array_intersect("items1", "items2"))
+    common = F.size(F.array_intersect("items1.item", "items2.item"))
     scored_ = both.withColumn("similarity", common.cast("double") / (F.col("size1") + F.col("size2") - common)).where(F.col("similarity") >= threshold)
     apart = scored_.select("similarity", F.explode("users1").alias("a"), "users2").select("similarity", "a", F.explode("users2").alias("b"))
     alike = classes.where(F.size("users") > 1).select("users", F.posexplode("users").alias("_i", "a"))

@@ -379,6 +379,24 @@ def jaccard_exact_pairs(spark, d):
     return similarity.exact_pairs(history(spark, d))
 
 
+FROM = 0.05
+
+
+@query(f"with {WATCH_SQL}, {EXACT_SQL} select * from x where similarity >= {FROM}")
+def jaccard_pairs_from(spark, d):
+    """Pairs from a similarity on, without meeting in every item."""
+    return similarity.pairs_at_least(history(spark, d), FROM)
+
+
+VIEWED_SQL = f"{EV}, s as (select distinct user_id, k as item from ev where event_type = 'view')"
+
+
+@query(f"with {VIEWED_SQL}, {EXACT_SQL} select * from x where similarity >= 0.2")
+def jaccard_pairs_viewers(spark, d):
+    """The same of users by what they have viewed."""
+    return similarity.pairs_at_least(src.plays(spark, d).select("user_id", "item"), 0.2)
+
+
 @query("select t as target, case when t < 0.002 then 0.002 else t end as similarity from (values (0.1::double), (0.5::double), (0.9::double)) v(t)")
 def jaccard_sets(spark, d):
     sets = similarity.sets_of_similarity(spark, [0.1, 0.5, 0.9])
@@ -413,7 +431,7 @@ def minhash_error(spark, d):
 @query(f"with {SIG_SQL}, {BAND_SQL}, {EXACT_SQL}, tr as (select u, v from x where similarity >= 0.05), f as (select c.u cu, tr.u tu from c full join tr on c.u = tr.u and c.v = tr.v) select count(tu) true_pairs, count(cu) found_pairs, count(*) filter (tu is not null and cu is not null) as shared, case when count(tu) = 0 then 0 else (count(*) filter (tu is not null and cu is not null))::double / count(tu) end as recall, case when count(cu) = 0 then 0 else (count(*) filter (tu is not null and cu is not null))::double / count(cu) end as precision from f")
 def lsh_recall(spark, d):
     keys = similarity.band_keys(similarity.signatures(history(spark, d), K), K, BANDS)
-    return similarity.recall(similarity.candidates(keys), similarity.exact_pairs(history(spark, d)), 0.05)
+    return similarity.recall(similarity.candidates(keys), similarity.pairs_at_least(history(spark, d), FROM), FROM)
 
 
 # ---- recommendations -------------------------------------------------------------------------

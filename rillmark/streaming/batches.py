@@ -70,6 +70,18 @@ class Batches:
     def write(self, batch: DataFrame, number: int) -> None:
         batch.write.options(**MOUNTED).mode("overwrite").parquet(f"{self.path}/out/batch={number}")
 
+    def forget_before(self, number: int) -> None:
+        """Deletes the tables of all batches before one that is written."""
+        fs, out = self._folder()
+        for status in fs.listStatus(out):
+            named = status.getPath().getName()
+            if named.startswith("batch=") and int(named[6:]) < number:
+                fs.delete(status.getPath(), True)
+
+    def _folder(self) -> tuple:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/out")
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def start(self, stream: DataFrame, mode: str = "append", take: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
         """Starts a query that hands every micro-batch to ``take`` (default: into the folder)."""
         writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{self.path}/checkpoint").foreachBatch(take or self.write)
@@ -84,17 +96,14 @@ class Batches:
     def rows(self, schema) -> DataFrame:
         """All rows so far, with the number of their batch."""
         none = self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/out")
-        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+        fs, out = self._folder()
+        if not fs.exists(out):
             return none
         return self.spark.read.schema(none.schema).parquet(f"{self.path}/out")
 
 
-def stop_drained(query: StreamingQuery, seconds: float = 600) -> None:
-    """Lets a query end what has arrived, then stops it; what it hasn't ended by then is in its checkpoint."""
+def stop_drained(query: StreamingQuery) -> None:
+    """Lets a query end what has arrived, then stops it; what fails on the way is still in its checkpoint."""
     if query.isActive:
-        waited = query.awaitTermination(0)
-        if not waited:
-            query.processAllAvailable()
+        query.processAllAvailable()
     query.stop()
-    query.awaitTermination(int(seconds))

@@ -50,6 +50,7 @@ class PairFilter(StatefulProcessor):
         began = int(events["us"].min()) if began is None else began
         if newest >= began + self.keep_us:
             now, old, began = empty.copy(), now if newest < began + 2 * self.keep_us else empty, newest
+        known = known[known["last"] >= newest - 2 * self.keep_us]
         first = ~events.duplicated(["user", "h1", "h2"]).to_numpy()
         at = self.positions(events["h1"].to_numpy()[first], events["h2"].to_numpy()[first])
         fresh = np.zeros(len(events), bool)
@@ -60,7 +61,6 @@ class PairFilter(StatefulProcessor):
         addresses = before + pd.Series(fresh.astype(np.int64)).groupby(events["user"]).cumsum().to_numpy()
         seen = pd.DataFrame({"n": addresses, "last": events["us"].to_numpy()}).groupby(events["user"].to_numpy()).max()
         both = pd.concat([known, seen]).groupby(level=0).max()
-        both = both[both["last"] >= newest - 2 * self.keep_us]
         packed = [np.packbits(x).tobytes() for x in (now, old)] + [np.ascontiguousarray(x, np.int64).tobytes() for x in (both.index, both["n"], both["last"])]
         self.held.update((*packed, began))
         over = addresses >= self.threshold

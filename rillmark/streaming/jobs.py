@@ -19,6 +19,8 @@ from rillmark.operators import priority
 from rillmark.sources.events import as_activity
 from rillmark.sources.files import scratch
 
+from .batches import Batches
+
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
     """The events table as a stream of files."""
@@ -72,18 +74,16 @@ def flagged_users(events: DataFrame, threshold: int, late: str = "10 minutes", k
 
 
 def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Everything the stream has, run to its end; checkpoints are in the shared folder."""
-    spark = stream.sparkSession
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    at = f"{scratch(spark)}/{name}"
-    out = f"{at}/out"
-
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    """Everything the stream has, run to its end; a micro-batch that is repeated takes the place of its first
+    attempt. In complete mode only the last result is kept."""
+    sink = Batches(stream.sparkSession, name)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        sink.write(batch, number)
+        sink.forget_before(number)
+
+    rows = sink.run(stream, mode, replace if mode == "complete" else None).rows(stream.schema)
+    return rows.drop("batch")
 
 
 def by_priority(events: DataFrame, handler: Callable[[DataFrame, int], None], base: dict[str, int] = priority.BASE, default: int = priority.STANDARD) -> StreamingQuery:
