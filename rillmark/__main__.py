@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 from rillmark.operators import bots, cache, frequency, prefix, priority, system
 from rillmark.session import local_session
 from rillmark.sources import files, generator
-from rillmark.streaming import jobs
+from rillmark.streaming import batches, bot_filter, frames, jobs, top_items
 
-#: Titles of the demo.
-TITLES = ("avengers endgame", "avatar", "the dark knight", "inception", "matrix", "interstellar", "parasite", "spider-man", "thor ragnarok", "iron man")
+#: Titles of the demo.
+TITLES = ("salt harbour", "salt and cinder", "the paper lighthouse", "the orchard at noon", "inkwell", "night ferry", "copper rain", "a map of echoes", "nine lanterns", "inland sea")
+#: Pairs of a user and an address that a run's filters are sized for.
+PAIRS = 1_000_000
 
 #: Seconds that queries may take to start.
 START = 120
@@ -33,32 +37,18 @@ def run(spark: SparkSession, rate: int = 1000, seconds: float = 30, burst: bool
     """Processes a generated stream for some seconds; returns the totals.
 
     Rate 0 is what the machine can take. With a burst, three seconds in the middle have five times
-    the rate (runs of ten seconds and more). Three queries run side by side: events by type and user's
-    flags micro-batch by micro-batch, items in all. Every ``refresh`` seconds a frame goes to ``show``.
+    the rate (runs of ten seconds and more). Three queries run side by side: events by type, which are the dashboard's
+    frames, flagged users and the commonest items. Every ``refresh`` seconds the last frame goes to ``show``.
     The time begins when all of them have ended a first micro-batch.
+    What they give is in the shared folder; the driver holds a frame and the top items.
     """
     several = 5.0 if burst and seconds >= 10 else 1.0
     stream = told(generator.event_stream(spark, rate or 100_000, burst=several, burst_at=seconds / 2))
-    stats = {"events": 0, "alerts": 0}
-    types: dict[str, int] = {}
-    suspects: set = set()
-    top: list[tuple] = []
-
-    def count(batch: DataFrame, _: int) -> None:
-        for r in batch.groupBy("event_type").agg(F.count("*").alias("n")).collect():
-            types[r.event_type] = types.get(r.event_type, 0) + r.n
-            stats["events"] += r.n
-
-    def alert(batch: DataFrame, _: int) -> None:
-        rows = batch.groupBy("user_id").agg(F.count("*").alias("n")).collect()
-        stats["alerts"] += sum(r.n for r in rows)
-        suspects.update(r.user_id for r in rows)
-
-    queries = [
-        jobs.by_priority(stream, count),
-        jobs.on_flagged(stream, threshold, alert),
-        jobs.on_trending(stream.where("event_type = 'play'"), 10, lambda rows, _: top.__setitem__(slice(None), rows)),
-    ]
+    alerts, tops, at = batches.Batches(spark, "alerts"), batches.Batches(spark, "tops"), f"{files.scratch(spark)}/run-{uuid.uuid4().hex}"
+    kinds = frames.sections(stream.groupBy("event_type").agg(F.count("*").alias("n")), "events", "event_type", "n")
+    flags = bot_filter.flagged_users(stream, threshold, PAIRS)
+    items = top_items.top_items(stream.where("event_type = 'play'"), "item", 10)
+    queries = [frames.shown(kinds, f"{at}/frames", f"{at}/checkpoint", top=50), alerts.start(flags), tops.start(items, "update")]
     try:
         ready = time.monotonic() + START
         while time.monotonic() < ready and not all(q.recentProgress or not q.isActive for q in queries):
@@ -67,12 +57,15 @@ def run(spark: SparkSession, rate: int = 1000, seconds: float = 30, burst: bool
         while time.monotonic() - began < seconds and all(q.isActive for q in queries):
             time.sleep(min(refresh, seconds))
             if show:
-                show(jobs.dashboard(stats, sorted(types.items(), key=lambda x: -x[1])[:4], top[:5]))
+                show(frames.last_frame(spark, f"{at}/frames") or "")
+        elapsed = time.monotonic() - began
     finally:
         for q in queries:
             q.stop()
-    elapsed = time.monotonic() - began
-    return stats | {"seconds": elapsed, "rate": stats["events"] / elapsed, "bots": len(suspects), "types": types, "top": top}
+    types = json.loads(frames.last_frame(spark, f"{at}/frames", "json") or "{}").get("events", {})
+    found = alerts.rows(flags.schema).agg(F.count("*").alias("alerts"), F.countDistinct("user_id").alias("bots")).collect()[0]
+    top = [(r["item"], r.cnt) for r in top_items.latest(tops.rows(items.schema), 10).collect()]
+    return {"events": sum(types.values()), "alerts": found.alerts, "bots": found.bots, "seconds": elapsed, "rate": sum(types.values()) / elapsed, "types": types, "top": top}
 
 
 def generate(spark: SparkSession, events: int, output: str) -> None:
@@ -92,7 +85,7 @@ def demo(spark: SparkSession, show: Callable[[str], None] = print, events: int =
         "first": [r.event_type for r in done.orderBy("place").limit(1).collect()],
         "stats": system.full_statistics(done, rows.where("event_type = 'play'"), 20, 100, 128, 32).collect()[0].asDict(),
         "suspects": [r.user_id for r in bots.suspects(rows, 4).collect()],
-        "completed": {p: [r.term for r in prefix.complete(titles, p, 3).collect()] for p in ("av", "the", "in")},
+        "completed": {p: [r.term for r in prefix.complete(titles, p, 3).collect()] for p in ("salt", "the", "in")},
         "top": [tuple(r) for r in frequency.top_k(rows.where("event_type = 'play'"), "item", 5).collect()],
         "cached": [r.key for r in cache.contents(rows.where("event_type = 'play'").select(F.col("event_id").alias("pos"), F.col("item").alias("key")), 5).collect()],
     }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import numbered
+
 PAYMENT, PREMIUM, STANDARD, BACKGROUND = 0, 1, 2, 3
 NAMES = ("PAYMENT", "PREMIUM", "STANDARD", "BACKGROUND")
 #: The priority of each type of event; others are STANDARD.
@@ -37,16 +39,9 @@ def classified(events: DataFrame, base: dict[str, int] = BASE, default: int = ST
 ORDER = ("priority", "ts", "event_id")
 
 
-def placed(events: DataFrame, slot: str = "hour") -> DataFrame:
-    """Adds place (from 1) in processing order, without one task seeing all events: what comes before
-    a priority's slot of time, and the order within it."""
-    cut = events.withColumn("_slot", F.date_trunc(slot, "ts"))
-    counts = cut.groupBy("priority", "_slot").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("priority", "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_base", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
-    own = Window.partitionBy("priority", "_slot").orderBy("ts", "event_id")
-    ranks = cut.withColumn("_r", F.row_number().over(own)).join(before, ["priority", "_slot"])
-    return ranks.withColumn("place", (F.col("_base") + F.col("_r")).cast("long")).drop("_slot", "_r", "_base")
+def placed(events: DataFrame) -> DataFrame:
+    """Adds place (from 1) in processing order: rows are sorted by range, so no task has all of a priority."""
+    return numbered(events, *ORDER).withColumn("place", F.col("place") + 1)
 
 
 def drained(events: DataFrame) -> DataFrame:

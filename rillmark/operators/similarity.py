@@ -11,6 +11,8 @@ from rillmark.functions.text import hash32
 from rillmark.sources.files import stored
 
 PRIME = (1 << 31) - 1
+#: Members of a bucket that are compared in one task.
+BLOCK = 2000
 
 
 def family(k: int, seed: int = 42) -> list[tuple[int, int]]:
@@ -61,11 +63,43 @@ def band_keys(sigs: DataFrame, k: int, bands: int) -> DataFrame:
     return sigs.select("user_id", F.posexplode(keys).alias("band", "key"))
 
 
+def in_blocks(keys: DataFrame, member: str) -> DataFrame:
+    """band, key, i, j, own, ``member`` of buckets with several members: a bucket of many is cut into blocks of some ``BLOCK``
+    members, and a member goes to each pair of blocks that its own is one of."""
+    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("_n")).where("_n > 1")
+    laid = keys.join(sizes, ["band", "key"]).withColumn("_b", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    laid = laid.withColumn("own", F.pmod(F.xxhash64(member), F.col("_b")).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    return laid.select("band", "key", F.least("own", "_x").alias("i"), F.greatest("own", "_x").alias("j"), "own", member)
+
+
 def candidates(keys: DataFrame) -> DataFrame:
-    """u < v that share a band."""
-    one = keys.select("band", "key", F.col("user_id").alias("u"))
-    two = keys.select("band", "key", F.col("user_id").alias("v"))
-    return one.join(two, ["band", "key"]).where("u < v").select("u", "v").distinct()
+    """u < v that share a band. A bucket is compared block by block, so that a large one is many tasks."""
+    laid = in_blocks(keys.select("band", "key", "user_id"), "user_id")
+    one, two = laid.withColumnRenamed("own", "p").withColumnRenamed("user_id", "u"), laid.withColumnRenamed("own", "q").withColumnRenamed("user_id", "v")
+    here = (F.least("p", "q") == F.col("i")) & (F.greatest("p", "q") == F.col("j"))
+    return one.join(two, ["band", "key", "i", "j"]).where(here & F.expr("u < v")).select("u", "v").distinct()
+
+
+def nearest_by_class(sigs: DataFrame, k: int, bands: int, top: int) -> DataFrame:
+    """u, v, similarity, rank: what ``nearest`` gives of the scored candidates, without a row for each pair of users.
+
+    Users with equal signatures are one class. Classes meet in buckets; as a class's users tie, only its top + 1
+    least are ever wanted, so what a class is given, itself included, are as many rows, and each of its users takes those
+    but itself. Rows grow with the pairs of different signatures and with top for each user, not with the pairs of copies.
+    """
+    least = sigs.groupBy("sig").agg(F.min("user_id").alias("class"))
+    members = stored(sigs.select("user_id", "sig").join(least, "sig"), "classes")
+    of_class = Window.partitionBy("class").orderBy("user_id")
+    some = members.withColumn("_r", F.row_number().over(of_class)).where(F.col("_r") <= top + 1).select(F.col("class").alias("d"), F.col("user_id").alias("v"))
+    own = members.where("class = user_id").select("user_id", "sig")
+    pairs = scored(candidates(band_keys(own, k, bands)), own, k)
+    self_ = own.select(F.col("user_id").alias("c"), F.col("user_id").alias("d"), F.lit(1.0).alias("similarity"))
+    met = both_ways(pairs).toDF("c", "d", "similarity").unionByName(self_)
+    best = Window.partitionBy("c").orderBy(F.desc("similarity"), "v")
+    given = met.join(some, "d").withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top + 1).select("c", "v", "similarity")
+    each = members.select(F.col("class").alias("c"), F.col("user_id").alias("u")).join(given, "c").where("u <> v")
+    first = Window.partitionBy("u").orderBy(F.desc("similarity"), "v")
+    return each.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top).select("u", "v", "similarity", "rank")
 
 
 def scored(pairs: DataFrame, sigs: DataFrame, k: int) -> DataFrame:

@@ -19,16 +19,24 @@ def trailing_count(events: DataFrame, seconds: int, by: str | None = None) -> Da
 def trailing_total(events: DataFrame, seconds: int, slot: int) -> DataFrame:
     """The same over all events without one task seeing them all.
 
-    Time is cut into slots of ``slot`` seconds (at most ``seconds``); every event goes to its own slot and, as
-    background, to each later slot whose windows can reach it. A slot is counted by itself.
+    Events are counted by second first. The seconds that lie wholly in a window are summed over seconds: time is cut into slots of ``slot``
+    seconds, and each second goes to its own slot and, as background, to each later one whose windows can reach it.
+    What a window has of its first and of its last second is counted among the events of these two.
     """
-    micros = F.unix_micros("ts")
-    width = slot * 1_000_000
-    own = F.floor(micros / width)
-    reach = F.floor((micros + seconds * 1_000_000) / width)
-    copies = events.withColumn("_us", micros).withColumn("_own", own).withColumn("_slot", F.explode(F.sequence(own, reach)))
-    frame = Window.partitionBy("_slot").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    return copies.withColumn("in_window", F.count("*").over(frame)).where("_slot = _own").drop("_us", "_own", "_slot")
+    micros, second = F.unix_micros("ts"), 1_000_000
+    timed = events.withColumn("_us", micros).withColumn("_sec", F.floor(micros / second))
+    cells = timed.groupBy("_sec").agg(F.count("*").alias("_n"))
+    own = F.floor(F.col("_sec") / slot)
+    copies = cells.withColumn("_own", own).withColumn("_slot", F.explode(F.sequence(own, F.floor((F.col("_sec") + seconds) / slot))))
+    between = Window.partitionBy("_slot").orderBy("_sec").rangeBetween(1 - seconds, -1)
+    whole = copies.withColumn("_whole", F.coalesce(F.sum("_n").over(between), F.lit(0).cast("long"))).where("_slot = _own").select("_sec", "_whole")
+    now = timed.withColumn("_back", F.lit(0))
+    back = timed.select("_us", F.lit(1).alias("_back")).withColumn("_us", F.col("_us") + seconds * second).withColumn("_sec", F.floor(F.col("_us") / second))
+    meet = now.unionByName(back, allowMissingColumns=True)
+    upto, after = Window.partitionBy("_sec").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0), Window.partitionBy("_sec").orderBy("_us").rangeBetween(0, Window.unboundedFollowing)
+    edges = F.sum(1 - F.col("_back")).over(upto) + F.sum("_back").over(after)
+    counted = meet.withColumn("_edges", edges).where("_back = 0").join(whole, "_sec")
+    return counted.withColumn("in_window", F.col("_whole") + F.col("_edges")).drop("_us", "_sec", "_whole", "_edges", "_back")
 
 
 def contents(events: DataFrame, now, seconds: int) -> DataFrame:

@@ -352,7 +352,7 @@ def lsh_candidate_pairs(spark, d):
 
 @query(f"with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, {TWO_SQL.format(e='e', n=10)} select u, v, similarity, cast(r as integer) as rank from nb")
 def lsh_nearest(spark, d):
-    return similarity.nearest(lsh_pairs(spark, d), 10)
+    return similarity.nearest_by_class(similarity.signatures(history(spark, d), K), K, BANDS, 10)
 
 
 @query(f"with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, gone as (select c_custkey from customer where c_acctbal < 0) select * from e where u not in (select * from gone) and v not in (select * from gone)")
@@ -445,7 +445,7 @@ def recommend_exact(spark, d):
 @query(f"with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, {TWO_SQL.format(e='e', n=TOP)}, {REC_SQL} select * from rec")
 def recommend_lsh(spark, d):
     w = history(spark, d)
-    return recommend.recommend(w, similarity.nearest(lsh_pairs(spark, d), TOP), 10)
+    return recommend.recommend(w, similarity.nearest_by_class(similarity.signatures(w, K), K, BANDS, TOP), 10)
 
 
 @query(f"""with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, {TWO_SQL.format(e='e', n=TOP)}, {REC_SQL},

@@ -1,13 +1,14 @@
 """A dashboard as a sink: every micro-batch becomes a frame of text.
 
 The sink takes rows of section, name and value. Each task hands over, of every section, the rows and the sum of values and the
-``top`` highest; the driver merges these and writes ``frame-<batch>.txt``, so what it holds is bounded
+``top`` highest; the driver merges these and writes ``frame-<batch>.txt`` and the same as JSON, so what it holds is bounded
 by sections and tasks, and a batch that is repeated gives the same frame again.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,8 +56,10 @@ class FrameWriter(DataSourceStreamWriter):
                 merged(kept, section, n, total, best, self.top)
         where, at = fs.FileSystem.from_uri(self.path)
         where.create_dir(at, recursive=True)
-        with where.open_output_stream(f"{at}/frame-{batchId}.txt") as out:
-            out.write(text(kept, batchId).encode())
+        numbers = json.dumps({section: {name: n for n, name in best} for section, (_, _, best) in kept.items()})
+        for kind, what in (("json", numbers), ("txt", text(kept, batchId))):
+            with where.open_output_stream(f"{at}/frame-{batchId}.{kind}") as out:
+                out.write(what.encode())
 
     def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
         pass
@@ -85,12 +88,12 @@ def shown(counts: DataFrame, path: str, checkpoint: str, mode: str = "complete",
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def last_frame(spark: SparkSession, path: str) -> str | None:
-    """The text of the newest frame, or None."""
+def last_frame(spark: SparkSession, path: str, kind: str = "txt") -> str | None:
+    """The newest frame as text (or "json"), or None."""
     where, at = fs.FileSystem.from_uri(path)
-    found = [f for f in where.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.base_name.startswith("frame-")]
+    found = [f for f in where.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.base_name.startswith("frame-") and f.base_name.endswith(f".{kind}")]
     if not found:
         return None
-    newest = max(found, key=lambda f: int(f.base_name[6:-4]))
+    newest = max(found, key=lambda f: int(f.base_name.split("-")[1].split(".")[0]))
     with where.open_input_stream(newest.path) as data:
         return data.read().decode()

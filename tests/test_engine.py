@@ -100,4 +100,4 @@ def test_commands(spark, tmp_path, capsys):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 300
     out = commands.demo(spark, show=lambda _: None)
     assert out["first"][0] in ("purchase", "subscription") and "bot_user" in out["suspects"]
-    assert out["stats"]["processed"] == 510 and out["completed"]["av"] == ["avatar", "avengers endgame"]
+    assert out["stats"]["processed"] == 510 and out["completed"]["salt"] == ["salt and cinder", "salt harbour"]
