@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.text import normalise
 
+from .windows import numbered
+
 
 def vocabulary(rows: DataFrame, term: str = "term", weight: str | None = None) -> DataFrame:
     """term, freq of normalised terms that are not empty."""
@@ -60,23 +66,84 @@ def search_counts(searches: DataFrame) -> DataFrame:
     return searches.select(normalise(F.col("query")).alias("query")).groupBy("query").agg(F.count("*").alias("searches"))
 
 
-def suggested_before(searches: DataFrame, catalog: DataFrame, k: int = 5) -> DataFrame:
-    """What every search was offered: terms of the catalog and of strictly earlier searches.
+def suggested_before(searches: DataFrame, catalog: DataFrame, k: int = 5, span: int = 10_000) -> DataFrame:
+    """search_id, query, term, freq, rank: what every search was offered, of the catalog and of strictly earlier searches.
 
     ``searches`` has search_id (order) and query, ``catalog`` term and freq. A search meets the
     terms that begin with it; a searched term counts as often as it was searched before.
+
+    Searches are cut into blocks of ``span``. What a block adds to a term is one row for each asked beginning of it. From these, a pass over
+    the blocks of each asked beginning keeps its terms in order, and says for each block what it starts with: the counts of
+    the terms that the block changes, and the k best of the others. Each beginning and block is then played by
+    itself. So a search is a row for each asked beginning of its query and gives k rows, and one that is half of
+    all searches is spread over the blocks. The terms of one beginning are in one task.
     """
-    asked = searches.select("search_id", normalise(F.col("query")).alias("query")).where("query <> ''")
-    index = prefixes(catalog).select(F.col("prefix").alias("query"), "term", "freq")
-    from_catalog = asked.join(index, "query").select("search_id", "query", "term", F.col("freq").alias("n"))
-    # of every asked prefix and searched term a running count, so that searches never meet in pairs
-    words = asked.select(F.col("query").alias("term")).distinct()
-    known = prefixes(words).withColumnRenamed("prefix", "query").join(asked.select("query").distinct(), "query")
-    probes = asked.join(known, "query").select("search_id", "query", "term", F.lit(0).cast("long").alias("u"))
-    updates = asked.withColumnRenamed("query", "term").join(known, "term").select("search_id", "query", "term", F.lit(1).cast("long").alias("u"))
-    upto = Window.partitionBy("query", "term").orderBy("search_id", "u").rowsBetween(Window.unboundedPreceding, 0)
-    counted = probes.unionByName(updates).withColumn("n", F.sum("u").over(upto))
-    from_searches = counted.where("u = 0 and n > 0").select("search_id", "query", "term", "n")
-    total = from_catalog.unionByName(from_searches).groupBy("search_id", "query", "term").agg(F.sum("n").alias("freq"))
-    top = Window.partitionBy("search_id").orderBy(F.desc("freq"), "term")
-    return total.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+    asked = numbered(searches.select("search_id", normalise(F.col("query")).alias("query")).where("query <> ''"), "search_id")
+    asked = asked.withColumn("block", F.floor(F.col("place") / span))
+    wanted = asked.select(F.col("query").alias("prefix")).distinct()
+    known = prefixes(asked.select(F.col("query").alias("term")).distinct()).join(wanted, "prefix")
+    added = asked.groupBy(F.col("query").alias("term"), "block").agg(F.count("*").alias("n")).join(known, "term")
+    listed = prefixes(catalog.select("term", "freq")).join(wanted, "prefix")
+    started = asked.select(F.col("query").alias("prefix"), "block").distinct()
+    steps = listed.select("prefix", F.lit(-1).cast("long").alias("block"), "term", F.col("freq").cast("long").alias("n"), F.lit(0).alias("step"))
+    steps = steps.unionByName(started.withColumns({"term": F.lit(None).cast("string"), "n": F.lit(0).cast("long"), "step": F.lit(1)}))
+    steps = steps.unionByName(added.select("prefix", "block", "term", "n", F.lit(2).alias("step")))
+    begins = steps.groupBy("prefix").applyInPandas(_starts(k), "prefix string, block long, term string, n long, other boolean")
+    kind = searches.schema["search_id"].dataType.simpleString()
+    plays = asked.select(F.col("query").alias("term"), "search_id", "place", "block").join(known, "term")
+    both = plays.groupBy("prefix", "block").cogroup(begins.groupBy("prefix", "block"))
+    return both.applyInPandas(_played(k), f"search_id {kind}, query string, term string, freq long, rank int")
+
+
+def _starts(k: int):
+    """Of one beginning: what each block in which it is asked starts with."""
+
+    def run(steps: pd.DataFrame) -> pd.DataFrame:
+        counts: dict[str, int] = {}
+        order: list[tuple[int, str]] = []
+        prefix, out = steps["prefix"].iloc[0], []
+
+        def add(term: str, n: int) -> None:
+            if term in counts:
+                del order[bisect_left(order, (-counts[term], term))]
+            counts[term] = counts.get(term, 0) + n
+            insort(order, (-counts[term], term))
+
+        first = steps[steps["step"] == 0]
+        counts.update(first.groupby("term")["n"].sum().to_dict())
+        order.extend(sorted((-n, t) for t, n in counts.items()))
+        for block, part in steps[steps["step"] > 0].sort_values("block").groupby("block"):
+            changes = part[part["step"] == 2]
+            if (part["step"] == 1).any():
+                changed = set(changes["term"])
+                out += [(prefix, block, t, counts.get(t, 0), False) for t in changed]
+                rest = (x for x in order if x[1] not in changed)
+                out += [(prefix, block, t, -n, True) for n, t in islice(rest, k)]
+            for term, n in zip(changes["term"].tolist(), changes["n"].tolist(), strict=True):
+                add(term, n)
+        return pd.DataFrame(out, columns=["prefix", "block", "term", "n", "other"])
+
+    return run
+
+
+def _played(k: int):
+    """Of one beginning and block: what each search for it is offered."""
+
+    def run(plays: pd.DataFrame, begins: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        own = begins[~begins["other"]]
+        counts = {t: n for t, n in zip(own["term"].tolist(), own["n"].tolist(), strict=True) if n}
+        order = sorted((-n, t) for t, n in counts.items())
+        others = sorted((-n, t) for t, n in zip(begins["term"][begins["other"]].tolist(), begins["n"][begins["other"]].tolist(), strict=True))
+        rows = plays.sort_values("place")
+        for prefix, term, search in zip(rows["prefix"].tolist(), rows["term"].tolist(), rows["search_id"].tolist(), strict=True):
+            if term == prefix:
+                best = sorted(order[:k] + others)[:k]
+                out += [(search, prefix, t, -n, rank) for rank, (n, t) in enumerate(best, 1)]
+            if term in counts:
+                del order[bisect_left(order, (-counts[term], term))]
+            counts[term] = counts.get(term, 0) + 1
+            insort(order, (-counts[term], term))
+        return pd.DataFrame(out, columns=["search_id", "query", "term", "freq", "rank"])
+
+    return run

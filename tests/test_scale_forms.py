@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rillmark.operators import bots, priority, similarity, windows
+from rillmark.operators import bots, prefix, priority, similarity, windows
 
 
 @pytest.mark.parametrize("block", [1, 3, 2000])
@@ -67,3 +67,21 @@ def test_places_equal_one_sort(spark):
     plain = events.withColumn("want", F.row_number().over(Window.orderBy("priority", "ts", "event_id")))
     both = plain.join(priority.placed(events).select("event_id", "place"), "event_id")
     assert both.where("want = place").count() == 500
+
+
+@pytest.mark.parametrize("span", [1, 7, 10_000])
+def test_suggestions_by_blocks(spark, span):
+    r = random.Random(span)
+    words = ["a", "ab", "abc", "abd", "b", "ba", " A ", "", "abca"]
+    asks = [(i * 3, r.choice(words) if r.random() < 0.5 else "ab") for i in range(120)]
+    terms = [("abc", 3), ("abz", 2), ("b", 1), ("zz", 9)]
+    got = prefix.suggested_before(spark.createDataFrame(asks, "search_id long, query string"), spark.createDataFrame(terms, "term string, freq long"), 3, span)
+    want, counts = [], dict(terms)
+    for i, q in asks:
+        q = q.strip().lower()
+        if not q:
+            continue
+        best = sorted((-n, t) for t, n in counts.items() if t.startswith(q))[:3]
+        want += [(i, q, t, -n, rank) for rank, (n, t) in enumerate(best, 1)]
+        counts[q] = counts.get(q, 0) + 1
+    assert sorted(tuple(x) for x in got.select("search_id", "query", "term", "freq", "rank").collect()) == sorted(want)
