@@ -15,8 +15,10 @@ size whatever a text repeats) and the bytes that their windows cover are a regio
   in a content twice, need their bytes compared: each of them goes once into a shard. Shards are sorted as suffix arrays
   (``induced``), and starts whose permuted common prefix, with the suffix before or the one
   behind, has ``LENGTH`` bytes are repeated.
-* Anchors with more than ``HOT`` contents are not put into one task: their windows are counted by
-  a 128-bit hash, which Spark deals out by window.
+* Anchors with more than ``GROUP`` contents are cut into more shards by what surrounds them. A window of ``LENGTH`` bytes around
+  a context of fewer has half of the bytes that are left before it or half of them behind it. So a context grows by
+  that half to either side; contents meet again in the shards of these wider contexts, by 128-bit hashes, and those of too many
+  contents grow again, to whole windows at the end. A context that is a whole window and stands in two places is repeated.
 * Starts go back to their documents as spans; each document is cut once.
 
 Defined results: a null text is empty; matches never cross documents; repeated rows are matches
@@ -47,7 +49,8 @@ OTHER = 0x5851F42D4C957F2D
 SHARD = 1 << 20
 #: Starts of a region at most: longer regions (of periodic texts) are several.
 PIECE = 1024
-HOT = 2000
+#: Contents of an anchor, or of a context, that are one shard at most.
+GROUP = 2000
 #: Bits of a filter for each value, and bits of all.
 SPARSE, FILTER_BITS = 32, 1 << 30
 BATCH = 1 << 20
@@ -189,7 +192,7 @@ def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def shard_starts(rows: DataFrame) -> DataFrame:
     """a, d and spans (first, last) of repeated starts within the region, of regions given with
-    their bytes and sorted by anchor."""
+    their bytes and what they are compared by (g), and sorted by that."""
 
     def spans_of(parts: list[bytes]) -> list[list[dict]]:
         text = np.concatenate([x for p in parts for x in (np.frombuffer(p, np.uint8).astype(np.int64) + 1, np.zeros(1, np.int64))])
@@ -213,7 +216,8 @@ def shard_starts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        a, d, parts, size = [], [], [], 0
+        a, d, parts, size, last = [], [], [], 0, None
+        here: set[tuple[int, int]] = set()  # a content of several groups is in a shard once
 
         def out(n: int) -> pa.RecordBatch:
             got = pa.RecordBatch.from_arrays([pa.array(a[:n], pa.int64()), pa.array(d[:n], pa.int64()), pa.array(spans_of(parts[:n]), kind)], names=["a", "d", "spans"])
@@ -221,10 +225,15 @@ def shard_starts(rows: DataFrame) -> DataFrame:
             return got
 
         for batch in batches:
-            for x, y, z in zip(*(batch.column(c).to_pylist() for c in ("a", "d", "bytes")), strict=True):
-                if size >= SHARD and x != a[-1]:
+            for g, x, y, z in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "d", "bytes")), strict=True):
+                if size >= SHARD and g != last:
                     yield out(len(a))
                     size = 0
+                    here.clear()
+                last = g
+                if (x, y) in here:
+                    continue
+                here.add((x, y))
                 a.append(x)
                 d.append(y)
                 parts.append(z)
@@ -235,21 +244,47 @@ def shard_starts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, d long, spans array<struct<first:int,last:int>>")
 
 
-def hot_starts(rows: DataFrame) -> DataFrame:
-    """The same for regions of anchors with very many contents: windows are counted by hash."""
+def wider(contents: DataFrame, length: int, step: int) -> DataFrame:
+    """a, d, at and key (hash) of the contexts of length + step bytes around those of ``length`` bytes that
+    begin at the places ``at`` of each content (null: wherever its anchor stands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, d, data in zip(*(batch.column(c).to_pylist() for c in ("a", "d", "bytes")), strict=True):
-                n = len(data) - LENGTH + 1
-                view = memoryview(data)
-                name = [xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, a)), pa.array(np.full(n, d)), pa.array(np.arange(n, dtype=np.int32)), pa.array(name, pa.binary())], names=["a", "d", "at", "w"])
-
-    windows = rows.mapInArrow(run, "a long, d long, at int, w binary")
-    often = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    hit = windows.join(often, "w")
-    return hit.groupBy("a", "d").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"))).alias("spans"))
+            for i in range(0, batch.num_rows, 1000):
+                rows, keys = [], []
+                for a, d, data, at in zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns), strict=True):
+                    if at is None:
+                        at = np.flatnonzero(gram_hashes(data)[: len(data) - GRAM + 1].view(np.int64) == a).tolist()
+                    begins = {x - step for x in at if x >= step} | {x for x in at if x + length + step <= len(data)}
+                    rows += [(a, d, x) for x in begins]
+                    keys += [xxhash.xxh3_128_digest(data[x : x + length + step]) for x in begins]
+                if rows:
+                    a_, d_, at_ = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(d_, pa.int64()), pa.array(at_, pa.int32()), pa.array(keys, pa.binary())], names=["a", "d", "at", "key"])
+
+    return contents.select("a", "d", "bytes", "at").mapInArrow(run, "a long, d long, at int, key binary")
+
+
+def crowded_starts(contents: DataFrame, rows_n: int) -> DataFrame:
+    """What ``shard_starts`` gives, of contents (a, d, bytes) of anchors that have too many for one shard: by
+    contexts that grow until few enough share one, or are whole windows."""
+    spark = contents.sparkSession
+    found = spark.createDataFrame([], "a long, d long, spans array<struct<first:int,last:int>>")
+    live, length = contents.withColumn("at", F.lit(None).cast("array<int>")), GRAM
+    while not live.isEmpty():
+        step = -(-(LENGTH - length) // 2)
+        around = written(wider(live, length, step), "contexts")
+        length += step
+        sizes = around.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        if length == LENGTH:
+            here = F.struct(F.col("at").alias("first"), F.col("at").alias("last"))
+            return found.unionByName(around.join(sizes, "key").groupBy("a", "d").agg(F.collect_set(here).alias("spans")))
+        few = around.join(sizes.where(F.col("n") <= GROUP), "key").select(F.col("key").alias("g"), "a", "d").distinct()
+        laid = few.join(contents, ["a", "d"]).select("g", "a", "d", "bytes").repartition(spread(spark, rows_n), "g").sortWithinPartitions("g")
+        found = found.unionByName(written(shard_starts(laid).where(F.size("spans") > 0), "found"))
+        many = around.join(sizes.where(F.col("n") > GROUP), "key").groupBy("a", "d").agg(F.collect_set("at").alias("at"))
+        live = written(many.join(contents, ["a", "d"]), "crowded")
+    return found
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -292,8 +327,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     counts = compared.groupBy("a").agg(F.count("*").alias("contents"))
     contents = found.where("bytes is not null").join(compared, ["a", "d"]).groupBy("a", "d").agg(F.first("bytes").alias("bytes")).join(counts, "a")
     contents = written(contents, "contents", rows_n)
-    cold = contents.where(F.col("contents") <= HOT).select("a", "d", "bytes").repartition(spread(spark, rows_n), "a").sortWithinPartitions("a")
-    starts = shard_starts(cold).unionByName(hot_starts(contents.where(F.col("contents") > HOT).select("a", "d", "bytes"))).where(F.size("spans") > 0)
+    own = contents.where(F.col("contents") <= GROUP).select(F.col("a").alias("g"), "a", "d", "bytes").repartition(spread(spark, rows_n), "g").sortWithinPartitions("g")
+    starts = shard_starts(own).where(F.size("spans") > 0).unionByName(crowded_starts(contents.where(F.col("contents") > GROUP).select("a", "d", "bytes"), rows_n))
     # a content that occurs twice is repeated as a whole, whatever the shards say of it
     some = written(starts, "starts", rows_n).join(full.withColumn("full", F.lit(True)), ["a", "d"], "left_anti")
     marks = full.withColumn("spans", F.lit(None).cast("array<struct<first:int,last:int>>")).unionByName(some.select("a", "d", "spans"))

@@ -71,17 +71,29 @@ def passages(seed, n=60):
     return docs + [(900, None), (901, ""), (902, docs[5][1]), (903, "q" * 201), (904, "z" * 200), (905, ("abc" * 80)[:203]), (906, ("lmn" * 80)[:202])]
 
 
-@pytest.mark.parametrize(("hot", "piece", "batch"), [(2000, 1024, 1 << 20), (1, 1024, 1 << 20), (2000, 160, 300), (2000, 7, 250)])
-def test_repeated_bytes(spark, monkeypatch, hot, piece, batch):
-    for name, value in (("HOT", hot), ("PIECE", piece), ("BATCH", batch)):
+@pytest.mark.parametrize(("group", "piece", "batch"), [(2000, 1024, 1 << 20), (1, 1024, 1 << 20), (4, 160, 300), (2000, 7, 250)])
+def test_repeated_bytes(spark, monkeypatch, group, piece, batch):
+    for name, value in (("GROUP", group), ("PIECE", piece), ("BATCH", batch)):
         monkeypatch.setattr(suffix_dedup, name, value)
-    docs = passages(hot)
+    docs = passages(group)
     want = brute.cut(docs)
     got = suffix_dedup.deduplicate(frame(spark, docs)).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     assert all((r.kept_text is None) == (r.doc_id == 900) for r in got)
 
 
+def test_one_passage_in_many_surroundings(spark, monkeypatch):
+    """All contents of an anchor share it; contexts are cut until few share one."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", 5)
+    r = random.Random(12)
+    letters = lambda k: "".join(r.choice("abcde") for _ in range(k))
+    passage, heads = letters(260), [letters(60) for _ in range(3)]
+    docs = [(i, letters(90) + r.choice(heads) + passage[(a := r.choice([0, 0, 30, 70])) : r.choice([190, 230, 260]) + a] + letters(90)) for i in range(70)]
+    got = suffix_dedup.deduplicate(frame(spark, docs)).collect()
+    want = brute.cut(docs)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got} == want and 10 < sum(x[1] > 0 for x in want.values())
+
+
 def test_long_periodic_texts(spark):
     docs = [(1, "abcdefg" * 2_900_000), (2, "x" * 20_000_000), (3, "bcdefga" * 40), (4, "y" * 200)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.deduplicate(frame(spark, docs), texts=False).collect()}
