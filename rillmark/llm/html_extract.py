@@ -15,8 +15,8 @@ belongs to the slot of its nearest aligned ancestor.
   weighs in: menus, headers, footers, sidebars, notices, adverts, forms and comments (by tag, role,
   class or id) have no weight and are no content, and text in an ``article`` or ``main`` counts
   ``MAIN`` times; the part begins at such an element where one is around it.
-* A class or id names such a part only by a whole name (``share-buttons``), not by a word of a
-  phrase (``share of wealth``, ``notice-of-award``).
+* A class or id names such a part only by a whole name (``cookie-notice``), not by a word of a
+  phrase (``notice-of-award``), and names of other parts (``search``, ``related``) say nothing: these stay where the wrapper keeps them.
 * Pages of a host with fewer than ``SEVERAL`` different pages, and pages without the slot where the
   content begins, are judged alone: by the same rule over their own text.
 
@@ -70,10 +70,10 @@ NOT_CONTENT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "se
 NOT_CONTENT_NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toolbar",
-    "sidebar", "aside", "widget", "related", "recommended", "footer", "copyright", "header", "masthead", "topbar",
+    "sidebar", "aside", "widget", "footer", "copyright", "header", "masthead", "topbar",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "disclaimer",
-    "newsletter", "subscribe", "subscription", "signup", "login", "form", "search", "share", "sharing", "social",
-    "comment", "comments", "commentlist", "respond", "reply", "replies", "disqus", "hidden",
+    "newsletter", "subscribe", "subscription", "signup", "login", "form",
+    "comment", "comments", "commentlist", "respond", "replies", "disqus",
 }
 NOT_ARTICLE_NAMES = {"comment", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related", "recommended", "teaser"}
 #: Words that say nothing beside one of the above within a name.
