@@ -10,6 +10,7 @@ from rillmark.plans import queries as q
 from rillmark.sources import events as src
 
 from . import batches, bot_filter, jobs, pending, signatures, top_items, trailing
+from .service import RecommendationService
 
 EV = "ev as (select event_id, ts, user_id, event_type, cast(json_extract(props, '$.k') as bigint) k from events)"
 #: Micro-batches that a table is replayed in, events that a trigger releases, and pairs of a user and an address that are expected.
@@ -81,9 +82,19 @@ def stream_priority_batches(spark, d):
     return queue.released().select("event_id", F.col("priority").cast("int").alias("priority"), F.col("batch").cast("int").alias("batch"), F.col("place").cast("int").alias("place"))
 
 
+def served_recommendations(spark, d):
+    """Lists for all customers after half of them have asked before; watches came in micro-batches before both."""
+    watches = q.history(spark, d)
+    service = RecommendationService(spark, k=q.K, bands=q.BANDS, neighbours=q.TOP)
+    service.ingest(batches.replayed(watches, PARTS))
+    users = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    service.serve(users.where("user_id % 2 = 0"), watches, PARTS)
+    return service.serve(users, watches, PARTS + 1).withColumn("items", F.array_join("items", ","))
+
+
 QUERIES = {f.__name__: f for f in (
     stream_item_counts, stream_window_counts, stream_flagged_users, stream_lsh_index, stream_topk, stream_cms_cells, stream_cms_estimate, stream_flagged_filter,
-    stream_trailing_count, stream_priority_batches,
+    stream_trailing_count, stream_priority_batches, served_recommendations,
 )}
 FLAGS = f"""with {EV}, f as (select *, case when row_number() over (partition by user_id, k order by ts, event_id) = 1 then 1 else 0 end f from ev),
       g as (select user_id, event_id, cast(sum(f) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) addresses from f) select * from g where addresses >= 50"""
@@ -97,6 +108,11 @@ SQL = {
     "stream_cms_estimate": q.SQL["cms_estimate"],
     "stream_flagged_filter": FLAGS,
     "stream_trailing_count": q.SQL["trailing_window_count"],
+    "served_recommendations": f"""with {q.SIG_SQL}, {q.BAND_SQL}, {q.EST_SQL}, {q.TWO_SQL.format(e="e", n=q.TOP)}, {q.REC_SQL},
+      own as (select user_id, string_agg(cast(item as varchar), ',' order by rank) as items from rec group by 1),
+      pop as (select string_agg(cast(item as varchar), ',' order by score desc, item) as items from (select item, count(*) score from w group by item order by 2 desc, 1 limit 10))
+      select c_custkey user_id, coalesce(own.items, pop.items) as items, case when own.items is null then 'popular' else 'similar' end as source, c_custkey % 2 = 0 from_cache
+      from customer cross join pop left join own on own.user_id = c_custkey""",
     "stream_priority_batches": f"""with {q.EV}, o as (select event_id, priority, row_number() over (order by priority, ts, event_id) - 1 r from ev)
       select event_id, cast(priority as integer) priority, cast(r // {RELEASED} as integer) batch, cast(r % {RELEASED} + 1 as integer) place from o""",
 }

@@ -22,8 +22,9 @@ CHUNK = 4096
 
 
 class Minima(StatefulProcessor):
-    def __init__(self, k: int, bands: int, seed: int = 42):
+    def __init__(self, k: int, bands: int, seed: int = 42, mark: bool = False):
         similarity.lsh_threshold(k, bands)
+        self.mark = mark
         self.k, self.bands, self.rows = k, bands, k // bands
         self.a, self.b = (np.array(x, np.int64) for x in zip(*similarity.family(k, seed), strict=True))
 
@@ -45,6 +46,8 @@ class Minima(StatefulProcessor):
         after = before
         for part in rows:
             after = self.lowered(after, part["h"].unique())
+        if self.mark:
+            yield pd.DataFrame({"user_id": [key[0]], "band": [-1], "key": [None], "gone": [False]}).astype({"band": "int32"})
         if known and (after == before).all():
             return
         self.held.update((after.tolist(),))
@@ -59,10 +62,11 @@ class Minima(StatefulProcessor):
         pass
 
 
-def changed_keys(watches: DataFrame, k: int, bands: int, seed: int = 42) -> DataFrame:
-    """user_id, band, key, gone of a stream of watches (user_id, item); watches without an item count for nothing."""
+def changed_keys(watches: DataFrame, k: int, bands: int, seed: int = 42, mark: bool = False) -> DataFrame:
+    """user_id, band, key, gone of a stream of watches (user_id, item); watches without an item count for nothing.
+    With ``mark`` every user of a micro-batch has a row of band -1, whether a key changes or not."""
     kind = watches.schema["user_id"].dataType.simpleString()
     hashed = watches.where("item is not null").select("user_id", similarity.item_hash(watches["item"]).alias("h"))
     return hashed.groupBy("user_id").transformWithStateInPandas(
-        Minima(k, bands, seed), outputStructType=f"user_id {kind}, band int, key string, gone boolean", outputMode="update", timeMode="None"
+        Minima(k, bands, seed, mark), outputStructType=f"user_id {kind}, band int, key string, gone boolean", outputMode="update", timeMode="None"
     )

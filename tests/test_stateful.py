@@ -13,6 +13,7 @@ from pyspark.sql.types import LongType
 from rillmark.operators import similarity
 from rillmark.operators.lsh_index import LshIndex
 from rillmark.streaming import batches, bot_filter, frames, metrics, pending, signatures, top_items, trailing
+from rillmark.streaming.service import RecommendationService
 
 
 class State:
@@ -279,3 +280,29 @@ def test_frames_of_a_stream(spark, tmp_path):
     assert frame.splitlines()[0] == "batch 1" and frame.splitlines()[1].split() == ["events", "100"]
     assert [x.split()[1:3] for x in frame.splitlines()[2:]] == [["type0", "15"], ["type1", "15"], ["type2", "14"]]
     assert len(list((tmp_path / "frames").glob("frame-*.txt"))) == 2 and frames.last_frame(spark, str(tmp_path / "none")) is None
+
+
+# ---- served recommendations ----------------------------------------------------------------
+
+
+def test_a_watch_makes_the_own_list_outdated(spark):
+    shape = "user_id long, item long"
+    first = [(u, i) for u in (1, 2, 3) for i in range(u, 12)] + [(9, 500)]
+    service = RecommendationService(spark, k=16, bands=16, n=3)
+    old = spark.createDataFrame(first, shape)
+    service.ingest(batches._streamed([old], old))
+    asks = spark.createDataFrame([(1,), (2,), (3,), (9,), (77,)], "user_id long")
+    lists = lambda df: {r.user_id: (r["items"], r.source, r.from_cache) for r in df.collect()}
+    got = lists(service.serve(asks, old, 0))
+    assert got[2][:2] == ([1], "similar") and got[3][:2] == ([1, 2], "similar") or got[3][0] == [2, 1]
+    assert got[77][1] == got[9][1] == "popular" and len(got[9][0]) == 3 and not any(x[2] for x in got.values())
+    more = spark.createDataFrame([(2, 1), (3, 4)], shape)  # 4 is nothing new for user 3, but a watch
+    whole = old.unionByName(more)
+    again = RecommendationService(spark, k=16, bands=16, n=3, path=service.changes.path)
+    source = batches._streamed([old, more], old)
+    again.changes.path = f"{service.changes.path}/second"  # another source, another checkpoint
+    again.ingest(source)
+    got = lists(again.serve(asks, whole, 1))
+    assert {u for u, x in got.items() if not x[2]} >= {2, 3} and got[77][2]
+    told = again.statistics(whole).collect()[0]
+    assert told.recommender.users == 4 and told.cache.requests == 10 and told.cache.hits + told.cache.misses == 10
