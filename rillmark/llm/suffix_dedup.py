@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -265,11 +266,10 @@ def wider(contents: DataFrame, length: int, step: int) -> DataFrame:
     return contents.select("a", "d", "bytes", "at").mapInArrow(run, "a long, d long, at int, key binary")
 
 
-def crowded_starts(contents: DataFrame, rows_n: int) -> DataFrame:
-    """What ``shard_starts`` gives, of contents (a, d, bytes) of anchors that have too many for one shard: by
+def crowded_starts(contents: DataFrame, rows_n: int) -> list[DataFrame]:
+    """Tables of what ``shard_starts`` gives (none without contents), of contents (a, d, bytes) of anchors that have too many for one shard: by
     contexts that grow until few enough share one, or are whole windows."""
-    spark = contents.sparkSession
-    found = spark.createDataFrame([], "a long, d long, spans array<struct<first:int,last:int>>")
+    spark, found = contents.sparkSession, []
     live, length = contents.withColumn("at", F.lit(None).cast("array<int>")), GRAM
     while not live.isEmpty():
         step = -(-(LENGTH - length) // 2)
@@ -278,10 +278,10 @@ def crowded_starts(contents: DataFrame, rows_n: int) -> DataFrame:
         sizes = around.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         if length == LENGTH:
             here = F.struct(F.col("at").alias("first"), F.col("at").alias("last"))
-            return found.unionByName(around.join(sizes, "key").groupBy("a", "d").agg(F.collect_set(here).alias("spans")))
+            return [*found, around.join(sizes, "key").groupBy("a", "d").agg(F.collect_set(here).alias("spans"))]
         few = around.join(sizes.where(F.col("n") <= GROUP), "key").select(F.col("key").alias("g"), "a", "d").distinct()
         laid = few.join(contents, ["a", "d"]).select("g", "a", "d", "bytes").repartition(spread(spark, rows_n), "g").sortWithinPartitions("g")
-        found = found.unionByName(written(shard_starts(laid).where(F.size("spans") > 0), "found"))
+        found.append(written(shard_starts(laid).where(F.size("spans") > 0), "found"))
         many = around.join(sizes.where(F.col("n") > GROUP), "key").groupBy("a", "d").agg(F.collect_set("at").alias("at"))
         live = written(many.join(contents, ["a", "d"]), "crowded")
     return found
@@ -328,7 +328,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     contents = found.where("bytes is not null").join(compared, ["a", "d"]).groupBy("a", "d").agg(F.first("bytes").alias("bytes")).join(counts, "a")
     contents = written(contents, "contents", rows_n)
     own = contents.where(F.col("contents") <= GROUP).select(F.col("a").alias("g"), "a", "d", "bytes").repartition(spread(spark, rows_n), "g").sortWithinPartitions("g")
-    starts = shard_starts(own).where(F.size("spans") > 0).unionByName(crowded_starts(contents.where(F.col("contents") > GROUP).select("a", "d", "bytes"), rows_n))
+    crowded = crowded_starts(contents.where(F.col("contents") > GROUP).select("a", "d", "bytes"), rows_n)
+    starts = reduce(DataFrame.unionByName, crowded, shard_starts(own).where(F.size("spans") > 0))
     # a content that occurs twice is repeated as a whole, whatever the shards say of it
     some = written(starts, "starts", rows_n).join(full.withColumn("full", F.lit(True)), ["a", "d"], "left_anti")
     marks = full.withColumn("spans", F.lit(None).cast("array<struct<first:int,last:int>>")).unionByName(some.select("a", "d", "spans"))
