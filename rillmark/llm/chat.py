@@ -12,7 +12,8 @@ backslash goes behind the first character of every control string, so that no co
 left in any text. ``round_trip`` says that the accepted rendering parsed to the source.
 
 Defined results: null text or role is an empty string; rows of equal turn are ordered by role,
-then text, and repeated rows stay; a null conv_id is a conversation of its own; a table without
+then text, and repeated rows stay; a null conv_id is a conversation of its own; a conversation is one array of its turns, so very long texts
+and very many turns are in one task; a table without
 rows gives no rows; further columns are ignored.
 """
 

@@ -11,7 +11,8 @@ are hits.
 
 Defined results: a null or empty text has no words and is not contaminated; items without words
 match nothing; rows of one item id are one item; items with a null id hit words but are not
-counted; repeated documents each get the same result; empty tables on either side give no hits.
+counted; repeated documents each get the same result; very long texts are taken whole, by one task each; empty tables on either
+side give no hits.
 Columns other than those named are not read.
 """
 

@@ -8,8 +8,8 @@ this worker are merged together as one ragged array (``ragged``), and the rest o
 normalised text is looked up. Every piece is projected to the span of original bytes it covers;
 the spans of a text tile it.
 
-Defined results: a null text is empty and has the end id only, which decodes to an empty text;
-rows are independent, so ties, repeated rows and empty tables need no rule; columns other than
+Defined results: a null text is empty and has the end id only, which decodes to an empty text; very long texts are
+encoded whole, by one task each; rows are independent, so ties, repeated rows and empty tables need no rule; columns other than
 those named are not read.
 """
 

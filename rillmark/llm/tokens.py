@@ -4,7 +4,7 @@ Texts are cut into pre-tokens; pre-tokens not met before by this worker are merg
 one ragged numpy array (``ragged.merge_all``) and the surviving symbols counted. The counts stay
 in a table of the worker that is emptied when it holds ``MEMO`` entries.
 
-Defined results: a null text is empty and has no tokens; rows are independent, so ties, repeated
+Defined results: a null text is empty and has no tokens; very long texts are counted whole, cut into parts at pre-tokens; rows are independent, so ties, repeated
 rows and empty tables need no rule; columns other than those named are not read.
 """
 
