@@ -29,7 +29,7 @@ def only(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go.
 
-    A null or empty text is rejected. Repeated rows are judged alike, so all of them stay or all go;
+    A null or empty text is rejected; a very long one is judged whole. Repeated rows are judged alike, so all of them stay or all go;
     if they name several languages, all go where one of them rejects the text. A null language is one
     of its own. An empty table stays empty; other columns than those of documents go.
     """
@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the one of the least id stays, ids of null last; among rows
     of one id, that of the least key.
 
-    Repeated rows are linked, so one of them stays. Null and wordless texts are linked with nothing
-    and stay, once for each id. An empty table stays empty; other columns go.
+    Repeated rows are linked, so one of them stays. Null, empty and wordless texts are linked with nothing
+    and stay, once for each id. Very long texts are compared whole. An empty table stays empty; other columns go.
     """
     reachable(spark)
     linked = ngram_join.link_documents(docs)
@@ -55,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat go out of the texts; every row stays, with n_chars of what is left.
 
-    A null text stays null. Repeated rows are repeats of each other and lose all text of 200 bytes and
+    A null text stays null, an empty one empty; of very long ones every byte is looked at. Repeated rows are repeats of each other and lose all text of 200 bytes and
     more. An empty table stays empty; other columns go.
     """
     reachable(spark)
@@ -66,7 +66,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go.
 
-    Null and empty texts stay. Repeated rows all stay or all go. Empty tables on either side reject
+    Null and empty texts stay; very long ones are searched whole. Repeated rows all stay or all go. Empty tables on either side reject
     nothing; other columns go.
     """
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -76,7 +76,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (with the end id), n_tokens, and whether the ids decode to the text, of every row.
 
-    A null or empty text has the end id only. An empty table stays empty.
+    A null or empty text has the end id only; a very long one is encoded whole. An empty table stays empty.
     """
     reachable(spark)
     coded = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=False)
