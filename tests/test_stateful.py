@@ -171,6 +171,19 @@ def test_filter_keeps_its_size():
     assert sizes == {1 << 13}
 
 
+def test_filter_grows_with_what_was_not_expected():
+    one = bot_filter.PairFilter(1, 1 << 10, 30, 10**9)  # for about 23 pairs
+    started(one)
+    r, seen = random.Random(5), {}
+    for t, n in enumerate((10, 3000, 200, 4000)):
+        rows = [(r.randrange(20), r.randrange(400), t) for _ in range(n)]
+        flagged = {e: n for _, e, n in fed(one, 0, addresses(rows))}
+        for i, (u, a, _) in enumerate(rows):
+            seen.setdefault(u, set()).add(a)
+            assert flagged[i] == len(seen[u])
+    assert len(one.held.get()[0]) < 1 << 17
+
+
 def test_filter_forgets():
     one = bot_filter.PairFilter(1, 1024, 5, 100)
     started(one)
