@@ -4,6 +4,9 @@ Arrivals are written once, in ranges of priority and time, and never again. A tr
 time and id, and keeps the last of them as its cut. What a later trigger may
 release of an arrival is what is behind every cut since it came, so of each arrival only row groups behind its
 highest cut are read; the cuts are a row for each trigger. A trigger that is repeated after a failure writes the same again.
+
+When nothing arrives any more, all that waits is released at once: its places in the whole order, by a range sort, say
+which trigger releases it. So draining is a few jobs, however many triggers it stands for.
 """
 
 from __future__ import annotations
@@ -78,26 +81,38 @@ class PendingQueue:
         out = self.spark.read.parquet(f"{self.path}/out/batch={number}")
         last = out.orderBy(F.desc("place")).limit(1).select("priority", F.unix_micros("ts").alias("us"), "event_id", "place").collect()
         released = last[0].place if last else 0
-        self.cuts[number] = (last[0].priority, last[0].us, last[0].event_id) if released == self.n else (ALL, 0, 0)
-        cut = self.spark.createDataFrame([self.cuts[number]], "priority int, us long, event_id long").coalesce(1)
-        cut.write.options(**MOUNTED).mode("overwrite").parquet(f"{self.path}/cuts/batch={number}")
+        self._cut(number, (last[0].priority, last[0].us, last[0].event_id) if released == self.n else (ALL, 0, 0))
         return released
 
     def drain(self, number: int) -> int:
-        """Triggers without arrivals, from ``number`` on, until nothing waits; the number of the next one."""
-        while self.trigger(None, number) == self.n:
-            number += 1
-        return number + 1
+        """What triggers without arrivals release, from ``number`` on, until nothing waits; the number of the next one."""
+        waiting = self.waiting(number)
+        if waiting is None:
+            return number + 1
+        place, at = F.col("place") - 1, f"{self.path}/drained/first={number}"
+        turns = priority.placed(waiting.drop("arrival")).withColumn("batch", (F.floor(place / self.n) + number).cast("int"))
+        turns.withColumn("place", (place % self.n + 1).cast("int")).write.options(**MOUNTED).mode("overwrite").parquet(at)
+        last = number + self.spark.read.parquet(at).count() // self.n  # releases less than n
+        self._cut(last, (ALL, 0, 0))
+        return last + 1
+
+    def _cut(self, number: int, cut: tuple[int, int, int]) -> None:
+        self.cuts[number] = cut
+        row = self.spark.createDataFrame([cut], "priority int, us long, event_id long").coalesce(1)
+        row.write.options(**MOUNTED).mode("overwrite").parquet(f"{self.path}/cuts/batch={number}")
 
     def released(self) -> DataFrame | None:
         """All that was released, with batch and place in it (from 1)."""
-        return self._read("out")
+        one, many = self._read("out"), self._read("drained")
+        if one is None or many is None:
+            return one if many is None else many.drop("first")
+        return one.unionByName(many.drop("first"))
 
     def statistics(self) -> DataFrame:
         """batch, priority, arrived, released, pending (what waits after the batch) of every batch and priority that has had an event."""
         came = self._read("arrived").groupBy(F.col("arrival").alias("batch"), "priority").agg(F.count("*").alias("arrived"))
         went = self.released().groupBy(F.col("batch").cast("long").alias("batch"), "priority").agg(F.count("*").alias("released"))
-        steps = self._read("cuts").select(F.col("batch").cast("long").alias("batch")).crossJoin(came.unionByName(went, True).select("priority").distinct())  # four priorities
+        steps = self._read("cuts").select(F.col("batch").cast("long").alias("batch")).union(went.select("batch")).distinct().crossJoin(came.unionByName(went, True).select("priority").distinct())  # four priorities
         both = steps.join(came, ["batch", "priority"], "left").join(went, ["batch", "priority"], "left").fillna(0, ["arrived", "released"])
         upto = Window.partitionBy("priority").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn("pending", F.sum(F.col("arrived") - F.col("released")).over(upto))

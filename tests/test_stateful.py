@@ -236,6 +236,21 @@ def test_queue_releases_in_order(spark):
     assert [x.n for x in told][:4] == left and told[-1].n == 0
 
 
+@pytest.mark.parametrize("n", [1, 7, 24, 25, 100])
+def test_draining_is_no_job_for_each_trigger(spark, n, monkeypatch):
+    rows = [(i, i % 3, i * 7 % 11) for i in range(24)]
+    df = spark.createDataFrame(rows, "event_id long, priority int, s long").withColumn("ts", F.timestamp_seconds("s"))
+    queue = pending.PendingQueue(spark, n)
+    first = queue.trigger(df, 0)
+    monkeypatch.setattr(queue, "trigger", None)
+    assert queue.drain(1) == 2 + (24 - first) // n
+    order = sorted(rows, key=lambda x: (x[1], x[2], x[0]))
+    assert sorted((x.batch, x.place, x.event_id) for x in queue.released().collect()) == [(i // n, i % n + 1, x[0]) for i, x in enumerate(order)]
+    told = queue.statistics().groupBy("batch").agg(F.sum("released").alias("r"), F.sum("pending").alias("p")).orderBy("batch").collect()
+    assert [(x.r, x.p) for x in told if x.r] == [(min(n, 24 - b), max(0, 24 - b - n)) for b in range(0, 24, n)]
+    assert queue.waiting(99).count() == 0
+
+
 def test_no_row_twice_after_a_failure(spark):
     rows = spark.range(300).withColumn("x", F.col("id") % 7)
     stream, sink, failed = batches.replayed(rows, 3, "id"), batches.Batches(spark, "recovery"), []
