@@ -14,6 +14,8 @@ from rillmark.sources.files import MOUNTED, reachable, scratch
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a replayed file, and files of a part.
+FILE_ROWS, MOST_FILES = 250_000, 1000
 
 
 def replayed(rows: DataFrame, parts: int, *by: str, closing: DataFrame | None = None) -> DataFrame:
@@ -33,12 +35,21 @@ def replayed_in_order(rows: DataFrame, parts: int, column: str = "ts") -> DataFr
 
 
 def _streamed(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
-    """Parts written one after the other, as files are read in the order of their times, a file each and one a trigger."""
+    """Parts written one after the other, as files are read in the order of their times: as many files for each part, and so many a
+    trigger. A part with less rows than that has empty files besides."""
     spark = rows.sparkSession
     path = f"{scratch(spark)}/replay-{uuid.uuid4().hex}"
-    for part in parts:
-        part.coalesce(1).write.options(**MOUNTED).mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    count = rows.count()
+    files = max(1, min(-(-count // (len(parts) * FILE_ROWS)), MOST_FILES))
+    for i, part in enumerate(parts):
+        laid = part.coalesce(1) if files == 1 else part.repartition(files)
+        laid.write.options(**MOUNTED).mode("append").parquet(path)
+        there = sum(status.getPath().getName().endswith(".parquet") for status in fs.listStatus(at))
+        for _ in range((i + 1) * files - there):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.options(**MOUNTED).mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @contextmanager

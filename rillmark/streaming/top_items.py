@@ -93,7 +93,15 @@ def latest(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("_last", last).where("seen = _last").orderBy(F.desc("cnt"), "item").limit(k).select("item", "cnt", "off")
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by item, null too."""
+    for batch in batches:
+        yield from pa.table({"item": batch.column(0)}).group_by("item").aggregate([([], "count_all")]).rename_columns(["item", "n"]).to_batches()
+
+
 def sketch_cells(events: DataFrame, column: str, width: int, depth: int) -> DataFrame:
-    """row, col, cnt: the cells of a Count-Min Sketch of a stream (complete or update mode)."""
-    hit = events.select(frequency.cells(column, width, depth).alias("c"))
-    return hit.groupBy("c.row", "c.col").agg(F.count("*").alias("cnt"))
+    """row, col, cnt: the cells of a Count-Min Sketch of a stream (complete or update mode). A task's items are counted
+    before they are hashed."""
+    items = events.select(F.col(column).alias("item")).mapInArrow(counted, f"item {events.schema[column].dataType.simpleString()}, n long")
+    hit = items.select("n", frequency.cells("item", width, depth).alias("c"))
+    return hit.groupBy("c.row", "c.col").agg(F.sum("n").alias("cnt"))

@@ -334,3 +334,29 @@ def test_a_watch_makes_the_own_list_outdated(spark):
     assert {u for u, x in got.items() if not x[2]} >= {2, 3} and got[77][2]
     told = again.statistics(whole).collect()[0]
     assert told.recommender.users == 4 and told.cache.requests == 10 and told.cache.hits + told.cache.misses == 10
+
+
+def test_a_replayed_part_is_one_batch_of_many_files(spark, monkeypatch):
+    monkeypatch.setattr(batches, "FILE_ROWS", 20)
+    rows = spark.range(300).withColumn("ts", F.timestamp_seconds(F.when(F.col("id") < 3, F.col("id")).otherwise(9)))
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.timestamp_seconds(F.lit(0)).alias("ts"))
+    for stream, parts in ((batches.replayed(rows, 3, closing=last), 4), (batches.replayed_in_order(rows, 3), None)):
+        sink, files = batches.Batches(spark, "files"), []
+        sink.run(stream, take=lambda batch, number: (files.append(batch.select(F.input_file_name()).distinct().count()), sink.write(batch, number)))  # noqa: B023
+        out = sink.rows(stream.schema).groupBy("batch").agg(F.collect_list("id").alias("ids"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("batch").collect()
+        assert sorted(i for r in out for i in r.ids if i >= 0) == list(range(300)) and max(files) > 1
+        if parts:
+            assert len(out) == parts and out[-1].ids == [-1]
+        else:
+            assert all(a.hi < b.lo for a, b in zip(out, out[1:]))
+
+
+def test_cells_of_a_stream_with_null_items(spark):
+    from rillmark.operators import frequency
+    from rillmark.streaming import jobs
+
+    rows = spark.range(500).select(F.when(F.col("id") % 9 > 0, F.col("id") % 13).alias("item"))
+    cells = top_items.sketch_cells(batches.replayed(rows.withColumn("id", F.monotonically_increasing_id()), 3, "id"), "item", 64, 3)
+    want = rows.select(frequency.cells("item", 64, 3).alias("c")).groupBy("c.row", "c.col").count()
+    assert sorted(map(str, jobs.run_to_table(cells, "complete", "cells").collect())) == sorted(str(r).replace("count=", "cnt=") for r in want.collect())
+    assert "MapInArrow" in cells._jdf.queryExecution().analyzed().toString()
