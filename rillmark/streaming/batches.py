@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rillmark.sources.files import MOUNTED, reachable, scratch
+from rillmark.sources.files import MOUNTED, forget, reachable, scratch, stored
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -21,13 +21,14 @@ FILE_ROWS, MOST_FILES = 250_000, 1000
 def replayed(rows: DataFrame, parts: int, *by: str, closing: DataFrame | None = None) -> DataFrame:
     """A table as a stream of ``parts`` micro-batches, dealt by a hash of the columns ``by`` (of all
     columns), so that batches are in no order of time; ``closing`` is a last one of its own."""
+    rows = stored(rows, "rows")  # read for each part
     part = F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(parts))
     return _streamed([rows.where(part == i) for i in range(parts)] + [closing] * (closing is not None), rows)
 
 
 def replayed_in_order(rows: DataFrame, parts: int, column: str = "ts") -> DataFrame:
     """The same by ranges of a column of times."""
-    us = F.unix_micros(column)
+    rows, us = stored(rows, "rows"), F.unix_micros(column)
     cuts = rows.agg(F.percentile_approx(us, [i / parts for i in range(1, parts)], 10_000).alias("cuts")).collect()[0].cuts or []
     ends = [None, *sorted(set(cuts)), None]
     ranges = [(F.lit(True) if a is None else us > a) & (F.lit(True) if b is None else us <= b) for a, b in zip(ends, ends[1:], strict=False)]
@@ -49,6 +50,7 @@ def _streamed(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
         there = sum(status.getPath().getName().endswith(".parquet") for status in fs.listStatus(at))
         for _ in range((i + 1) * files - there):
             spark.createDataFrame([], rows.schema).coalesce(1).write.options(**MOUNTED).mode("append").parquet(path)
+    forget(rows)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 

@@ -31,9 +31,14 @@ def stream_flagged_users(spark, d):
     return jobs.run_to_table(jobs.flagged_users(jobs.event_stream(spark, d), 50), "append", "flags")
 
 
+def expected_keys(spark, d) -> int:
+    """Rows of an index of all customers: each key, and as many again that take the place of others."""
+    return 2 * q.BANDS * src.read_table(spark, d, "customer").count()
+
+
 def stream_lsh_index(spark, d):
     """The banded index after watches have come in micro-batches, the customers that owe money were removed, and it was compacted."""
-    index = LshIndex(spark)
+    index = LshIndex(spark, rows=expected_keys(spark, d))
     changes = signatures.changed_keys(batches.replayed(q.history(spark, d), PARTS), q.K, q.BANDS)
     batches.Batches(spark, "signatures").run(changes, "update", index.apply)
     gone = src.read_table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
@@ -85,7 +90,7 @@ def stream_priority_batches(spark, d):
 def served_recommendations(spark, d):
     """Lists for all customers after half of them have asked before; watches came in micro-batches before both."""
     watches = q.history(spark, d)
-    service = RecommendationService(spark, k=q.K, bands=q.BANDS, neighbours=q.TOP)
+    service = RecommendationService(spark, k=q.K, bands=q.BANDS, neighbours=q.TOP, rows=expected_keys(spark, d))
     service.ingest(batches.replayed(watches, PARTS))
     users = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
     service.serve(users.where("user_id % 2 = 0"), watches, PARTS)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmark.operators import recommend, similarity
-from rillmark.operators.lsh_index import LshIndex
+from rillmark.operators.lsh_index import BUCKET_ROWS, LshIndex
 from rillmark.sources.files import stored
 
 from .batches import Batches
@@ -21,12 +21,12 @@ from .signatures import changed_keys
 
 
 class RecommendationService:
-    """``k`` hashes in ``bands``; lists of ``n`` items from ``neighbours`` similar users, or of the ``n`` most popular."""
+    """``k`` hashes in ``bands``; lists of ``n`` items from ``neighbours`` similar users, or of the ``n`` most popular. ``rows`` as of ``LshIndex``."""
 
-    def __init__(self, spark: SparkSession, user_type: str = "long", item_type: str = "long", k: int = 128, bands: int = 32, neighbours: int = 20, n: int = 10, path: str | None = None):
+    def __init__(self, spark: SparkSession, user_type: str = "long", item_type: str = "long", k: int = 128, bands: int = 32, neighbours: int = 20, n: int = 10, path: str | None = None, rows: int = BUCKET_ROWS):
         self.spark, self.k, self.bands, self.neighbours, self.n = spark, k, bands, neighbours, n
         self.changes = Batches(spark, "service", path)
-        self.index = LshIndex(spark, user_type, path=f"{self.changes.path}/index")
+        self.index = LshIndex(spark, user_type, rows=rows, path=f"{self.changes.path}/index")
         self.touched, self.cache = (Batches(spark, x, f"{self.changes.path}/{x}") for x in ("touched", "cache"))
         self.user = f"user_id {user_type}"
         self.cached = f"{self.user}, items array<{item_type}>, source string, from_cache boolean"

@@ -79,6 +79,26 @@ def test_only_changed_bands_are_given(spark):
     assert one.held.get()[0] == best
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_users_of_a_slice_keep_their_own_signatures(spark, kind, monkeypatch):
+    monkeypatch.setattr(signatures, "SLICES", 2)
+    monkeypatch.setattr(signatures, "CHUNK", 16)
+    r = random.Random(8)
+    rows = [(None if u == 5 else (1 << 60) + u, r.randrange(60), b) for b in range(3) for u in range(12) for _ in range(r.randrange(9)) if u % 4 != b]
+    watches = spark.createDataFrame(rows, "user_id long, item long, b int").withColumn("user_id", F.col("user_id").cast(kind))
+    sink = batches.Batches(spark, "slices")
+    changed = signatures.changed_keys(batches.replayed(watches, 3, "b", "user_id"), 8, 4, mark=True)
+    assert "slice" in changed._jdf.queryExecution().analyzed().toString()
+    now, marks = {}, 0
+    for x in sorted(sink.run(changed, "update").rows(changed.schema).collect(), key=lambda x: (x.batch, not x.gone)):
+        if x.band < 0:
+            marks += 1
+        else:
+            assert (now.pop((x.user_id, x.band)) if x.gone else now.setdefault((x.user_id, x.band), x["key"])) == x["key"]
+    want = similarity.band_keys(similarity.signatures(watches, 8), 8, 4).collect()
+    assert now == {(x.user_id, x.band): x["key"] for x in want} and marks >= len({u for u, _, _ in rows})
+
+
 def keys_of(rows, spark):
     return spark.createDataFrame(rows, "user_id long, band int, key string")
 
