@@ -322,6 +322,28 @@ class Ids:
 def nearest(blocks: Blocks, k: int):
     """The k most similar of each user of a block, ties by id."""
 
+    def give(block, ids, user, at, v, similarity):
+        top, _ = best(at, similarity, v, k)
+        yield rows(to=[block], kind=[1], body=[pack(ids.back(user[top]), ids.back(v[top]), similarity[top].view(np.int64))])
+
+    return counted(blocks, give)
+
+
+def pairs_from(blocks: Blocks, threshold: float):
+    """u < v and similarity of each pair, with a common item and that similarity at least, whose first is in a block."""
+
+    def give(block, ids, user, at, v, similarity):
+        kept = np.flatnonzero((user < v) & (similarity >= threshold))
+        for a in range(0, len(kept), BODY):
+            part = kept[a : a + BODY]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.back(user[part])), pa.array(ids.back(v[part])), pa.array(similarity[part])], names=["u", "v", "similarity"])
+
+    return counted(blocks, give)
+
+
+def counted(blocks: Blocks, give: Callable):
+    """What ``give`` makes of some users of a block (``user``, numbered by ``at``), all they share items with, and how similar these are."""
+
     def count(batches):
         ids, counts, sizes, own_user, own_list, block, n_lists = Ids(blocks.lo, blocks.hi), [], [], [], [], None, 0
         held_ids = Column(ids.kind)
@@ -362,6 +384,13 @@ def nearest(blocks: Blocks, k: int):
                     both += np.bincount(flat[places(starts[held[some]], counts[held[some]])], minlength=len(both))
                 v = np.flatnonzero(both)
                 at, both = np.zeros(len(v), np.int64), both[v]
+            elif (part.stop - part.start) * len(ids.all) <= 2 * counts[held].sum():  # they share with nearly all
+                n_all = len(ids.all)
+                key = np.repeat(np.repeat(np.arange(part.stop - part.start) * n_all, n_own[part]), counts[held])
+                key += flat[places(starts[held], counts[held])]
+                both = np.bincount(key, minlength=(part.stop - part.start) * n_all)
+                key = np.flatnonzero(both)
+                both, at, v = both[key], key // n_all, key % n_all
             else:
                 key = np.repeat(np.repeat(np.arange(part.stop - part.start) << 32, n_own[part]), counts[held])
                 key |= flat[places(starts[held], counts[held])]
@@ -374,8 +403,7 @@ def nearest(blocks: Blocks, k: int):
             other = user != v
             at, v, both, user = at[other], v[other], both[other], user[other]
             similarity = both / (size[user] + size[v] - both)
-            top, _ = best(at, similarity, v, k)
-            yield rows(to=[block], kind=[1], body=[pack(ids.back(user[top]), ids.back(v[top]), similarity[top].view(np.int64))])
+            yield from give(block, ids, user, at, v, similarity)
 
     return count
 
@@ -529,14 +557,14 @@ def collect_garbage(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> DataFrame:
-    """user_id, item, score, rank: what ``recommend`` gives with the nearest of ``exact_pairs``."""
+def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataFrame, DataFrame, Blocks, dict[str, DataFrame | None]]:
+    """Histories, lists of items with several users, blocks of users, and what leads back to ids. With ``nulls_meet`` the null item is one like others."""
     spark = watches.sparkSession
     reachable(spark)
-    kinds = {c: watches.schema[c].dataType for c in ("user_id", "item")}
     seen, user_ids = numbered(watches.select("user_id", "item").where("user_id is not null"), "user_id")
     seen, item_ids = numbered(seen, "item")
-    item = F.when(F.col("item").cast("long") == int(NULL), F.raise_error(F.lit("an item's id is the highest long"))).otherwise(F.coalesce(F.col("item").cast("long"), F.lit(int(NULL))))
+    known, null = F.col("item").cast("long"), int(NULL) - nulls_meet
+    item = F.when(known >= null, F.raise_error(F.lit("an item's id is the highest long"))).otherwise(F.coalesce(known, F.lit(null)))
     seen = seen.select(F.col("user_id").cast("long").alias("user_id"), item.alias("item"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -554,13 +582,34 @@ def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> Da
         weights[r.cell] = r.weight
     blocks = Blocks(weights, lo, hi, spark.sparkContext.defaultParallelism)
     collect_garbage(spark)
+    return own, shared, blocks, {"user_id": user_ids, "item": item_ids}
+
+
+def similar_pairs(watches: DataFrame, threshold: float = 0.0, nulls_meet: bool = False) -> DataFrame:
+    """u < v, similarity of all pairs of users with a common item whose Jaccard similarity is ``threshold`` or more.
+
+    Pairs are counted in blocks, and only those that are given are ever rows; nothing of them is shuffled.
+    """
+    _, shared, blocks, ids = lists_in_blocks(watches, nulls_meet)
+    out = deal(shared, blocks.n, blocks.lists_for).mapInArrow(pairs_from(blocks, threshold), "u long, v long, similarity double")
+    for side in "uv":
+        if ids["user_id"] is not None:
+            out = out.join(ids["user_id"].withColumnRenamed("user_id", "_id"), F.col(side) == F.col("_n"), "left").drop(side, "_n").withColumnRenamed("_id", side)
+    return out.select(*(F.col(c).cast(watches.schema["user_id"].dataType).alias(c) for c in "uv"), "similarity")
+
+
+def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> DataFrame:
+    """user_id, item, score, rank: what ``recommend`` gives with the nearest of ``exact_pairs``."""
+    spark, kinds = watches.sparkSession, {c: watches.schema[c].dataType for c in ("user_id", "item")}
+    own, shared, blocks, ids_of = lists_in_blocks(watches)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = stored(deal(shared, blocks.n, blocks.lists_for).mapInArrow(nearest(blocks, neighbours), DEALT), "nearest")
     forget(shared)
     collect_garbage(spark)
     histories_ = own.mapInArrow(history_rows(n), DEALT).unionByName(near.mapInArrow(asked(blocks, n), DEALT))
     there = deal(histories_, n).mapInArrow(answered, DEALT).unionByName(near)
     out = deal(there, blocks.n).mapInArrow(items_of_nearest(neighbours, k), "user_id long, item long, score double, rank int")
-    for column, ids in (("user_id", user_ids), ("item", item_ids)):
+    for column, ids in ids_of.items():
         if ids is not None:
             out = out.join(ids.withColumnRenamed(column, "_id"), F.col(column) == F.col("_n"), "left").drop(column, "_n").withColumnRenamed("_id", column)
     return out.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("user_id", "item")), "score", "rank")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from rillmark.functions.text import hash32
 from rillmark.sources.files import stored
 
+from . import neighbours
+
 PRIME = (1 << 31) - 1
 #: Members of a bucket that are compared in one task.
 BLOCK = 2000
@@ -127,48 +129,20 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def exact_pairs(watches: DataFrame) -> DataFrame:
-    """u < v with a common item, and their Jaccard similarity: a self-join on items, so its cost
-    is the square of an item's popularity; see ``candidates`` for popular items."""
-    seen = watches.select("user_id", "item").distinct()
-    sizes = seen.groupBy("user_id").agg(F.count("*").alias("n"))
-    one, two = seen.toDF("u", "item"), seen.toDF("v", "item")
-    common = one.join(two, "item").where("u < v").groupBy("u", "v").agg(F.count("*").alias("c"))
-    with_sizes = common.join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
-    return with_sizes.select("u", "v", (F.col("c").cast("double") / (F.col("nu") + F.col("nv") - F.col("c"))).alias("similarity"))
+    """u < v with a common item, and their Jaccard similarity: every pair is counted, in blocks of users (see ``neighbours``), so no
+    rows of pairs are shuffled; the result has all pairs all the same. See ``candidates`` for popular items."""
+    return neighbours.similar_pairs(watches)
 
 
 def pairs_at_least(watches: DataFrame, threshold: float) -> DataFrame:
     """u < v, similarity of all pairs whose Jaccard similarity is ``threshold`` (over 0) or more.
 
-    Users with equal sets are one class. A class's items are ordered by rarity, and only as many of the rarest are
-    looked up as a similar set can't all lack; a pair that meets in one must fit by size and by what can follow in
-    both after the places where they meet. What is left is compared whole, once. So items that are everywhere are
-    joined only where a set has nothing rarer, and the rows that are shuffled fall as the threshold rises.
+    Pairs are counted as by ``exact_pairs``, and those below the threshold are dropped where they are counted. The null item
+    is one like others here.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a threshold is over 0 and at most 1")
-    t, small = F.lit(float(threshold)), 1e-9
-    seen = watches.where("user_id is not null").select("user_id", "item").distinct()
-    counts = seen.groupBy(F.col("item").alias("_item")).agg(F.count("*").alias("n"))
-    ranked = seen.join(counts, F.col("item").eqNullSafe(F.col("_item"))).select("user_id", F.struct("n", "item").alias("r"))
-    sets = ranked.groupBy("user_id").agg(F.sort_array(F.collect_list("r")).alias("items"))
-    classes = sets.groupBy("items").agg(F.sort_array(F.collect_list("user_id")).alias("users"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "items", "users", F.size("items").alias("size")), "classes")
-    first = F.col("size") - F.ceil(t * F.col("size") - small).cast("int") + 1
-    heads = classes.select("id", "size", F.posexplode(F.slice("items", F.lit(1), first)).alias("place", "item"))
-    one, two = (heads.select("item", *(F.col(c).alias(c + side) for c in ("id", "size", "place"))) for side in "12")
-    least = F.ceil(t / (1 + t) * (F.col("size1") + F.col("size2")) - small)
-    rest = 1 + F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) - 1
-    fits = (F.col("size1") >= t * F.col("size2") - small) & (F.col("size2") >= t * F.col("size1") - small) & (rest >= least)
-    meet = one.join(two, "item").where((F.col("id1") < F.col("id2")) & fits).select("id1", "id2").distinct()
-    whole = lambda side: classes.select(*(F.col(c).alias(c + side) for c in ("id", "items", "users", "size")))
-    both = meet.join(whole("1"), "id1").join(whole("2"), "id2")
-    common = F.size(F.array_intersect("items1.item", "items2.item"))
-    scored_ = both.withColumn("similarity", common.cast("double") / (F.col("size1") + F.col("size2") - common)).where(F.col("similarity") >= threshold)
-    apart = scored_.select("similarity", F.explode("users1").alias("a"), "users2").select("similarity", "a", F.explode("users2").alias("b"))
-    alike = classes.where(F.size("users") > 1).select("users", F.posexplode("users").alias("_i", "a"))
-    alike = alike.select(F.lit(1.0).alias("similarity"), "a", F.explode(F.slice("users", F.col("_i") + 2, F.greatest(F.lit(0), F.size("users") - F.col("_i") - 1))).alias("b"))
-    return apart.unionByName(alike).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "similarity")
+    return neighbours.similar_pairs(watches, threshold, nulls_meet=True)
 
 
 def jaccard(one, two):

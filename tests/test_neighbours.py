@@ -131,3 +131,16 @@ def test_blocks_of_crowded_ranges():
     assert 0 <= block.min() and block.max() < blocks.n and blocks.cuts[5] >= 500
     assert len(set(block[50:60].tolist())) > 5 and len(set(block[1000:2000].tolist())) >= 9
     assert blocks.of(users[1234:1300]).tolist() == block[1234:1300].tolist()
+
+
+@pytest.mark.parametrize(("items", "kind"), [(9, "string"), (4000, "long")])
+def test_pairs_are_counted_without_rows_of_them(spark, items, kind):
+    r = random.Random(11)
+    rows = [(1000 + u, r.randrange(items)) for u in range(90) for _ in range(r.randrange(1, 7))]
+    watches = spark.createDataFrame(rows, "user_id long, item long").select(F.col("user_id").cast(kind).alias("user_id"), "item")
+    sets = {u: {i for v, i in rows if v == u} for u, _ in rows}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    for got, t in ((similarity.exact_pairs(watches), 0), (similarity.pairs_at_least(watches, 0.2), 0.2)):
+        found = got.collect()
+        assert {(int(x.u), int(x.v)): x.similarity for x in found} == {p: s for p, s in share.items() if s >= t} and len(found) == len({(x.u, x.v) for x in found})
+        assert kind == "string" or "Join" not in got._jdf.queryExecution().executedPlan().toString()
