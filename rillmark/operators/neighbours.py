@@ -28,11 +28,11 @@ from rillmark.sources.files import forget, reachable, stored
 #: Stands for a null item, after all others.
 NULL = np.iinfo(np.int64).max
 #: Places of lists to be counted in a block, and in one that keeps a core of a small session busy.
-WEIGHT, LEAST_WEIGHT = 1 << 26, 1 << 22
+WEIGHT, LEAST_WEIGHT = 1 << 23, 1 << 22
 #: Ranges that weights are known by, places of lists in a packed row, places counted at once, and the
 #: span of ids up to which a table of all of them is kept.
 CELLS, BODY, BATCH, SPAN = 4096, 1 << 16, 1 << 19, 1 << 24
-#: Rows of a task that deals items out to lists.
+#: Rows of a task that deals items out to lists, or histories to who asks for them.
 ROWS = 750_000
 DEALT = "to int, kind int, body binary"
 
@@ -153,20 +153,30 @@ def columns_of(batches, least: int) -> Iterator[list[np.ndarray]]:
 # ---- users, lists and blocks -----------------------------------------------------------------
 
 
+def whole_users(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Users and items that come in their order, in pieces of about ``4 * BODY`` rows that end with a user's last row."""
+    rest = None
+    for u, i in columns_of(batches, 4 * BODY):
+        if rest is not None:
+            u, i = np.append(rest[0], u), np.append(rest[1], i)
+        new = np.append(True, (u[1:] != u[:-1]) | (i[1:] != i[:-1]))
+        u, i = u[new], i[new]
+        cut = int(np.searchsorted(u, u[-1]))
+        if cut:
+            yield u[:cut], i[:cut]
+        rest = u[cut:], i[cut:]
+    if rest is not None:
+        yield rest
+
+
 def histories(batches) -> Iterator[pa.RecordBatch]:
-    """The different items of each user of a task."""
-    u, i = joined([unpack(body) for _, _, body in bodies(batches)], np.int64, np.int64)
-    if not len(u):
-        return
-    order = np.lexsort((i, u))
-    u, i = u[order], i[order]
-    new = np.append(True, (u[1:] != u[:-1]) | (i[1:] != i[:-1]))
-    u, i = u[new], i[new]
-    first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
-    users, counts = u[first], np.diff(np.append(first, len(u)))
-    for part in parts_of(counts, 4 * BODY):
-        own = i[first[part][0] : first[part][0] + counts[part].sum()]
-        yield rows(body=[pack_lists(users[part], counts[part], own)], entries=[len(own)], lo=[users[part][0]], hi=[users[part][-1]])
+    """The different items of each user of a task, which gets them in order and holds a piece of them."""
+    for u, i in whole_users(batches):
+        first = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        users, counts = u[first], np.diff(np.append(first, len(u)))
+        for part in parts_of(counts, 4 * BODY):
+            own = i[first[part][0] : first[part][0] + counts[part].sum()]
+            yield rows(body=[pack_lists(users[part], counts[part], own)], entries=[len(own)], lo=[users[part][0]], hi=[users[part][-1]])
 
 
 def cells_of(users: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -557,8 +567,8 @@ def collect_garbage(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataFrame, DataFrame, Blocks, dict[str, DataFrame | None]]:
-    """Histories, lists of items with several users, blocks of users, and what leads back to ids. With ``nulls_meet`` the null item is one like others."""
+def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataFrame, DataFrame, Blocks, int, dict[str, DataFrame | None]]:
+    """Histories, lists of items with several users, blocks of users, among how many tasks rows are dealt, and what leads back to ids. With ``nulls_meet`` the null item is one like others."""
     spark = watches.sparkSession
     reachable(spark)
     seen, user_ids = numbered(watches.select("user_id", "item").where("user_id is not null"), "user_id")
@@ -566,13 +576,8 @@ def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataF
     known, null = F.col("item").cast("long"), int(NULL) - nulls_meet
     item = F.when(known >= null, F.raise_error(F.lit("an item's id is the highest long"))).otherwise(F.coalesce(known, F.lit(null)))
     seen = seen.select(F.col("user_id").cast("long").alias("user_id"), item.alias("item"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def by_user(batches):
-        for u, i in columns_of(batches, 1 << 20):
-            yield from dealt(bucket(u, n), 0, u, i)
-
-    own = stored(deal(seen, n, by_user).mapInArrow(histories, "body binary, entries long, lo long, hi long"), "histories")
+    in_order = seen.repartition("user_id").sortWithinPartitions("user_id", "item")
+    own = stored(in_order.mapInArrow(histories, "body binary, entries long, lo long, hi long"), "histories")
     known = own.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()[0]
     lo, hi = known.lo or 0, known.hi or 0
     m = max(spark.sparkContext.defaultParallelism, -(-known.entries // ROWS))
@@ -582,7 +587,7 @@ def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataF
         weights[r.cell] = r.weight
     blocks = Blocks(weights, lo, hi, spark.sparkContext.defaultParallelism)
     collect_garbage(spark)
-    return own, shared, blocks, {"user_id": user_ids, "item": item_ids}
+    return own, shared, blocks, m, {"user_id": user_ids, "item": item_ids}
 
 
 def similar_pairs(watches: DataFrame, threshold: float = 0.0, nulls_meet: bool = False) -> DataFrame:
@@ -590,7 +595,7 @@ def similar_pairs(watches: DataFrame, threshold: float = 0.0, nulls_meet: bool =
 
     Pairs are counted in blocks, and only those that are given are ever rows; nothing of them is shuffled.
     """
-    _, shared, blocks, ids = lists_in_blocks(watches, nulls_meet)
+    _, shared, blocks, _, ids = lists_in_blocks(watches, nulls_meet)
     out = deal(shared, blocks.n, blocks.lists_for).mapInArrow(pairs_from(blocks, threshold), "u long, v long, similarity double")
     for side in "uv":
         if ids["user_id"] is not None:
@@ -601,8 +606,7 @@ def similar_pairs(watches: DataFrame, threshold: float = 0.0, nulls_meet: bool =
 def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> DataFrame:
     """user_id, item, score, rank: what ``recommend`` gives with the nearest of ``exact_pairs``."""
     spark, kinds = watches.sparkSession, {c: watches.schema[c].dataType for c in ("user_id", "item")}
-    own, shared, blocks, ids_of = lists_in_blocks(watches)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own, shared, blocks, n, ids_of = lists_in_blocks(watches)
     near = stored(deal(shared, blocks.n, blocks.lists_for).mapInArrow(nearest(blocks, neighbours), DEALT), "nearest")
     forget(shared)
     collect_garbage(spark)

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
@@ -144,3 +145,35 @@ def test_pairs_are_counted_without_rows_of_them(spark, items, kind):
         found = got.collect()
         assert {(int(x.u), int(x.v)): x.similarity for x in found} == {p: s for p, s in share.items() if s >= t} and len(found) == len({(x.u, x.v) for x in found})
         assert kind == "string" or "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_do_not_grow_with_the_input():
+    """6, 60 and 360 copies of the 0.1 tables have 18 million places each: a block of many copies has no more than one of few."""
+    a_block = []
+    for copies in (6, 60, 360):
+        blocks = neighbours.Blocks(np.full(neighbours.CELLS, copies * 18e6 / neighbours.CELLS), 0, copies * 15_000, 12)
+        a_block.append(copies * 18e6 / blocks.n)
+    assert max(a_block) < 1.1 * a_block[0]
+
+
+def test_histories_come_while_rows_are_read():
+    """A task's rows come in order and leave in pieces, each with all items of its users; only a piece is held."""
+    taken, most, given = 0, 0, []
+    users = np.repeat(np.arange(60_000), 20)
+    items = np.tile(np.repeat(np.arange(10), 2), 60_000)  # every row twice
+
+    def batches():
+        nonlocal taken
+        for a in range(0, len(users), 7_777):
+            taken = a
+            yield pa.RecordBatch.from_arrays([pa.array(users[a : a + 7_777]), pa.array(items[a : a + 7_777])], names=["user_id", "item"])
+
+    done = 0
+    for batch in neighbours.histories(batches()):
+        own, counts, held = neighbours.unpack_lists(batch.column("body")[0].as_buffer())
+        given += own.tolist()
+        assert set(counts.tolist()) == {10} and held.tolist() == list(range(10)) * len(own)
+        done += 20 * len(own)
+        most = max(most, taken - done)
+    assert given == list(range(60_000)) and most < neighbours.BODY
+    assert list(neighbours.histories(iter([]))) == []
