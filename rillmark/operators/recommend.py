@@ -9,6 +9,9 @@ from rillmark.sources.files import stored
 
 from . import similarity as sim
 
+#: Items of neighbours that a task adds up, at most if users have as many as others.
+PLACES = 1 << 22
+
 
 def recommend(watches: DataFrame, neighbours: DataFrame, k: int = 10) -> DataFrame:
     """user_id, item, score, rank: unseen items by the summed similarity of the neighbours that
@@ -21,6 +24,24 @@ def recommend(watches: DataFrame, neighbours: DataFrame, k: int = 10) -> DataFra
     return unseen.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
 
 
+def recommend_from_profiles(profiles: DataFrame, neighbours: DataFrame, most: int, k: int = 10) -> DataFrame:
+    """What ``recommend`` gives of the watches in ``similarity.profiles``, with up to ``most`` neighbours of a user.
+
+    A null item is never seen and comes last. A neighbour's items go to the user as one array, and the user's own as well; there they are added up and ranked without being
+    shuffled again, in as many tasks as items need, so that a task's share doesn't grow with the input.
+    """
+    spark = profiles.sparkSession
+    lists = profiles.where("user_id is not null").select("user_id", F.array_distinct("watched.item").alias("items"))
+    entries = profiles.agg(F.coalesce(F.sum(F.size("watched")), F.lit(0)).alias("n")).first().n
+    tasks = max(spark.sparkContext.defaultParallelism, -(-entries * (most + 1) // PLACES))
+    given = neighbours.select("u", "v", "similarity").join(lists.toDF("v", "items"), "v").select(F.col("u").alias("user_id"), "similarity", F.lit(False).alias("own"), "items")
+    own = lists.select("user_id", F.lit(0.0).alias("similarity"), F.lit(True).alias("own"), F.filter("items", lambda x: x.isNotNull()).alias("items"))
+    there = given.unionByName(own).repartition(tasks, "user_id").select("user_id", "similarity", "own", F.explode("items").alias("item"))
+    scores = there.groupBy("user_id", "item").agg(F.round(F.sum("similarity"), 9).alias("score"), F.max("own").alias("seen")).where("not seen").drop("seen")
+    top = Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc_nulls_last("item"))
+    return scores.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+
+
 def popular(watches: DataFrame, k: int) -> DataFrame:
     """item, score, rank of the k most watched items: at most k rows."""
     counts = watches.groupBy("item").agg(F.count("*").cast("double").alias("score")).orderBy(F.desc("score"), "item").limit(k)
@@ -30,7 +51,7 @@ def popular(watches: DataFrame, k: int) -> DataFrame:
 def with_fallback(users: DataFrame, recommended: DataFrame, watches: DataFrame, k: int) -> DataFrame:
     """Users without a recommendation get what is popular, seen or not; broadcasts k rows."""
     recommended = stored(recommended, "recommended")  # read twice
-    rest = users.select("user_id").distinct().join(recommended, "user_id", "left_anti")
+    rest = users.select("user_id").distinct().join(recommended.select("user_id").distinct(), "user_id", "left_anti")
     offered = rest.crossJoin(F.broadcast(popular(watches, k)))
     cols = ["user_id", "item", "score", "rank"]
     return recommended.select(*cols, F.lit("similar").alias("source")).unionByName(offered.select(*cols, F.lit("popular").alias("source")))

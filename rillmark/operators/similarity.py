@@ -33,11 +33,31 @@ def item_hash(item):
     return F.pmod(hash32(item, "mh"), F.lit(PRIME))
 
 
+def minima(k: int, seed: int) -> list:
+    """Of ``_h``, an item's hash."""
+    return [F.min(F.pmod(F.col("_h") * a + b, F.lit(PRIME))).alias(f"_m{i}") for i, (a, b) in enumerate(family(k, seed))]
+
+
 def signatures(watches: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """user_id, sig: k minima in one aggregation, combined before the shuffle, without exploding."""
     hashed = watches.select("user_id", item_hash(F.col("item")).alias("_h"))
-    minima = [F.min(F.pmod(F.col("_h") * a + b, F.lit(PRIME))).alias(f"_m{i}") for i, (a, b) in enumerate(family(k, seed))]
-    return hashed.groupBy("user_id").agg(*minima).select("user_id", F.array(*(f"_m{i}" for i in range(k))).alias("sig"))
+    return hashed.groupBy("user_id").agg(*minima(k, seed)).select("user_id", F.array(*(f"_m{i}" for i in range(k))).alias("sig"))
+
+
+def profiles(watches: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """user_id, sig (as ints; null without an item that is not null), watched (structs of an item, one for each watch).
+
+    Watches are shuffled once, as rows of two ids, and what is read again is written with a row for each user, which is in one task.
+    """
+    hashed = watches.repartition("user_id").select("user_id", "item", item_hash(F.col("item")).alias("_h"))
+    held = hashed.groupBy("user_id").agg(*minima(k, seed), F.sort_array(F.collect_list(F.struct("item"))).alias("watched"))
+    sig = F.when(F.col("_m0").isNotNull(), F.array(*(F.col(f"_m{i}").cast("int") for i in range(k))))
+    return stored(held.select("user_id", sig.alias("sig"), "watched"), "profiles")
+
+
+def watches_of(held: DataFrame) -> DataFrame:
+    """user_id, item of the watches in ``profiles``."""
+    return held.select("user_id", F.explode("watched").alias("_w")).select("user_id", "_w.item")
 
 
 def signatures_of(users: DataFrame, watches: DataFrame, k: int, seed: int = 42) -> DataFrame:
@@ -65,6 +85,17 @@ def band_keys(sigs: DataFrame, k: int, bands: int) -> DataFrame:
     return sigs.select("user_id", F.posexplode(keys).alias("band", "key"))
 
 
+def packed_keys(sigs: DataFrame, k: int, bands: int) -> DataFrame:
+    """``band_keys`` with a long as key, where a band's rows fit in one: minima have 31 bits."""
+    rows = k // bands
+    if rows > 2:
+        return band_keys(sigs, k, bands)
+    lsh_threshold(k, bands)
+    at = lambda b, r: F.col("sig")[b * rows + r].cast("long")
+    keys = F.array(*(at(b, 0) if rows == 1 else F.shiftleft(at(b, 0), 31) + at(b, 1) for b in range(bands)))
+    return sigs.select("user_id", F.posexplode(keys).alias("band", "key"))
+
+
 def in_blocks(keys: DataFrame, member: str) -> DataFrame:
     """band, key, i, j, own, ``member`` of buckets with several members: a bucket of many is cut into blocks of some ``BLOCK``
     members, and a member goes to each pair of blocks that its own is one of."""
@@ -94,7 +125,7 @@ def nearest_by_class(sigs: DataFrame, k: int, bands: int, top: int) -> DataFrame
     of_class = Window.partitionBy("class").orderBy("user_id")
     some = members.withColumn("_r", F.row_number().over(of_class)).where(F.col("_r") <= top + 1).select(F.col("class").alias("d"), F.col("user_id").alias("v"))
     own = members.where("class = user_id").select("user_id", "sig")
-    pairs = scored(candidates(band_keys(own, k, bands)), own, k)
+    pairs = scored(candidates(packed_keys(own, k, bands)), own, k)
     self_ = own.select(F.col("user_id").alias("c"), F.col("user_id").alias("d"), F.lit(1.0).alias("similarity"))
     met = both_ways(pairs).toDF("c", "d", "similarity").unionByName(self_)
     best = Window.partitionBy("c").orderBy(F.desc("similarity"), "v")

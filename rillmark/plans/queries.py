@@ -444,8 +444,12 @@ def recommend_exact(spark, d):
 
 @query(f"with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, {TWO_SQL.format(e='e', n=TOP)}, {REC_SQL} select * from rec")
 def recommend_lsh(spark, d):
-    w = history(spark, d)
-    return recommend.recommend(w, similarity.nearest_by_class(similarity.signatures(w, K), K, BANDS, TOP), 10)
+    return recommended(similarity.profiles(history(spark, d), K))
+
+
+def recommended(profiles: DataFrame) -> DataFrame:
+    sigs = profiles.where("user_id is not null and sig is not null").select("user_id", "sig")
+    return recommend.recommend_from_profiles(profiles, similarity.nearest_by_class(sigs, K, BANDS, TOP), TOP, 10)
 
 
 @query(f"""with {SIG_SQL}, {BAND_SQL}, {EST_SQL}, {TWO_SQL.format(e='e', n=TOP)}, {REC_SQL},
@@ -453,9 +457,9 @@ pop as (select *, cast(row_number() over (order by score desc, item) as integer)
 select user_id, item, score, rank, 'similar' as source from rec union all
 select c_custkey, item, score, rank, 'popular' from customer, pop where c_custkey not in (select user_id from rec)""")
 def recommend_fallback(spark, d):
-    w = history(spark, d)
+    profiles = similarity.profiles(history(spark, d), K)
     users = src.read_table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
-    return recommend.with_fallback(users, recommend_lsh(spark, d), w, 10)
+    return recommend.with_fallback(users, recommended(profiles), similarity.watches_of(profiles), 10)
 
 
 @query(f"with {WATCH_SQL} select count(distinct user_id) users, count(distinct item) items, 0.4204::double as lsh_threshold from w")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rillmark.operators import bots, prefix, priority, similarity, windows
+from rillmark.operators import bots, prefix, priority, recommend, similarity, windows
+from rillmark.plans import queries
 
 
 @pytest.mark.parametrize("block", [1, 3, 2000])
@@ -85,3 +88,63 @@ def test_suggestions_by_blocks(spark, span):
         want += [(i, q, t, -n, rank) for rank, (n, t) in enumerate(best, 1)]
         counts[q] = counts.get(q, 0) + 1
     assert sorted(tuple(x) for x in got.select("search_id", "query", "term", "freq", "rank").collect()) == sorted(want)
+
+
+def shuffled_rows(spark, group: str, run) -> int:
+    """Rows that the stages of what ``run`` does have shuffled."""
+    context = spark.sparkContext
+    context.setJobGroup(group, "")
+    run()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    out, seen = 0, context.statusTracker()
+    for stage in {s for j in seen.getJobIdsForGroup(group) for s in seen.getJobInfo(j).stageIds}:
+        try:
+            out += context._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteRecords()
+        except Py4JJavaError:  # skipped
+            continue
+    return out
+
+
+def watched(spark, path, rows, customers=0):
+    """Tables in which each watch is a line of an order of its own."""
+    lines = spark.createDataFrame([(n, i, u) for n, (u, i) in enumerate(rows)], "l_orderkey long, l_partkey long, u long")
+    lines.drop("u").write.parquet(f"{path}/lineitem.parquet")
+    lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("u").alias("o_custkey")).write.parquet(f"{path}/orders.parquet")
+    spark.range(customers).select(F.col("id").alias("c_custkey")).write.parquet(f"{path}/customer.parquet")
+
+
+@pytest.mark.parametrize("name", ["recommend_lsh", "recommend_fallback"])
+def test_items_of_neighbours_are_not_shuffled_as_rows(spark, tmp_path, name):
+    """420 users in groups of 21 that share 60 items and have 10 of their own: 20 neighbours bring 260 items to each."""
+    rows = [(u, 1000 * (u // 21) + i) for u in range(420) for i in range(60)] + [(u, 100_000 + 10 * u + i) for u in range(420) for i in range(10)]
+    watched(spark, str(tmp_path), rows, 430)
+    found = []
+    n = shuffled_rows(spark, f"rows of {name}", lambda: found.extend(queries.queries()[name](spark, str(tmp_path)).collect()))
+    assert len({x.user_id for x in found if name == "recommend_lsh" or x.source == "similar"}) > 400
+    assert n < 2.7 * len(rows)  # lines by order, watches by user, and little else
+
+
+@pytest.mark.parametrize("name", ["recommend_lsh", "recommend_fallback"])
+def test_recommendations_of_odd_rows(spark, tmp_path, name):
+    """Repeated watches, null items, users of null items only and a null user, as in SQL."""
+    r = random.Random(4)
+    rows = [(u, r.randrange(8) + 8 * (u % 4)) for u in range(60) for _ in range(9)]
+    rows += [(u, None) for u in range(0, 60, 5) for _ in range(2)] + [(u, None) for u in (70, 71)] + [(None, i) for i in range(8)] + [(80, 999)]
+    watched(spark, str(tmp_path), rows, 90)
+    got = queries.queries()[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    for t in ("lineitem", "orders", "customer"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(queries.oracle_sql()[name]).fetchall()
+    same = lambda rows: sorted(rows, key=lambda x: (x[0], x[3]))
+    assert same(map(tuple, got.collect())) == same(want) and any(x[1] is None for x in want)
+
+
+def test_recommendations_from_profiles(spark):
+    r = random.Random(6)
+    w = spark.createDataFrame([(u, r.randrange(10) + 5 * (u % 6)) for u in range(80) for _ in range(7)], "user_id long, item long")
+    near = similarity.nearest_by_class(similarity.signatures(w, 16), 16, 8, 5)
+    order = lambda df: sorted((x.user_id, x["rank"], x.item, x.score) for x in df.collect())
+    held = similarity.profiles(w, 16)
+    assert order(recommend.recommend_from_profiles(held, near, 5, 4)) == order(recommend.recommend(w, near, 4))
+    assert sorted(map(tuple, similarity.watches_of(held).collect())) == sorted(map(tuple, w.collect()))
