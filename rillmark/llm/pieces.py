@@ -3,10 +3,11 @@
 ``Normalizer`` rewrites a text by longest-prefix replacement through the model's compiled
 character map (a double array of unit words followed by the replacement strings) and records for
 every normalised byte the original byte it comes from. The normalised text falls into chunks at
-every space mark behind another character and around line ends (no piece crosses there); chunks not met before by
-this worker are merged together as one ragged array (``ragged``), and the rest of the
-normalised text is looked up. Every piece is projected to the span of original bytes it covers;
-the spans of a text tile it.
+every space mark behind another character and around line ends (no piece crosses there); chunks that this
+worker doesn't know are merged together as one ragged array (``ragged``), and the rest of the
+normalised text is looked up. A worker knows some ``MEMO`` chunks: when there are more it forgets the less used half, so
+that common ones are merged once. The pieces of many texts are one array, from which their numbers in decimal and their bytes are
+taken at once. Every piece is projected to the span of original bytes it covers; the spans of a text tile it.
 
 Defined results: a null text is empty and has the end id only, which decodes to an empty text; very long texts are
 encoded whole, by one task each; rows are independent, so ties, repeated rows and empty tables need no rule; columns other than
@@ -17,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,12 @@ from .common import memo, table
 from .ragged import PairTable, merge_all, merge_one
 
 SPACE = "▁"
-MEMO = 250_000
+DOUBLE = SPACE * 2
+#: Chunks that a worker knows, and pieces of a chunk that it remembers.
+MEMO, LONG = 400_000, 64
 CHUNKS = 20_000
+#: Pieces whose bytes are put together at once.
+SLICE = 1 << 20
 #: Kinds of piece in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -128,11 +135,25 @@ class Normalizer:
         return out.decode(), np.array([*source, len(data)], np.int64)
 
 
-class Encoder(dict):
-    """Chunk of normalised text -> (ids, ids as text, bytes of each piece)."""
+def taken(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``starts``, one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+class Coded(NamedTuple):
+    """Pieces of texts, the end id of each among them, and the normalised bytes they cover; text i has those from ``bounds[i]`` to ``bounds[i + 1]``."""
+
+    ids: np.ndarray
+    lengths: np.ndarray
+    bounds: np.ndarray
+
+
+class Encoder:
+    """Encodes and decodes texts. ``place`` numbers the chunks of normalised text that are known; None stands for a text's end."""
 
     def __init__(self, path: str):
-        super().__init__()
         from sentencepiece import sentencepiece_model_pb2
 
         model = sentencepiece_model_pb2.ModelProto()
@@ -170,19 +191,27 @@ class Encoder(dict):
                     pairs[a, b] = (ranks[pieces[i].score], i)
         self.table = PairTable(pairs)
         self.sizes = np.array([*(len(t.encode()) for t in self.text), 0], np.int32)
-        self.number = [*map(str, range(len(pieces))), ""]
+        self.sizes[[i for i, k in enumerate(self.kind) if k == BYTE]] = 1
         self.symbol_of = np.full(0x110000, -1, np.int64)
         for c, i in self.chars.items():
             if i < self.outside:
                 self.symbol_of[ord(c)] = i
         crossing = any(SPACE in p.lstrip(SPACE) for p in usable)
-        alone = "".join(c for c in "\n\t\r" if c not in self.chars)  # no piece holds them
+        self.alone = alone = "".join(c for c in "\n\t\r" if c not in self.chars)  # no piece holds them
         self.cut = None if crossing else regex.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + f"|[{alone}]" * bool(alone))
         self.piece_bytes = [b"" if k == CONTROL else bytes([int(t[3:5], 16)]) if k == BYTE else self.unknown_text.encode() if k == UNKNOWN else t.replace(SPACE, " ").encode() for k, t in zip(self.kind, self.text, strict=True)]
-        self.missed: list[str] = []
-
-    def _slow(self, chunk: str) -> tuple:
-        """The entry of a chunk merged one pair at a time; characters in no piece stand alone."""
+        numbers = [f"{i} ".encode() for i in [*range(len(pieces)), -1]]  # a model without an end id has -1
+        self.digits = np.array(numbers, f"S{max(map(len, numbers))}").view(np.uint8).reshape(len(numbers), -1)
+        self.bytes_of = np.frombuffer(b"".join(self.piece_bytes), np.uint8)
+        self.byte_sizes = np.array([*map(len, self.piece_bytes), 0], np.int64)
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.place: dict[str | None, int] = defaultdict(count(1).__next__, {None: 0})
+        #: Of the known chunks: pieces and their lengths, flat; how many, where they begin, and the chunk's use.
+        self.ids, self.lengths = np.array([self.end], np.int32), np.zeros(1, np.int32)
+        self.counts, self.starts, self.used = np.ones(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _slow(self, chunk: str) -> tuple[list[int], list[int]]:
+        """Pieces of a chunk merged one pair at a time, and their lengths; characters in no piece stand alone."""
         top, strange, symbols = self.outside + len(self.extra), {}, []
         for c in chunk:
             s = self.chars.get(c)
@@ -199,40 +228,104 @@ class Encoder(dict):
             data = (strange.get(s) or self.extra[s - self.outside]).encode()
             ids.extend([self.byte_ids[b] for b in data] if self.fallback else [self.unknown])
             sizes.extend([1] * len(data) if self.fallback else [len(data)])
-        return tuple(ids), " ".join(map(str, ids)), np.array(sizes, np.int32).tobytes()
-
-    def learn(self, chunks: list[str]) -> None:
-        """Entries of chunks: those whose characters are all pieces, and that don't begin with
-        two marks (runs of marks have pieces of equal score), are merged together."""
-        for at in range(0, len(chunks), CHUNKS):
-            part = chunks[at : at + CHUNKS]
-            sizes = np.fromiter(map(len, part), np.int64, len(part))
-            symbols = self.symbol_of[np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)]
-            starts = np.cumsum(sizes) - sizes
-            slow = np.minimum.reduceat(symbols, starts) < 0
-            flat, counts, odd = merge_all(np.where(symbols < 0, self.outside, symbols), sizes, self.table)
-            slow |= odd
-            lengths = self.sizes[flat].tobytes()
-            ids, words = flat.tolist(), list(map(self.number.__getitem__, flat.tolist()))
-            begin = 0
-            double = SPACE * 2
-            for c, n, bad in zip(part, counts.tolist(), slow.tolist(), strict=True):
-                end = begin + n
-                self[c] = self._slow(c) if bad or c.startswith(double) else (tuple(ids[begin:end]), " ".join(words[begin:end]), lengths[4 * begin : 4 * end])
-                begin = end
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple]]:
-        """The entries of every text's chunks, in order."""
-        cut = [self.cut.findall(n) if self.cut else [n] if n else [] for n in (self.normalizer(t or "")[0] for t in texts)]
-        if len(self) > MEMO:
-            self.clear()
-        fresh = list({c for chunks in cut for c in chunks if c not in self})
-        self.learn(fresh)
-        return [list(map(self.__getitem__, chunks)) for chunks in cut]
-
-    def spans(self, text: str, entries: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end, in bytes of the original text, of every piece."""
-        ends = np.cumsum(np.frombuffer(b"".join([e[2] for e in entries]), np.int32).astype(np.int64))
+        return ids, sizes
+
+    def _merged(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of chunks and their lengths, flat, and how many each has. Chunks whose characters are all pieces, and that don't
+        begin with two marks (runs of marks have pieces of equal score), are merged together."""
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32)
+        symbols = self.symbol_of[codes]
+        starts = np.cumsum(sizes) - sizes
+        slow = np.minimum.reduceat(symbols, starts) < 0
+        mark = codes == ord(SPACE)
+        slow |= mark[starts] & (sizes > 1) & mark[np.minimum(starts + 1, len(mark) - 1)]
+        flat, counts, odd = merge_all(np.where(symbols < 0, self.outside, symbols), sizes, self.table)
+        lengths = self.sizes[np.minimum(flat, self.outside)]
+        again = np.flatnonzero(slow | odd)
+        if len(again):
+            cuts = np.cumsum(counts)[:-1]
+            ids_of, lengths_of = np.split(flat, cuts), np.split(lengths, cuts)
+            for i in again.tolist():
+                ids_of[i], lengths_of[i] = (np.array(x, np.int64) for x in self._slow(part[i]))
+                counts[i] = len(ids_of[i])
+            flat, lengths = np.concatenate(ids_of), np.concatenate(lengths_of)
+        return flat.astype(np.int32), lengths.astype(np.int32), counts
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds chunks in the order of their places."""
+        found = [self._merged(chunks[at : at + CHUNKS]) for at in range(0, len(chunks), CHUNKS)]
+        if not found:
+            return
+        self.ids, self.lengths, self.counts = (np.concatenate([old, *new]) for old, new in zip((self.ids, self.lengths, self.counts), zip(*found, strict=True), strict=True))
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.used = np.append(self.used, np.zeros(len(chunks), np.int64))
+
+    def _forget(self) -> None:
+        """Keeps the more used half of ``MEMO`` chunks, but none of very many pieces. Use is halved, so that it fades."""
+        use = np.where(self.counts > LONG, -1, self.used)
+        use[0] = np.iinfo(np.int64).max
+        kept = np.argsort(-use, kind="stable")[: MEMO // 2]
+        kept = np.sort(kept[use[kept] >= 0])
+        chunks = list(self.place)
+        self.place = defaultdict(count(len(kept)).__next__, zip(map(chunks.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        starts, self.counts = self.starts[kept], self.counts[kept]
+        self.ids, self.lengths = taken(self.ids, starts, self.counts), taken(self.lengths, starts, self.counts)
+        self.starts, self.used = np.cumsum(self.counts) - self.counts, self.used[kept] // 2
+
+    def chunks(self, normalised: str) -> list[str]:
+        if not self.cut:
+            return [normalised] if normalised else []
+        if DOUBLE in normalised or "\0" in normalised:
+            return self.cut.findall(normalised)
+        for c in self.alone:  # without runs of marks, plain replacements find the same chunks
+            normalised = normalised.replace(c, f"\0{c}\0")
+        return list(filter(None, normalised.replace(SPACE, f"\0{SPACE}").split("\0")))
+
+    def encode(self, texts: list[str | None]) -> Coded:
+        if len(self.place) > MEMO or len(self.ids) > 8 * MEMO:
+            self._forget()
+        chunks: list[str | None] = []
+        first = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            first[i] = len(chunks)
+            chunks += self.chunks(self.normalizer(t or "")[0])
+            chunks.append(None)
+        known = len(self.place)
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        self._learn(list(islice(reversed(self.place), len(self.place) - known))[::-1])
+        self.used += np.bincount(at, minlength=len(self.used))
+        starts, counts = self.starts[at], self.counts[at]
+        bounds = np.append(0, np.cumsum(np.add.reduceat(counts, first))) if texts else np.zeros(1, np.int64)
+        return Coded(taken(self.ids, starts, counts), taken(self.lengths, starts, counts), bounds)
+
+    def in_decimal(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """The ids of each text, joined by one space."""
+        parts = [self.digits[ids[a : a + SLICE]].ravel() for a in range(0, len(ids), SLICE)]
+        data = b"".join([p[p > 0].tobytes() for p in parts])
+        ends = np.append(0, np.cumsum(np.count_nonzero(self.digits, axis=1)[ids]))[bounds].tolist()
+        return [data[a : b - 1] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """What ``decode`` gives of the ids of each text."""
+        sizes = self.byte_sizes[ids]
+        data = b"".join([taken(self.bytes_of, self.byte_starts[ids[a : a + SLICE]], sizes[a : a + SLICE]).tobytes() for a in range(0, len(ids), SLICE)])
+        ends = np.append(0, np.cumsum(sizes))[bounds].tolist()
+        at = bounds.tolist()
+        return [self._decoded(ids[i:j], data[a:b]) for i, j, a, b in zip(at, at[1:], ends, ends[1:], strict=False)]
+
+    def covered(self, text: str, size: int) -> int:
+        """Original bytes that the first ``size`` normalised bytes cover: pieces that tile them tile the original."""
+        if not text:
+            return 0
+        data = text.encode()
+        if self.normalizer.identity and size == 3 * self.prefix + len(data) + 2 * text.count(" "):
+            return len(data)
+        return int(self.spans(text, np.array([size]))[1][0])
+
+    def spans(self, text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end, in bytes of the original text, of pieces of these lengths."""
+        ends = np.cumsum(lengths.astype(np.int64))
         source = self.normalizer(text)[1]
         if source is None:
             source = self._identity_source(text)
@@ -248,10 +341,12 @@ class Encoder(dict):
     def decode(self, ids: list[int]) -> str:
         """Pieces joined, bytes put together (each bad byte a replacement character), control
         ids left out; the space mark of the first piece is the added prefix."""
+        return self._decoded(ids, b"".join(map(self.piece_bytes.__getitem__, ids)))
+
+    def _decoded(self, ids, data: bytes) -> str:
         kind, first = self.kind, 0
         while first < len(ids) and kind[ids[first]] == CONTROL:
             first += 1
-        data = b"".join(map(self.piece_bytes.__getitem__, ids))
         if first < len(ids) and (self.prefix or self.squeeze) and self.text[ids[first]].startswith(SPACE):
             data = data[1:]
         try:
@@ -322,17 +417,16 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             at = 0
             for texts in _some(batch.column(1).to_pylist()):
-                coded = enc.encode(texts)
-                ids = [[*chain.from_iterable(e[0] for e in entries), enc.end] for entries in coded]
-                back = [enc.decode(x) for x in ids]
+                ids, lengths, bounds = enc.encode(texts)
+                back = enc.decode_all(ids, bounds)
                 same = [x == (t or "") for x, t in zip(back, texts, strict=True)]
-                cols = [batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                offsets = pa.array(bounds, pa.int32())
+                cols = [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(same, pa.bool_())]
                 if decoded:
                     cols.append(pa.array(back, pa.string()))
                 if spans:
-                    both = [enc.spans(t or "", e) if e else (np.zeros(0, np.int64),) * 2 for t, e in zip(texts, coded, strict=True)]
-                    tail = [len((t or "").encode()) for t in texts]
-                    cols += [pa.array([[*x[k].tolist(), n] for x, n in zip(both, tail, strict=True)], pa.list_(pa.int64())) for k in (0, 1)]
+                    both = [enc.spans(t or "", lengths[a:b]) for t, a, b in zip(texts, bounds, bounds[1:], strict=False)]
+                    cols += [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in both]), pa.int64())) for k in (0, 1)]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -350,20 +444,14 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             at = 0
             for texts in _some(batch.column(1).to_pylist()):
-                counts, coded_as, decoded_as, covered = [], [], [], []
-                for text, entries in zip(texts, enc.encode(texts), strict=True):
-                    ids = list(chain.from_iterable([e[0] for e in entries]))
-                    ids.append(enc.end)
-                    said = " ".join([e[1] for e in entries] + [str(enc.end)])
-                    counts.append(len(ids))
-                    coded_as.append(hashlib.sha256(said.encode()).hexdigest())
-                    decoded_as.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
-                    starts, ends = enc.spans(text, entries) if entries else ((), ())
-                    covered.append(int(np.sum(ends) - np.sum(starts)))
+                ids, lengths, bounds = enc.encode(texts)
+                coded_as = [hashlib.sha256(x).hexdigest() for x in enc.in_decimal(ids, bounds)]
+                decoded_as = [hashlib.sha256(x.encode()).hexdigest() for x in enc.decode_all(ids, bounds)]
+                covered = list(map(enc.covered, texts, np.add.reduceat(lengths, bounds[:-1], dtype=np.int64).tolist()))
                 ids_col = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [ids_col, pa.array(counts, pa.int64()), pa.array(coded_as), pa.array(decoded_as), pa.array(covered, pa.int64())],
+                    [ids_col, pa.array(np.diff(bounds), pa.int64()), pa.array(coded_as), pa.array(decoded_as), pa.array(covered, pa.int64())],
                     names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"],
                 )
 

@@ -530,3 +530,28 @@ def test_registered_encoding_against_the_library(spark):
         ids = library.encode(text, add_eos=True)
         assert (row.n_tokens, row.ids_sha256, row.decoded_sha256) == (len(ids), brute.sha(" ".join(map(str, ids))), brute.sha(library.decode(ids)))
         assert row.span_bytes == len(text.encode())
+
+
+def test_common_chunks_are_merged_once(monkeypatch):
+    """A worker that knows too many chunks forgets those less used, and the pieces are the library's all the while."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(pieces, "MEMO", 60)
+    merged, merge_all = [], pieces.merge_all
+    monkeypatch.setattr(pieces, "merge_all", lambda symbols, sizes, table: merged.append(len(sizes)) or merge_all(symbols, sizes, table))
+    enc = pieces.Encoder(path)
+    common, r = [f"often{c}" for c in "abcdefghij"], random.Random(5)
+    n = 0
+    for k in range(40):
+        texts = [" ".join([*common, *(f"{r.getrandbits(40):x}" for _ in range(7)), "\n", "x\0y", "中"[k % 2 :], *["  "] * (k % 3)]) for _ in range(2)] + [None, "", "▁" * k]
+        n += 14
+        coded = enc.encode(texts)
+        ids, bounds = coded[0], coded[-1]
+        for t, a, b, said, back in zip(texts, bounds, bounds[1:], enc.in_decimal(ids, bounds), enc.decode_all(ids, bounds), strict=False):
+            expected = library.encode(t or "", add_eos=True)
+            assert ids[a:b].tolist() == expected and said.decode() == " ".join(map(str, expected)) and back == library.decode(expected)
+        assert len(enc.place) <= 60 + 40
+    assert sum(merged) < n + 150  # 560 that are new, and not the common ones again and again
