@@ -25,18 +25,21 @@ def recommend(watches: DataFrame, neighbours: DataFrame, k: int = 10) -> DataFra
 
 
 def recommend_from_profiles(profiles: DataFrame, neighbours: DataFrame, most: int, k: int = 10) -> DataFrame:
-    """What ``recommend`` gives of the watches in ``similarity.profiles``, with up to ``most`` neighbours of a user.
+    """What ``recommend`` gives of the watches in ``similarity.profiles``, with up to ``most`` neighbours of a user, ranked from 1.
 
-    A null item is never seen and comes last. A neighbour's items go to the user as one array, and the user's own as well; there they are added up and ranked without being
-    shuffled again, in as many tasks as items need, so that a task's share doesn't grow with the input.
+    A null item is never seen and comes last. A neighbour's items go to the user as one array, and the user's own as well, if there are neighbours; there they are
+    added up and ranked without being shuffled again, in as many tasks as items need, so that a task's share doesn't grow with the input.
     """
     spark = profiles.sparkSession
     lists = profiles.where("user_id is not null").select("user_id", F.array_distinct("watched.item").alias("items"))
     entries = profiles.agg(F.coalesce(F.sum(F.size("watched")), F.lit(0)).alias("n")).first().n
     tasks = max(spark.sparkContext.defaultParallelism, -(-entries * (most + 1) // PLACES))
-    given = neighbours.select("u", "v", "similarity").join(lists.toDF("v", "items"), "v").select(F.col("u").alias("user_id"), "similarity", F.lit(False).alias("own"), "items")
-    own = lists.select("user_id", F.lit(0.0).alias("similarity"), F.lit(True).alias("own"), F.filter("items", lambda x: x.isNotNull()).alias("items"))
-    there = given.unionByName(own).repartition(tasks, "user_id").select("user_id", "similarity", "own", F.explode("items").alias("item"))
+    near = F.struct("v", "similarity", F.lit(False).alias("own"))
+    self_ = F.struct(F.col("u").alias("v"), F.lit(0.0).alias("similarity"), F.lit(True).alias("own"))
+    asked = neighbours.select(F.col("u").alias("user_id"), F.explode(F.when(F.col("rank") == 1, F.array(near, self_)).otherwise(F.array(near))).alias("_a")).select("user_id", "_a.*")
+    given = asked.join(lists.toDF("v", "items"), "v").repartition(tasks, "user_id")
+    items = F.when(F.col("own"), F.filter("items", lambda x: x.isNotNull())).otherwise(F.col("items"))
+    there = given.select("user_id", "similarity", "own", F.explode(items).alias("item"))
     scores = there.groupBy("user_id", "item").agg(F.round(F.sum("similarity"), 9).alias("score"), F.max("own").alias("seen")).where("not seen").drop("seen")
     top = Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc_nulls_last("item"))
     return scores.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)

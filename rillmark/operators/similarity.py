@@ -98,9 +98,10 @@ def packed_keys(sigs: DataFrame, k: int, bands: int) -> DataFrame:
 
 def in_blocks(keys: DataFrame, member: str) -> DataFrame:
     """band, key, i, j, own, ``member`` of buckets with several members: a bucket of many is cut into blocks of some ``BLOCK``
-    members, and a member goes to each pair of blocks that its own is one of."""
-    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("_n")).where("_n > 1")
-    laid = keys.join(sizes, ["band", "key"]).withColumn("_b", F.ceil(F.col("_n") / BLOCK).cast("int"))
+    members, and a member goes to each pair of blocks that its own is one of. Keys are shuffled once to be counted and laid out: as most
+    are single, counts made before a shuffle would be as many rows again. A bucket's members are in one task until it is cut."""
+    sized = keys.where("key is not null").withColumn("_n", F.count("*").over(Window.partitionBy("band", "key"))).where("_n > 1")
+    laid = sized.withColumn("_b", F.ceil(F.col("_n") / BLOCK).cast("int"))
     laid = laid.withColumn("own", F.pmod(F.xxhash64(member), F.col("_b")).cast("int")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     return laid.select("band", "key", F.least("own", "_x").alias("i"), F.greatest("own", "_x").alias("j"), "own", member)
 
@@ -119,9 +120,9 @@ def nearest_by_class(sigs: DataFrame, k: int, bands: int, top: int) -> DataFrame
     Users with equal signatures are one class. Classes meet in buckets; as a class's users tie, only its top + 1
     least are ever wanted, so what a class is given, itself included, are as many rows, and each of its users takes those
     but itself. Rows grow with the pairs of different signatures and with top for each user, not with the pairs of copies.
+    Signatures are shuffled once to be compared, and what was shuffled is read by all that asks for classes.
     """
-    least = sigs.groupBy("sig").agg(F.min("user_id").alias("class"))
-    members = stored(sigs.select("user_id", "sig").join(least, "sig"), "classes")
+    members = sigs.select("user_id", "sig").where("sig is not null").withColumn("class", F.min("user_id").over(Window.partitionBy("sig")))
     of_class = Window.partitionBy("class").orderBy("user_id")
     some = members.withColumn("_r", F.row_number().over(of_class)).where(F.col("_r") <= top + 1).select(F.col("class").alias("d"), F.col("user_id").alias("v"))
     own = members.where("class = user_id").select("user_id", "sig")

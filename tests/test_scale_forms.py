@@ -124,6 +124,22 @@ def test_items_of_neighbours_are_not_shuffled_as_rows(spark, tmp_path, name):
     assert n < 2.7 * len(rows)  # lines by order, watches by user, and little else
 
 
+@pytest.mark.parametrize("name", ["recommend_lsh", "recommend_fallback"])
+def test_users_are_shuffled_few_times(spark, tmp_path, name):
+    """Without broadcasts: keys of bands once, signatures once by value and once by user; who has no neighbours sends no items to himself."""
+    rows = [(u, 1000 * u + i) for u in range(500) for i in range(4)] + [(u, 10**6 + i) for u in range(500, 540) for i in range(4)]
+    watched(spark, str(tmp_path), rows, 540)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    found = []
+    try:
+        n = shuffled_rows(spark, f"few of {name}", lambda: found.extend(queries.queries()[name](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len({x.user_id for x in found}) == (0 if name == "recommend_lsh" else 540)  # the last 40 have seen all that their neighbours have
+    assert n < 26_000
+
+
 @pytest.mark.parametrize("name", ["recommend_lsh", "recommend_fallback"])
 def test_recommendations_of_odd_rows(spark, tmp_path, name):
     """Repeated watches, null items, users of null items only and a null user, as in SQL."""
