@@ -6,6 +6,8 @@ nearest are kept. In the same way the items of the nearest users go to the block
 A block is a range of users, as close ids tend to share items, with about ``WEIGHT`` places of lists
 to be counted; a crowded range is cut by a hash of the users. What is dealt out is a list for each
 block that it concerns, 2 to 4 bytes for each of its places, at most the places that are counted.
+Where lists are so long that they concern nearly all blocks, pairs are counted in tiles instead: users
+are dealt into groups, and a tile has two of them, so a place goes to as many tiles as there are groups.
 
 One item's users and one user's items are in one task, and so are the lists of a block. Without items
 in common there are no neighbours. A null item counts in a user's size; it is never common nor seen,
@@ -32,6 +34,9 @@ WEIGHT, LEAST_WEIGHT = 1 << 23, 1 << 22
 #: Ranges that weights are known by, places of lists in a packed row, places counted at once, and the
 #: span of ids up to which a table of all of them is kept.
 CELLS, BODY, BATCH, SPAN = 4096, 1 << 16, 1 << 19, 1 << 24
+#: Places to be counted in a tile of two groups, and places of a group. Of a tile's users, 1 in ``RARE`` at least have an item that
+#: is multiplied; a product has so many users of a group and of the other.
+TILE, SIDE, RARE, HIGH, WIDE = 1 << 30, 1 << 19, 16, 256, 4096
 #: Rows of a task that deals items out to lists, or histories to who asks for them.
 ROWS = 750_000
 DEALT = "to int, kind int, body binary"
@@ -196,7 +201,7 @@ def by_item(n: int):
 
 
 def lists(lo: int, hi: int):
-    """The users of each item with several, their sizes, and what counting them costs by ranges of users."""
+    """The users of each item with several, their sizes, and by ranges of users what counting them costs and how many they are."""
 
     def gather(batches):
         u, i, size = joined([unpack(body) for _, _, body in bodies(batches)], np.int64, np.int64, np.int64)
@@ -208,7 +213,8 @@ def lists(lo: int, hi: int):
         counts = np.diff(np.append(first, len(u)))
         several = np.repeat(counts > 1, counts)
         u, size, counts = u[several], size[several], counts[counts > 1]
-        weights = np.bincount(cells_of(u, lo, hi), np.repeat(counts, counts), CELLS)
+        cells = cells_of(u, lo, hi)
+        weights = np.append(np.bincount(cells, np.repeat(counts, counts), CELLS), np.bincount(cells, minlength=CELLS))
         at = 0
         for part in parts_of(counts, BODY):
             upto = at + int(counts[part].sum())
@@ -221,9 +227,9 @@ def lists(lo: int, hi: int):
 class Blocks:
     """Which block a user is in."""
 
-    def __init__(self, weights: np.ndarray, lo: int, hi: int, cores: int):
+    def __init__(self, weights: np.ndarray, lo: int, hi: int, cores: int, want: int = 0):
         total = float(weights.sum())
-        want = max(-(-total // WEIGHT), min(cores, -(-total // LEAST_WEIGHT)), 1)
+        want = want or max(-(-total // WEIGHT), min(cores, -(-total // LEAST_WEIGHT)), 1)
         self.lo, self.hi, self.n, held = lo, hi, 0, np.inf
         self.first, self.cuts = np.zeros(CELLS, np.int32), np.ones(CELLS, np.int32)
         for cell, weight in enumerate(weights.tolist()):
@@ -259,6 +265,43 @@ class Blocks:
                     yield rows(to=[to[a]], kind=[0], body=[pack_lists(np.zeros(b - a), own, users[at], size[at])])
 
 
+class Tiles:
+    """Groups of users, and the tiles of two of them, or of one with itself."""
+
+    def __init__(self, weights: np.ndarray, held: np.ndarray, lo: int, hi: int, cores: int):
+        """A tile counts some ``TILE`` places and a group has some ``SIDE``, by halves of both as either may be where the other isn't."""
+        total, n = float(weights.sum()), float(held.sum())
+        busy = min(6 * cores, -(-total // LEAST_WEIGHT))
+        want = int(max(np.ceil(np.sqrt(max(total / TILE, busy))), -(-n // SIDE), 1))
+        self.groups = Blocks(weights / total + held / n if n else weights, lo, hi, cores, want)
+        self.one, self.two = np.triu_indices(self.groups.n)
+        self.n = len(self.one)
+
+    def lists_for(self, batches):
+        """Of each list, to all tiles with a pair of its users, the users of their groups."""
+        for batch in batches:
+            for body in batch.column("body"):
+                _, counts, users, size = unpack_lists(body.as_buffer())
+                which, group = np.repeat(np.arange(len(counts)), counts), self.groups.of(users)
+                order = np.argsort(group, kind="stable")
+                edges = np.searchsorted(group[order], np.arange(self.groups.n + 1))
+                of_group = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                has = [np.bincount(which[at], minlength=len(counts)) for at in of_group]
+                for to, (a, b) in enumerate(zip(self.one.tolist(), self.two.tolist(), strict=True)):
+                    n = has[a] + has[b] if a != b else has[a]
+                    meet = (has[a] > 0) & (has[b] > 0) if a != b else n > 1
+                    if meet.any():
+                        at = np.sort(np.append(of_group[a], of_group[b])) if a != b else of_group[a]
+                        at = at[meet[which[at]]]
+                        yield rows(to=[to], kind=[0], body=[pack_lists(np.zeros(int(meet.sum())), n[meet], users[at], size[at])])
+
+
+def layout(weights: np.ndarray, held: np.ndarray, lo: int, hi: int, cores: int) -> Blocks | Tiles:
+    """Tiles where a list's place would go to more than twice as many blocks."""
+    blocks, tiles = Blocks(weights, lo, hi, cores), Tiles(weights, held, lo, hi, cores)
+    return tiles if min(blocks.n, weights.sum() / max(held.sum(), 1)) > 2 * tiles.groups.n else blocks
+
+
 # ---- counting --------------------------------------------------------------------------------
 
 
@@ -383,33 +426,7 @@ def counted(blocks: Blocks, give: Callable):
         own_user, own_list = ids.number(np.concatenate(own_user)), np.concatenate(own_list)
         order = np.argsort(own_user, kind="stable")
         own_user, own_list = own_user[order], own_list[order]
-        first = np.flatnonzero(np.append(True, own_user[1:] != own_user[:-1]))
-        mine, n_own = own_user[first].astype(np.int64), np.diff(np.append(first, len(own_user)))
-        for part in parts_of(np.add.reduceat(counts[own_list], first), BATCH):
-            begin = first[part.start]
-            held = own_list[begin : begin + n_own[part].sum()]
-            if counts[held].sum() > BATCH:  # one user
-                both = np.zeros(len(ids.all), np.int64)
-                for some in parts_of(counts[held], BATCH):
-                    both += np.bincount(flat[places(starts[held[some]], counts[held[some]])], minlength=len(both))
-                v = np.flatnonzero(both)
-                at, both = np.zeros(len(v), np.int64), both[v]
-            elif (part.stop - part.start) * len(ids.all) <= 2 * counts[held].sum():  # they share with nearly all
-                n_all = len(ids.all)
-                key = np.repeat(np.repeat(np.arange(part.stop - part.start) * n_all, n_own[part]), counts[held])
-                key += flat[places(starts[held], counts[held])]
-                both = np.bincount(key, minlength=(part.stop - part.start) * n_all)
-                key = np.flatnonzero(both)
-                both, at, v = both[key], key // n_all, key % n_all
-            else:
-                key = np.repeat(np.repeat(np.arange(part.stop - part.start) << 32, n_own[part]), counts[held])
-                key |= flat[places(starts[held], counts[held])]
-                key.sort()
-                edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                both = np.diff(np.append(edge, len(key)))
-                key = key[edge]
-                at, v = key >> 32, key & 0xFFFFFFFF
-            user = mine[part][at]
+        for user, at, v, both in met(own_user, own_list, starts, counts, flat, len(ids.all)):
             other = user != v
             at, v, both, user = at[other], v[other], both[other], user[other]
             similarity = both / (size[user] + size[v] - both)
@@ -418,6 +435,115 @@ def counted(blocks: Blocks, give: Callable):
     return count
 
 
+def met(own_user: np.ndarray, own_list: np.ndarray, starts: np.ndarray, counts: np.ndarray, flat: np.ndarray, n_all: int):
+    """Of some users (in order) after the others: user, their place among these, whom they meet in lists (ranges of ``flat``), and in how many."""
+    first = np.flatnonzero(np.append(True, own_user[1:] != own_user[:-1]))
+    mine, n_own = own_user[first].astype(np.int64), np.diff(np.append(first, len(own_user)))
+    for part in parts_of(np.add.reduceat(counts[own_list], first), BATCH):
+        begin = first[part.start]
+        held = own_list[begin : begin + n_own[part].sum()]
+        if counts[held].sum() > BATCH:  # one user
+            both = np.zeros(n_all, np.int64)
+            for some in parts_of(counts[held], BATCH):
+                both += np.bincount(flat[places(starts[held[some]], counts[held[some]])], minlength=n_all)
+            v = np.flatnonzero(both)
+            at, both = np.zeros(len(v), np.int64), both[v]
+        elif (part.stop - part.start) * n_all <= 2 * counts[held].sum():  # they share with nearly all
+            key = np.repeat(np.repeat(np.arange(part.stop - part.start) * n_all, n_own[part]), counts[held])
+            key += flat[places(starts[held], counts[held])]
+            both = np.bincount(key, minlength=(part.stop - part.start) * n_all)
+            key = np.flatnonzero(both)
+            both, at, v = both[key], key // n_all, key % n_all
+        else:
+            key = np.repeat(np.repeat(np.arange(part.stop - part.start) << 32, n_own[part]), counts[held])
+            key |= flat[places(starts[held], counts[held])]
+            key.sort()
+            edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            both = np.diff(np.append(edge, len(key)))
+            key = key[edge]
+            at, v = key >> 32, key & 0xFFFFFFFF
+        yield mine[part][at], at, v, both
+
+
+class Side:
+    """A group's users in a tile: their ids and sizes, and for each place of the tile's lists user and list."""
+
+    def __init__(self, users: np.ndarray, size: np.ndarray, lists_: np.ndarray, n_lists: int):
+        self.ids, first, self.user = np.unique(users, return_index=True, return_inverse=True)
+        self.size, self.list, self.n = size[first].astype(np.float64), lists_, np.bincount(lists_, minlength=n_lists)
+
+    def by_user(self, at=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        user, lists_ = self.user[at], self.list[at]
+        order = np.argsort(user, kind="stable")
+        return user[order], lists_[order]
+
+    def matrix(self, common: np.ndarray, kind, share: float, last: bool) -> np.ndarray:
+        """A row for each user: which of the common lists it is in, and what makes a product less by a share of both sizes."""
+        out = np.zeros((len(self.ids), int(common.sum()) + 2), kind)
+        at = common[self.list]
+        out[self.user[at], (np.cumsum(common) - 1)[self.list[at]]] = 1
+        out[:, -1 if last else -2], out[:, -2 if last else -1] = -share * self.size, 1
+        return out
+
+
+def pairs_in_tiles(tiles: Tiles, threshold: float):
+    """What ``pairs_from`` gives, of a tile. Where many of its users meet, common lists are multiplied as matrices, and rare ones added."""
+
+    def count(batches):
+        parts, n_lists, tile = [], 0, None
+        for tile, _, body in bodies(batches):
+            _, n, users, size = unpack_lists(body)
+            parts.append((users, np.repeat(np.arange(n_lists, n_lists + len(n), dtype=np.int32), n), size.astype(np.int32)))
+            n_lists += len(n)
+        if tile is None:
+            return
+        body = None  # else what was read stays in memory
+        users, which, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
+        group, same = tiles.groups.of(users), tiles.one[tile] == tiles.two[tile]
+        one = Side(*(x[group == tiles.one[tile]] for x in (users, size, which)), n_lists)
+        two = one if same else Side(*(x[group == tiles.two[tile]] for x in (users, size, which)), n_lists)
+        dense = float((one.n * two.n).sum()) * RARE > float(len(one.ids)) * len(two.ids)
+        for u, v, both in multiplied(one, two, same, threshold) if dense else ((u, v, both) for u, _, v, both in met(*one.by_user(), starts_of(two.n), two.n, two.user, len(two.ids))):
+            similarity = both / (one.size[u] + two.size[v] - both)
+            kept = np.flatnonzero((both > 0) & (similarity >= threshold) & (not same or u < v))
+            for a in range(0, len(kept), BODY):
+                part = kept[a : a + BODY]
+                ids = one.ids[u[part]], two.ids[v[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ids)), pa.array(np.maximum(*ids)), pa.array(similarity[part])], names=["u", "v", "similarity"])
+
+    return count
+
+
+def multiplied(one: Side, two: Side, same: bool, threshold: float):
+    """Users of both sides that may have the similarity, and how many lists they share. As a pair with it shares at least a part of both sizes, that part
+    is taken off in the product; whole numbers under it and their parts are told apart in ``kind``."""
+    kind = np.float32 if max(one.size.max(), two.size.max()) < 1 << 16 else np.float64
+    share = threshold / (1 + threshold)
+    common = (one.n * RARE >= len(one.ids)) & (two.n * RARE >= len(two.ids))
+    left, right = one.matrix(common, kind, share, True), np.ascontiguousarray(two.matrix(common, kind, share, False).T)
+    rare_user, rare_list = one.by_user(~common[one.list])
+    starts, n = starts_of(two.n), len(two.ids)
+    high = int(min(HIGH, max(1, 8 * BATCH // n)))
+    for a in range(0, len(one.ids), high):
+        b = min(a + high, len(one.ids))
+        held, added = slice(*np.searchsorted(rare_user, [a, b])), None
+        if held.stop > held.start:
+            added = np.zeros((b - a) * n, np.int64)
+            for some in parts_of(two.n[rare_list[held]], 8 * BATCH):
+                user, own = rare_user[held][some], rare_list[held][some]
+                added += np.bincount(np.repeat((user - a) * n, two.n[own]) + two.user[places(starts[own], two.n[own])], minlength=len(added))
+            added = added.reshape(b - a, n).astype(kind)
+        for c in range(a if same else 0, n, WIDE):
+            d = min(c + WIDE, n)
+            over = left[a:b] @ right[:, c:d]
+            if added is not None:
+                over += added[:, c:d]
+            found = np.flatnonzero(over >= (-0.1 if threshold else 0.5))
+            u, v = a + found // (d - c), c + found % (d - c)
+            yield u, v, np.rint(over.reshape(-1)[found] + share * (one.size[u] + two.size[v])).astype(np.int64)
+
+
 def firsts(parts: list) -> tuple[np.ndarray, np.ndarray]:
     known, value = (np.concatenate(c) for c in zip(*parts, strict=True))
     known, at = np.unique(known, return_index=True)
@@ -567,8 +693,8 @@ def collect_garbage(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataFrame, DataFrame, Blocks, int, dict[str, DataFrame | None]]:
-    """Histories, lists of items with several users, blocks of users, among how many tasks rows are dealt, and what leads back to ids. With ``nulls_meet`` the null item is one like others."""
+def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataFrame, DataFrame, tuple, int, dict[str, DataFrame | None]]:
+    """Histories, lists of items with several users, what ``Blocks`` and ``layout`` are made of, among how many tasks rows are dealt, and what leads back to ids. With ``nulls_meet`` the null item is one like others."""
     spark = watches.sparkSession
     reachable(spark)
     seen, user_ids = numbered(watches.select("user_id", "item").where("user_id is not null"), "user_id")
@@ -582,21 +708,22 @@ def lists_in_blocks(watches: DataFrame, nulls_meet: bool = False) -> tuple[DataF
     lo, hi = known.lo or 0, known.hi or 0
     m = max(spark.sparkContext.defaultParallelism, -(-known.entries // ROWS))
     shared = stored(deal(own, m, by_item(m)).mapInArrow(lists(lo, hi), "body binary, weights array<double>"), "lists")
-    weights = np.zeros(CELLS)
+    weights = np.zeros(2 * CELLS)
     for r in shared.select(F.posexplode("weights").alias("cell", "weight")).groupBy("cell").agg(F.sum("weight").alias("weight")).collect():
         weights[r.cell] = r.weight
-    blocks = Blocks(weights, lo, hi, spark.sparkContext.defaultParallelism)
     collect_garbage(spark)
-    return own, shared, blocks, m, {"user_id": user_ids, "item": item_ids}
+    return own, shared, (weights[:CELLS], weights[CELLS:], lo, hi, spark.sparkContext.defaultParallelism), m, {"user_id": user_ids, "item": item_ids}
 
 
 def similar_pairs(watches: DataFrame, threshold: float = 0.0, nulls_meet: bool = False) -> DataFrame:
     """u < v, similarity of all pairs of users with a common item whose Jaccard similarity is ``threshold`` or more.
 
-    Pairs are counted in blocks, and only those that are given are ever rows; nothing of them is shuffled.
+    Pairs are counted in blocks or tiles, and only those that are given are ever rows; nothing of them is shuffled.
     """
-    _, shared, blocks, _, ids = lists_in_blocks(watches, nulls_meet)
-    out = deal(shared, blocks.n, blocks.lists_for).mapInArrow(pairs_from(blocks, threshold), "u long, v long, similarity double")
+    _, shared, known, _, ids = lists_in_blocks(watches, nulls_meet)
+    blocks = layout(*known)
+    count = pairs_in_tiles if isinstance(blocks, Tiles) else pairs_from
+    out = deal(shared, blocks.n, blocks.lists_for).mapInArrow(count(blocks, threshold), "u long, v long, similarity double")
     for side in "uv":
         if ids["user_id"] is not None:
             out = out.join(ids["user_id"].withColumnRenamed("user_id", "_id"), F.col(side) == F.col("_n"), "left").drop(side, "_n").withColumnRenamed("_id", side)
@@ -606,7 +733,8 @@ def similar_pairs(watches: DataFrame, threshold: float = 0.0, nulls_meet: bool =
 def recommend_exact(watches: DataFrame, neighbours: int = 20, k: int = 10) -> DataFrame:
     """user_id, item, score, rank: what ``recommend`` gives with the nearest of ``exact_pairs``."""
     spark, kinds = watches.sparkSession, {c: watches.schema[c].dataType for c in ("user_id", "item")}
-    own, shared, blocks, n, ids_of = lists_in_blocks(watches)
+    own, shared, (weights, _, *rest), n, ids_of = lists_in_blocks(watches)
+    blocks = Blocks(weights, *rest)
     near = stored(deal(shared, blocks.n, blocks.lists_for).mapInArrow(nearest(blocks, neighbours), DEALT), "nearest")
     forget(shared)
     collect_garbage(spark)

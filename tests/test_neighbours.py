@@ -177,3 +177,70 @@ def test_histories_come_while_rows_are_read():
         most = max(most, taken - done)
     assert given == list(range(60_000)) and most < neighbours.BODY
     assert list(neighbours.histories(iter([]))) == []
+
+
+def crowd(spark, users: int, items: int):
+    """user_id, item: users with 12 places each at items that all know."""
+    return spark.range(12 * users).select((F.col("id") % users).alias("user_id"), F.pmod(F.xxhash64("id"), F.lit(items)).alias("item"))
+
+
+def sets_of(watches, users: int, items: int) -> np.ndarray:
+    has = np.zeros((users, items), np.float32)
+    for batch in watches.toArrow().to_batches():
+        has[batch.column("user_id").to_numpy(), batch.column("item").to_numpy()] = 1
+    return has
+
+
+def test_lists_of_all_users_go_to_few_tiles(spark):
+    """20,000 users and 100 items: each list concerns all users; with a copy of all lists for each block 26 MB were shuffled."""
+    watches, context = crowd(spark, 20_000, 100), spark.sparkContext
+    context.setJobGroup("tiles", "")
+    found = similarity.pairs_at_least(watches, 0.4).agg(F.count("*"), F.sum("similarity"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u", "v")).collect()[0]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    has = sets_of(watches, 20_000, 100)
+    size, pairs, total = has.sum(1), 0, 0.0
+    for a in range(0, 20_000, 500):
+        both = (has[a : a + 500] @ has.T).astype(np.float64)
+        share = both / (size[a : a + 500, None] + size[None] - both)
+        share = share[(share >= 0.4) & (np.arange(a, a + 500)[:, None] < np.arange(20_000)[None])]
+        pairs, total = pairs + len(share), total + share.sum()
+    assert found[0] == found[3] == pairs > 1000 and abs(found[1] - total) < 1e-6
+    shuffled, seen = 0, context.statusTracker()
+    for stage in {s for j in seen.getJobIdsForGroup("tiles") for s in seen.getJobInfo(j).stageIds}:
+        try:
+            shuffled += context._jsc.sc().statusStore().lastStageAttempt(stage).shuffleWriteBytes()
+        except Py4JJavaError:  # skipped
+            continue
+    assert 0 < shuffled < 15_000_000
+
+
+@pytest.mark.parametrize(("users", "items", "threshold", "rare"), [(90, 20, 0.2, 16), (90, 20, 0.0, 16), (300, 3000, 0.0, 16), (300, 3000, 0.05, 16), (300, 3000, 0.0, 1 << 20), (90, 20, 0.3, 1), (90, 20, 1.0, 16), (300, 300, 0.1, 4)])
+def test_tiles_equal_all_pairs(monkeypatch, users, items, threshold, rare):
+    """By products, by rare lists added to them, and by lists alone; with groups that are ranges and groups cut by a hash."""
+    rnd = random.Random(4)
+    sets = {u * 3 - 50: {min(int(items * rnd.random() ** 2), items - 1) for _ in range(rnd.randint(1, 12))} for u in range(users)}
+    lists = [x for x in (sorted(u for u in sets if i in sets[u]) for i in range(items)) if len(x) > 1]
+    flat, counts = np.array([u for x in lists for u in x]), np.array([len(x) for x in lists])
+    body = neighbours.rows(body=[neighbours.pack_lists(np.zeros(len(lists)), counts, flat, np.array([len(sets[u]) for u in flat.tolist()]))])
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    monkeypatch.setattr(neighbours, "RARE", rare)
+    for side, lo in ((1 << 19, -50), (100, -50), (100, -(1 << 40))):
+        monkeypatch.setattr(neighbours, "SIDE", side)
+        cells = neighbours.cells_of(flat, lo, 3 * users)
+        tiles = neighbours.Tiles(np.bincount(cells, np.repeat(counts, counts), neighbours.CELLS), np.bincount(cells, minlength=neighbours.CELLS), lo, 3 * users, 1)
+        assert (tiles.n > 1) == (side == 100)
+        there = defaultdict(list)
+        for r in tiles.lists_for(iter([body, body.slice(0, 0)])):
+            there[r.column("to")[0].as_py()].append(r)
+        found = [x for to in there for batch in neighbours.pairs_in_tiles(tiles, threshold)(iter(there[to])) for x in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "similarity")), strict=True)]
+        assert {(u, v): s for u, v, s in found} == {p: s for p, s in want.items() if s >= threshold} and len(found) == len({x[:2] for x in found})
+
+
+def test_copies_of_long_lists_do_not_grow_with_their_length():
+    """100 items that all users know, 6.7 million places at 360 times: a place goes to few tiles, and a tile has few places."""
+    for copies in (6, 60, 360):
+        places = np.full(neighbours.CELLS, copies * 18_500 / neighbours.CELLS)
+        tiles = neighbours.layout(places * copies * 185, places, 0, copies * 1500, 12)
+        assert isinstance(tiles, neighbours.Tiles) and tiles.groups.n <= 25 and places.sum() / tiles.groups.n < 1.2 * neighbours.SIDE
+    short = np.full(neighbours.CELLS, 36e6 / neighbours.CELLS)
+    assert isinstance(neighbours.layout(short * 30, short, 0, 600_000, 12), neighbours.Blocks)
